@@ -198,9 +198,9 @@ def _v15(s, sf):
     return n.select("case", "d", M.count_scores(F.col("c"), F.col("x"), F.col("t"), F.col("total"))["v16"].alias("score"), "c")
 
 
-@query(f"WITH {B.E}{B.C}{CNT}{V15} SELECT \"case\", d, round(score / sum(score) OVER (PARTITION BY \"case\"), 6) AS share FROM sc WHERE score > 0")
+@query(f"WITH {B.E}{B.C}{CNT}{V15} SELECT \"case\", d, round(ln(score / sum(score) OVER (PARTITION BY \"case\")), 6) AS log_share FROM sc WHERE score > 0")
 def normalised_scores(s, sf):
-    return rounded(ranking.shares(_v15(s, sf)), "share").select("case", "d", "share")
+    return ranking.shares(_v15(s, sf)).select("case", "d", F.round(F.log("share"), 6).alias("log_share"))
 
 
 @query(f"WITH {B.E}{B.C}{CNT}{V15}, {RANKED.format(s='sc')} SELECT \"case\", d, round(score, 6) AS score, rank FROM rk WHERE rank <= 5")
@@ -209,9 +209,10 @@ def top_k_diagnoses(s, sf):
 
 
 @query(f"""WITH {B.E}{B.C}{CNT}{V15}, sh AS (SELECT "case", d, score / sum(score) OVER (PARTITION BY "case") AS share FROM sc WHERE score > 0)
-SELECT "case", d, round(share, 6) AS share, share >= max(share) OVER (PARTITION BY "case") / 2 AS top_half, round(coalesce(sum(share) OVER (PARTITION BY "case" ORDER BY round(share, 9) DESC, d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 9) < 0.8 AS in_mass FROM sh""")
+SELECT "case", d, round(ln(share), 6) AS log_share, share >= max(share) OVER (PARTITION BY "case") / 2 AS top_half, round(coalesce(sum(share) OVER (PARTITION BY "case" ORDER BY round(share, 9) DESC, d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 9) < 0.8 AS in_mass FROM sh""")
 def score_cutoffs(s, sf):
-    return rounded(ranking.cutoffs(ranking.shares(_v15(s, sf)).select("case", "d", "share")), "share")
+    x = ranking.cutoffs(ranking.shares(_v15(s, sf)).select("case", "d", "share"))
+    return x.withColumn("log_share", F.round(F.log("share"), 6)).drop("share")
 
 
 @query(f"WITH {B.E}{B.C}{CNT}{V15} SELECT \"case\", d, round(CASE WHEN c < 2 THEN -1e6 ELSE score END, 6) AS score FROM sc")
@@ -365,10 +366,10 @@ def significant_pairs(s, sf):
     return evidence.benjamini_hochberg(materialize(x, "tests")).select("a", "b", r("g2", 4).alias("g2"), "p_value", r("q", 6))
 
 
-@query("""WITH p AS (SELECT l_orderkey, l_linenumber, round(l_extendedprice / 200000, 4) AS p_value FROM lineitem), n AS (SELECT p_value, count(*) AS k FROM p GROUP BY 1), c AS (SELECT p_value, sum(k) OVER (ORDER BY p_value) AS rank, sum(k) OVER () AS m FROM n),
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, round(l_extendedprice / 200003, 6) AS p_value FROM lineitem), n AS (SELECT p_value, count(*) AS k FROM p GROUP BY 1), c AS (SELECT p_value, sum(k) OVER (ORDER BY p_value) AS rank, sum(k) OVER () AS m FROM n),
 q AS (SELECT p_value, least(1.0, min(p_value * m / rank) OVER (ORDER BY p_value DESC ROWS UNBOUNDED PRECEDING)) AS q FROM c) SELECT l_orderkey, l_linenumber, p_value, round(q, 6) AS q FROM p JOIN q USING (p_value)""")
 def benjamini_hochberg(s, sf):
-    x = t(s, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") / 200000, 4).alias("p_value"))
+    x = t(s, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") / 200003, 6).alias("p_value"))
     return rounded(evidence.benjamini_hochberg(x), "q")
 
 
