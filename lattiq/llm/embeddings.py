@@ -5,8 +5,8 @@ rotations give sign codes: bands of code bits propose pairs, and the first rotat
 stored correction factor <x-bar, o>, gives an unbiased estimate of each pair's inner product and a
 confidence bound. Pairs whose upper bound is below the threshold go; the rest are computed exactly.
 
-The width of a band follows the number of classes, so that a bucket holds about ``fill`` unrelated
-vectors at any size, and the number of bands follows from ``miss``, the chance that a pair right at
+The width of a band follows the number of classes, so that a vector meets about ``fill`` unrelated ones
+in a bucket at any size, and the number of bands follows from ``miss``, the chance that a pair right at
 the threshold shares no band. Large buckets are cut into blocks that meet pair by pair. A pair is
 counted in its first shared band only, so no pair is ever written: blocks give link counts and a
 spanning forest.
@@ -37,7 +37,7 @@ from lattiq.shared import materialize
 class EmbeddingParams:
     threshold: float = 0.95
     miss: float = 1e-3
-    fill: float = 2.0
+    fill: float = 0.25
     sigmas: float = 4.0  # of the estimate, on either side
     block: int = 1024
     seed: int = 5
@@ -72,22 +72,37 @@ def _classes(column: pa.Array) -> list:
     return [pa.array([None if r is None else hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary()), pa.array(raw, pa.binary())]
 
 
-def _bands(p: EmbeddingParams, bits: int, n_bands: int):
-    """key, unit -> the band keys, the first rotation's coordinates, its sign factor."""
-    turns: dict[int, list[np.ndarray]] = {}
+def _stack(raw: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(raw)).reshape(len(raw), -1)
 
-    def code(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-        x = np.frombuffer(raw)
-        dim = len(x)
-        per = max(1, dim // bits)
-        if dim not in turns:
-            turns[dim] = [rotation(dim, p.seed, i) for i in range(math.ceil(n_bands / per))]
-        o = [r @ x for r in turns[dim]]
-        use = min(bits, dim)
-        keys = [int(np.packbits(v[j * use : (j + 1) * use] > 0, bitorder="little").tobytes().ljust(8, b"\0").hex(), 16) for v in o for j in range(per)][:n_bands]
-        return o[0], np.array([(k * 0x9E3779B97F4A7C15 + dim) % (1 << 63) for k in keys], np.int64)
 
-    return code
+def _by_length(raw: list[bytes]) -> Iterator[np.ndarray]:
+    lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+    for n in np.unique(lengths):
+        yield np.flatnonzero(lengths == n)
+
+
+class Bands:
+    """Band keys from the sign codes of as many rotations as the bands need."""
+
+    def __init__(self, p: EmbeddingParams, bits: int, n_bands: int) -> None:
+        self.p, self.bits, self.n_bands, self.turns = p, bits, n_bands, {}
+
+    def rotations(self, dim: int) -> list[np.ndarray]:
+        if dim not in self.turns:
+            per = max(1, dim // self.bits)
+            self.turns[dim] = [rotation(dim, self.p.seed, i) for i in range(math.ceil(self.n_bands / per))]
+        return self.turns[dim]
+
+    def keys(self, units: np.ndarray) -> np.ndarray:
+        """(rows, bands) of 32-bit keys; vectors of different lengths differ in them."""
+        dim = units.shape[1]
+        use, per = min(self.bits, dim), max(1, dim // self.bits)
+        powers, out = 1 << np.arange(use, dtype=np.int64), []
+        for r in self.rotations(dim):
+            code = (units @ r.T > 0)[:, : per * use].reshape(len(units), per, use)
+            out.append(code @ powers)
+        return ((np.concatenate(out, axis=1)[:, : self.n_bands] * 64 + dim % 64) & 0x7FFFFFFF).astype(np.int32)
 
 
 def _near(chunk: dict, p: EmbeddingParams) -> tuple[dict, list]:
@@ -143,13 +158,15 @@ def link(classes: DataFrame, p: EmbeddingParams) -> DataFrame:
     bits, n_bands = p.shape(n)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = _bands(p, bits, n_bands)
+        bands = Bands(p, bits, n_bands)
         for batch in batches:
-            made = [code(u)[1] for u in batch.column("unit").to_pylist()]
-            keys = pa.array([m.tolist() for m in made], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=["key", "unit", "size", "keys"])
+            raw, keys = batch.column("unit").to_pylist(), np.zeros((batch.num_rows, n_bands), np.int32)
+            for at in _by_length(raw):
+                keys[at] = bands.keys(_stack([raw[i] for i in at]))
+            lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, n_bands, dtype=np.int32), keys.ravel())
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["key", "unit", "size", "keys"])
 
-    coded = classes.select("key", "unit", "size").mapInArrow(spread, "key binary, unit binary, size long, keys array<long>")
+    coded = classes.select("key", "unit", "size").mapInArrow(spread, "key binary, unit binary, size long, keys array<int>")
     banded = coded.select("key", "unit", "size", "keys", F.posexplode("keys").alias("band", "bucket"))
     full = materialize(coded.select(F.posexplode("keys").alias("band", "bucket")).groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     met = banded.join(full, ["band", "bucket"])
@@ -160,7 +177,7 @@ def link(classes: DataFrame, p: EmbeddingParams) -> DataFrame:
     dealt = met.repartition("band", "bucket", "lo", "hi").sortWithinPartitions("band", "bucket", "lo", "hi", "key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = _bands(p, bits, n_bands)
+        bands = Bands(p, bits, n_bands)
 
         def run(table: pa.Table) -> pa.RecordBatch | None:
             if not table.num_rows:
@@ -169,15 +186,13 @@ def link(classes: DataFrame, p: EmbeddingParams) -> DataFrame:
             heads = np.stack([table.column(c).to_numpy() for c in names], axis=1)
             group = np.concatenate(([0], np.cumsum((heads[1:] != heads[:-1]).any(axis=1))))
             raw, key = table.column("unit").to_pylist(), table.column("key").to_pylist()
-            dims = np.array([len(r) for r in raw])
+            keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(raw), -1)
             out_k, out_o, out_n = [], [], []
-            for dim in np.unique(dims):  # buckets of different lengths differ, but for hash collisions
-                at = np.flatnonzero(dims == dim)
-                lo, hi = heads[at, 2], heads[at, 3]
+            for at in _by_length(raw):  # buckets of different lengths differ, but for rare equal keys
+                lo, hi, units = heads[at, 2], heads[at, 3], _stack([raw[i] for i in at])
                 chunk = {
-                    "group": group[at], "own": table.column("own").to_numpy()[at], "alone": lo == hi, "band": heads[at, 0],
-                    "keys": np.array([table.column("keys")[int(i)].as_py() for i in at]), "size": table.column("size").to_numpy()[at],
-                    "unit": np.stack([np.frombuffer(raw[i]) for i in at]), "rot": np.stack([code(raw[i])[0] for i in at]),
+                    "group": group[at], "own": table.column("own").to_numpy()[at], "alone": lo == hi, "band": heads[at, 0], "keys": keys[at],
+                    "size": table.column("size").to_numpy()[at], "unit": units, "rot": units @ bands.rotations(units.shape[1])[0].T,
                 }
                 counts, edges = _near(chunk, p)
                 some = np.flatnonzero(counts)
@@ -217,7 +232,8 @@ def near_duplicates(rows: DataFrame, p: EmbeddingParams = EmbeddingParams()) ->
     roots = components(found.where("other IS NOT NULL").select("key", "other")).toDF("key", "root")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     named = classes.select("key", "size", "least").join(roots, "key", "left").join(links, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = materialize(named, "named")
+    least = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")  # read anew, so that a large component's rows can be split in the join
     by_key = materialize(named.join(least, "root").select("key", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id"), "components")
     out = keyed.select("vec_id", "key").join(by_key, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("vec_id").isNull() & F.col("component_id").isNull()))
