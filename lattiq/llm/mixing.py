@@ -29,7 +29,7 @@ class MixParams:
     weights: tuple[int, ...] = (3, 1, 2)  # of the sources by code point, repeating
     share: Fraction = Fraction(3, 2)  # of all words
     most_epochs: int = 2
-    rows_a_range: int = 100_000
+    rows_a_range: int = 4096
 
 
 def targets(sizes: list[int], p: MixParams = MixParams()) -> list[float]:
