@@ -159,7 +159,8 @@ def link_fingerprints(fps: DataFrame, p: SimHashParams = SimHashParams()) -> Dat
             part = part.unionByName(guests)
         rows = part if rows is None else rows.unionByName(part)
     keys = rows.groupBy("part", "value").agg(F.count("*").alias("n"), F.count_if("home").alias("h")).where("n > 1 AND h > 0")
-    met = materialize(rows.join(keys.select("part", "value", "n"), ["part", "value"]), "met")
+    keys = materialize(keys.select("part", "value", "n"), "keys")  # read anew, so that a heavy key's rows can be split in the join
+    met = materialize(rows.join(keys, ["part", "value"]), "met")
     light = met.where(F.col("n") <= p.heavy)
     left = light.where("home").select("part", "value", F.col("fp").alias("a"))
     right = light.select("part", "value", F.col("fp").alias("b"))
