@@ -176,27 +176,60 @@ def link_fingerprints(fps: DataFrame, p: SimHashParams = SimHashParams()) -> Dat
     return near.unionByName(star)
 
 
-def near_duplicates(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of ``docs(doc_id, text)``."""
+def classes_of(docs: DataFrame, p: SimHashParams) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, fp), and each fingerprint's (fp, root, component_id)."""
     rows = materialize(with_fingerprints(docs.select("doc_id", "text"), p).select("doc_id", "fp"), "fingerprints")
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = components(link_fingerprints(classes.select("fp"), p)).toDF("fp", "root")
     named = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = materialize(named.join(least, "root").select("fp", "component_id"), "components")
+    return rows, materialize(named.join(least, "root").select("fp", "root", "component_id"), "components")
+
+
+def near_duplicates(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of ``docs(doc_id, text)``."""
+    rows, by_fp = classes_of(docs, p)
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+_SLOTS, _SLOT_BITS = 1 << 17, 64
+
+
+def _slot(c) -> tuple:
+    h = F.pmod(F.xxhash64(c, F.lit(9)), F.lit(_SLOTS * _SLOT_BITS))
+    return F.shiftright(h, 6), h.bitwiseAND(F.lit(_SLOT_BITS - 1)).cast("int")
+
+
 def deduplicate(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id."""
-    found = near_duplicates(docs, p)
-    keep = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    id_null = F.col("doc_id").isNull()
-    once = docs.join(keep.where("n = 1").select("doc_id"), docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    again = keep.where("n > 1").select(F.col("doc_id").alias("again"))
-    if again.isEmpty():
-        return once
-    del id_null
-    repeated = docs.join(again, F.col("doc_id").eqNullSafe(F.col("again")), "left_semi")
-    least = [F.min(F.struct(*docs.columns)).alias("row")]
-    return once.unionByName(repeated.groupBy("doc_id").agg(*least).select("row.*"))
+    """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id.
+
+    Texts that stay are not shuffled if they can be told apart cheaply: the ids to drop set bits of
+    a table of fixed size (2^17 rows at most, so it may be broadcast). Rows whose bit is clear stay;
+    only the others are joined with the ids. The more ids go, the more rows take the join, and the
+    result is the same. In a group without ids, the row with the least columns stays.
+    """
+    rows, by_fp = classes_of(docs, p)
+    verdict = rows.where("doc_id IS NOT NULL").join(by_fp, "fp").groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("stay"), F.count("*").alias("n"))
+    odd = materialize(verdict.where("stay <> 1 OR n <> 1"), "dropped")  # ids of which not just one row comes and stays
+    slot, bit = _slot(F.col("doc_id"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    bits = odd.select(slot.alias("__slot"), one.alias("one")).groupBy("__slot").agg(F.bit_or("one").alias("__bits"))
+    known = docs.where("doc_id IS NOT NULL")
+    told = known.join(F.broadcast(bits), slot == F.col("__slot"), "left")
+    mark = F.call_function("shiftright", F.col("__bits"), bit).bitwiseAND(F.lit(1).cast("long")) == 1
+    hit = F.coalesce(mark, F.lit(False))
+    sure = told.where(~hit).select(*docs.columns)
+    unsure = told.where(hit).select(*docs.columns)
+    out = sure.unionByName(unsure.join(odd.select("doc_id"), "doc_id", "left_anti").select(*docs.columns))
+    again = odd.where("stay > 0").select("doc_id")
+    least = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")
+    if not again.isEmpty():  # an id of several rows
+        held = unsure.join(again, "doc_id", "left_semi")
+        marked = with_fingerprints(held.select(*docs.columns), p, out="__fp").join(by_fp.select(F.col("fp").alias("__fp"), "component_id"), "__fp")
+        stays = marked.where(F.col("doc_id") == marked["component_id"])
+        out = out.unionByName(stays.groupBy("doc_id").agg(F.min(F.struct(*[stays[c] for c in docs.columns])).alias("row")).select("row.*"))
+    nameless = by_fp.where("component_id IS NULL").select(F.col("fp").alias("__fp"), F.col("root").alias("__root"))
+    if not nameless.isEmpty():
+        marked = with_fingerprints(docs.where("doc_id IS NULL"), p, out="__fp").join(nameless, "__fp")
+        out = out.unionByName(marked.groupBy("__root").agg(least).select("row.*"))
+    return out
