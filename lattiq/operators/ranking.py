@@ -83,8 +83,8 @@ def evaluate(scores: DataFrame, truth: DataFrame, missing: int = 50, ks: Sequenc
     """One row: n, hit rates at k and mean reciprocal rank of truth (case, d); a truth not listed has rank ``missing``.
 
     Cases without any score are not counted."""
-    seen = scores.select("case").distinct()
-    r = truth.join(seen, "case", "left_semi").join(ranked(scores).select("case", "d", "rank"), ["case", "d"], "left").withColumn("rank", F.coalesce("rank", F.lit(missing)))
+    at = F.coalesce(F.min(F.when(F.col("d") == F.col("_t"), F.col("rank"))), F.lit(missing))
+    r = ranked(scores).join(truth.select("case", F.col("d").alias("_t")), "case").groupBy("case", "_t").agg(at.alias("rank"))
     hits = [F.avg((F.col("rank") <= k).cast("double")).alias(f"at_{k}") for k in ks]
     return r.agg(F.count("*").alias("n"), *hits, F.avg(1 / F.col("rank")).alias("mrr"))
 

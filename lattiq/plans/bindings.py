@@ -6,17 +6,41 @@ was returned counts as denied, and a question is a brand.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattiq.operators import evidence, ranking
+from lattiq.shared import materialize
 
 
 def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+_held: list[dict[str, DataFrame]] = []
+
+
+@contextmanager
+def shared_mentions():
+    """Within this block the mentions are joined once, written to the shared folder and read by all that need them."""
+    _held.append({})
+    try:
+        yield
+    finally:
+        _held.pop()
+
+
 def mentions(spark: SparkSession, sf: str) -> DataFrame:
+    if _held:
+        if sf not in _held[-1]:
+            _held[-1][sf] = materialize(joined_mentions(spark, sf), "mentions")
+        return _held[-1][sf]
+    return joined_mentions(spark, sf)
+
+
+def joined_mentions(spark: SparkSession, sf: str) -> DataFrame:
     li = t(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
     o, c, p = t(spark, sf, "orders").select("o_orderkey", "o_custkey"), t(spark, sf, "customer"), t(spark, sf, "part")
     x = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(p, li.l_partkey == p.p_partkey)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,13 +16,28 @@ from lattiq.shared import fresh_path, materialize
 from lattiq.sources import readers, stores
 from lattiq.streaming import sessions
 
+#: Queries that use the joined mentions more than once.
+SHARED = {
+    "cosine_scores", "cosine_evaluation", "negative_evidence", "negative_evidence_idf", "negative_self_aware", "finding_counts", "count_score_family", "corrected_score_family", "clamped_score_family",
+    "normalised_scores", "top_k_diagnoses", "score_cutoffs", "min_match_filter", "tied_diagnoses", "weighted_edge_scores", "min_max_channel", "z_score_channel", "kg_naive_bayes", "channel_ensemble", "zero_shot_bayes",
+    "supervised_nb_counts", "few_shot_profile", "rerank_shortlist", "confuser_rerank", "question_aware_stack", "two_hop_candidates", "denied_limit_candidates", "greedy_selection", "information_gain", "related_diseases",
+    "reference_baselines", "question_rounds", "differential_macro", "bound_attributes", "attribute_aware_scores",
+}
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(s, sf):
+            if f.__name__ not in SHARED:
+                return f(s, sf)
+            with B.shared_mentions():
+                return f(s, sf)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = sql
         return f

@@ -129,18 +129,18 @@ def read_topics(spark: SparkSession, path: str, first: int = 3, least: int = 100
     shape = "term string, document array<struct<content: array<struct<_VALUE: string, _name: string>>>>"
     x = spark.read.format("xml").option("rowTag", "nlmSearchResult").schema(shape.replace("document", "list struct<document:").replace("array<struct<content", "array<struct<content", 1) + ">").load(path)
     docs = x.select("term", F.posexplode(F.slice("list.document", 1, first)).alias("ord", "d"))
-    of = lambda n: F.filter("d.content", lambda c: c["_name"] == n)[0]["_VALUE"]
+    of = lambda n: F.get(F.filter("d.content", lambda c: c["_name"] == n), 0)["_VALUE"]
     return docs.select(F.col("term").alias("topic"), "ord", F.coalesce(of("FullSummary"), of("snippet")).alias("text")).where(F.length("text") > least)
 
 
 def read_brat(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Stand-off annotations: spans (doc, id, type, start, stop, text), events (doc, id, type, target), relations (doc, id, type, a, b)."""
     x = spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.ann$", 1).alias("doc"), F.split("value", "\t").alias("f"))
-    id_, body = F.col("f")[0], F.split(F.try_element_at("f", F.lit(2)), r"[ ;]")
-    arg = lambda n: F.split(F.filter(body, lambda b: b.startswith(n))[0], ":")[1]
-    spans = x.where(id_.startswith("T")).select("doc", id_.alias("id"), body[0].alias("type"), body[1].cast("int").alias("start"), F.element_at(body, -1).cast("int").alias("stop"), F.try_element_at("f", F.lit(3)).alias("text"))
-    events = x.where(id_.startswith("E")).select("doc", id_.alias("id"), F.split(body[0], ":")[0].alias("type"), F.split(body[0], ":")[1].alias("target"))
-    rels = x.where(id_.startswith("R")).select("doc", id_.alias("id"), body[0].alias("type"), arg("Arg1").alias("a"), arg("Arg2").alias("b"))
+    id_, body, nth = F.col("f")[0], F.split(F.try_element_at("f", F.lit(2)), r"[ ;]"), F.get
+    arg = lambda n: nth(F.split(nth(F.filter(body, lambda b: b.startswith(n)), 0), ":"), 1)
+    spans = x.where(id_.startswith("T")).select("doc", id_.alias("id"), nth(body, 0).alias("type"), nth(body, 1).try_cast("int").alias("start"), F.try_element_at(body, F.lit(-1)).try_cast("int").alias("stop"), F.try_element_at("f", F.lit(3)).alias("text"))
+    events = x.where(id_.startswith("E")).select("doc", id_.alias("id"), nth(F.split(nth(body, 0), ":"), 0).alias("type"), nth(F.split(nth(body, 0), ":"), 1).alias("target"))
+    rels = x.where(id_.startswith("R")).select("doc", id_.alias("id"), nth(body, 0).alias("type"), arg("Arg1").alias("a"), arg("Arg2").alias("b"))
     return {"spans": spans, "events": events, "relations": rels}
 
 

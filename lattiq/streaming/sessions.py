@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 def windowed(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, event_type, n, total) in tumbling windows; works on a batch and on a stream."""
-    x = events.withWatermark("ts", late) if events.isStreaming else events
+    x = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     return x.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """(user_id, start, stop, n) of each user's runs of events less than ``gap`` apart."""
-    x = events.withWatermark("ts", late) if events.isStreaming else events
+    x = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     return x.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
 
 
