@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lattiq.functions import formulas as M
 from lattiq.functions import text as X
-from lattiq.operators import attributes, dialogue, evidence, graph, linking, metrics, ranking
+from lattiq.operators import attributes, dialogue, evidence, graph, linking, metrics, ranking, reports
 from lattiq.plans import bindings as B
 from lattiq.plans.bindings import t
 from lattiq.shared import fresh_path, materialize
@@ -1068,3 +1068,43 @@ def windowed_events(s, sf):
 @query("WITH x AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), y AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM x) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS n FROM y GROUP BY user_id, g")
 def session_windows(s, sf):
     return sessions.sessions(t(s, sf, "events"))
+
+
+# ---------------------------------------------------------------- reports
+
+
+@query(f"""{SUP}, a AS (SELECT al."case", be.d, be.p, st.yes FROM al JOIN be USING (d) LEFT JOIN st ON st."case" = al."case" AND st.p = be.p)
+SELECT "case", d, coalesce(string_agg(p, ',' ORDER BY p) FILTER (WHERE yes), '') AS matched, coalesce(string_agg(p, ',' ORDER BY p) FILTER (WHERE NOT yes), '') AS denied, count(*) FILTER (WHERE yes IS NULL) AS unasked FROM a GROUP BY ALL""")
+def partition_findings(s, sf):
+    x = reports.partition_findings(_supplier_state(s, sf), materialize(_brand_edges(s, sf), "edges"))
+    return x.select("case", "d", F.array_join("matched", ",").alias("matched"), F.array_join("denied", ",").alias("denied"), F.size("unasked").cast("long").alias("unasked"))
+
+
+@query(f"""{SUP}, a AS (SELECT al."case", be.d, be.p, st.yes FROM al JOIN be USING (d) LEFT JOIN st ON st."case" = al."case" AND st.p = be.p), g AS (SELECT "case", d, list(p ORDER BY p) FILTER (WHERE yes) AS m, coalesce(list(p ORDER BY p) FILTER (WHERE NOT yes), []) AS n, count(*) AS k FROM a GROUP BY ALL)
+SELECT "case", d, CASE WHEN len(m) / k >= 0.3 THEN 'LIKELY' WHEN len(m) / k >= 0.15 THEN 'POSSIBLE' ELSE 'UNLIKELY' END || ' ' || d || ': matched ' || array_to_string(m[1:5], ', ') || '; denied ' || array_to_string(n[1:3], ', ') || '; coverage ' || len(m) || '/' || k AS text FROM g""")
+def explanations(s, sf):
+    x = materialize(reports.partition_findings(_supplier_state(s, sf), materialize(_brand_edges(s, sf), "edges")), "parts")
+    n = F.size("matched") + F.size("denied") + F.size("unasked")
+    out = reports.explain(x, x.select("case", "d", (F.size("matched") / n).alias("share")))
+    return out.withColumn("text", F.regexp_replace("text", r" \([0-9.]+\):", ":"))
+
+
+@query(f"WITH {B.M}, a AS (SELECT DISTINCT \"case\", p_brand AS x FROM m WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT \"case\", p_brand AS x FROM m WHERE l_linestatus = 'O'), u AS (SELECT * FROM a UNION SELECT * FROM b), t AS (SELECT \"case\", min(p_brand) AS d FROM m GROUP BY ALL) SELECT u.\"case\", count(*) AS n, bool_or(x = d) AS hit FROM u JOIN t ON t.\"case\" = u.\"case\" GROUP BY ALL".replace("FROM m WHERE l_linestatus = 'O'", "FROM m WHERE source[2] = 'O'"))
+def candidate_union(s, sf):
+    m = B.mentions(s, sf)
+    pick = lambda test: m.where(test).groupBy("case").agg(F.collect_set("p_brand").alias("ds"))
+    return reports.hit_union(pick("l_returnflag = 'R'"), pick("source LIKE '%O'"), m.groupBy("case").agg(F.min("p_brand").alias("d")))
+
+
+@query(f"{CLO}, g AS (SELECT DISTINCT c_custkey AS \"case\", ancestor FROM customer JOIN cl ON x = 'NATION_' || c_nationkey), p AS (SELECT DISTINCT c_custkey AS \"case\", ancestor FROM customer JOIN cl ON x = 'NATION_' || ((c_nationkey + 7) % 25)), i AS (SELECT \"case\", count(*) AS i FROM g JOIN p USING (\"case\", ancestor) GROUP BY 1), ng AS (SELECT \"case\", count(*) AS ng FROM g GROUP BY 1), np AS (SELECT \"case\", count(*) AS np FROM p GROUP BY 1) SELECT \"case\", round(2 * coalesce(i, 0) / (ng + np), 6) AS f1 FROM ng JOIN np USING (\"case\") LEFT JOIN i USING (\"case\")")
+def set_hierarchy_f1(s, sf):
+    c = t(s, sf, "customer")
+    side = lambda k: c.select(F.col("c_custkey").alias("case"), F.concat(F.lit("NATION_"), ((F.col("c_nationkey") + k) % 25).cast("string")).alias("x"))
+    return rounded(reports.set_hierarchy_f1(side(0), side(7), graph.closure(_parents(s, sf), 3)), "f1")
+
+
+@query("SELECT l_suppkey AS d, l_partkey AS p, string_agg(DISTINCT f, ',' ORDER BY f) AS sources, count(DISTINCT f) AS n FROM (SELECT l_suppkey, l_partkey, l_returnflag || '-family' AS f FROM lineitem WHERE l_suppkey <> l_partkey) GROUP BY ALL")
+def external_edge_families(s, sf):
+    li = t(s, sf, "lineitem")
+    x = reports.external_edges({f"{k}-family": li.where(F.col("l_returnflag") == k).select(F.col("l_suppkey").alias("d"), F.col("l_partkey").alias("p")) for k in ("A", "N", "R")})
+    return x.withColumns({"sources": F.array_join("sources", ","), "n": F.col("n").cast("long")})

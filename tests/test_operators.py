@@ -196,3 +196,22 @@ def test_evaluation_excludes_cases_without_scores(spark):
     t = spark.createDataFrame([("k", "d1"), ("m", "d9"), ("z", "d1")], "case string, d string")
     r = ranking.evaluate(s, t).first()
     assert (r.n, r.at_1, r.at_3) == (2, 0.0, 0.5) and r.mrr == pytest.approx((0.5 + 1 / 50) / 2)
+
+
+def test_reports(spark, tmp_path):
+    import numpy as np
+
+    from lattiq.operators import reports
+
+    items = spark.createDataFrame([("fever", "severe", "odd", "bad fever", "a bad fever came"), ("rash", "mild", "sudden", "not there", "text"), (" ", "mild", None, "x", "x")], "name string, severity string, onset string, span string, text string")
+    assert [(r.name, r.severity, r.onset) for r in reports.valid_grounded(items).collect()] == [("fever", "severe", None), ("rash", None, None)]
+    assert one(spark, reports.validated(F.col("x"), F.col("y"), ("acute",)), x="acute", y="Acute onset") == "acute" and one(spark, reports.validated(F.col("x"), F.col("y"), ("acute",)), x="acute", y="slow") is None
+    tokens = spark.createDataFrame([("k", 2, "OTHER", "cough"), ("k", 1, "OTHER", "fever"), ("k", 3, "PAIN", "knee"), ("k", 4, "HISTORY", "smoker")], "case string, ord int, role string, phrase string")
+    assert reports.case_text(tokens).first().text == "PAIN: knee\nOTHER: fever; cough\nHISTORY: smoker"
+    up = graph.closure(spark.createDataFrame([("a1", "a"), ("b1", "b")], "x string, parent string"))
+    got = reports.pair_evaluation(spark.createDataFrame([("a", "b"), ("a", "z")], "a string, b string"), spark.createDataFrame([("b1", "a1"), ("a1", "a1")], "a string, b string"), up).first()
+    assert (got.precision, got.recall) == (1.0, 0.5)
+    assert [r.supported for r in reports.faithfulness(spark.createDataFrame([("c", "s", 0.4), ("c", "t", 0.6)], "claim string, sentence string, score double")).collect()] == [True]
+    np.save(tmp_path / "m.npy", np.array([[1.0, 2.0], [3.0, 4.0]]))
+    m = reports.read_score_matrix(spark, spark.read.format("binaryFile").load(str(tmp_path / "m.npy")), ["x", "y"])
+    assert [(r.case, r.d, r.score) for r in m.orderBy("case", "d").collect()] == [(0, "x", 1.0), (0, "y", 2.0), (1, "x", 3.0), (1, "y", 4.0)]
