@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattiq.llm.common import append_columns, texts_of
+from lattiq.shared import materialize
 
 #: Bytes: A-Z to a-z; all but digits, letters and bytes from 0x80 on to a blank.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -122,7 +123,7 @@ def scan_shard(texts: list[bytes], bench: Benchmark) -> list[dict]:
         parts.append(np.fromiter([get(w, 0) for w in words] + gap, np.int32, len(words) + p.window))
     tokens = np.concatenate([*parts, np.zeros(p.window, np.int32)]) if parts else np.zeros(p.window, np.int32)
     first = np.concatenate(([0], np.cumsum(counts + p.window)))
-    out = [{"n_words": int(n), "n_hit": 0, "items": [], "longest": 0, "longest_item": None, "longest_at": None} for n in counts]
+    out = [{"n_words": int(n), "n_hit": 0, "items": [], "longest": 0, "longest_item": None, "longest_at": None, "spans": []} for n in counts]
     at = bench.starts(tokens) if len(bench.at) else np.zeros(0, np.int64)
     if not len(at):
         return out
@@ -154,8 +155,11 @@ def scan_shard(texts: list[bytes], bench: Benchmark) -> list[dict]:
             d, x = int(doc[j]), (int(length[j]), bench.names[bench.item[win[j]]], int(pos[j] - first[doc[j]]))
             if d not in best or x[0] > best[d][0]:
                 best[d] = x
-    hit = np.concatenate(([0], np.cumsum(np.cumsum(change[:-1]) > 0)))
+    cover = np.cumsum(change[:-1]) > 0
+    hit = np.concatenate(([0], np.cumsum(cover)))
     for d, items in touched.items():
+        edge = np.flatnonzero(np.diff(cover[first[d] : first[d + 1]].astype(np.int8), prepend=0, append=0)).tolist()
+        out[d]["spans"] = list(zip(edge[::2], edge[1::2]))
         out[d] |= {"n_hit": int(hit[first[d + 1]] - hit[first[d]]), "items": sorted({bench.names[k] for k in items})}
         out[d] |= dict(zip(("longest", "longest_item", "longest_at"), best[d]))
     return out
@@ -164,20 +168,13 @@ def scan_shard(texts: list[bytes], bench: Benchmark) -> list[dict]:
 FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())] + [T.StructField("items", T.ArrayType(T.StringType())), T.StructField("longest", T.LongType()), T.StructField("longest_item", T.StringType()), T.StructField("longest_at", T.LongType())]
 
 
-def judge(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = DecontamParams()) -> DataFrame:
-    """``docs`` with n_words, n_hit, n_items, items_sha256, contaminated, items (with occurring
-    windows), and the longest verbatim match: its words, item and place in the document (in words).
+_FOUND = ("items", "longest", "longest_item", "longest_at")
+_TYPES = {"items_sha256": pa.string(), "contaminated": pa.bool_(), "items": pa.list_(pa.string()), "longest_item": pa.string(), "spans": pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))}
 
-    The benchmark is sent to the tasks only up to ``block_bytes`` of text, which is measured first;
-    a larger one raises, to be split by the caller into blocks, each judged for itself.
-    """
-    bench_rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = bench_rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    if total > p.block_bytes:
-        raise ValueError(f"benchmark of {total} bytes: judge it in blocks of at most {p.block_bytes}")
-    items = sorted((r.item_id, r.text.encode()) for r in bench_rows.collect())
-    held = docs.sparkSession.sparkContext.broadcast((items, p))
-    cache: dict = {}
+
+def _scan(docs: DataFrame, items: list[tuple[str, bytes]], p: DecontamParams, fields: list[T.StructField]) -> DataFrame:
+    """``docs`` with what one block of items gives; the items go to the tasks."""
+    held, cache = docs.sparkSession.sparkContext.broadcast((items, p)), {}
 
     def run(column: pa.Array) -> list:
         if "b" not in cache:
@@ -185,10 +182,44 @@ def judge(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = DecontamPar
         rows = scan_shard(texts_of(column), cache["b"])
         for r in rows:
             r |= {"n_items": len(r["items"]), "items_sha256": hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), "contaminated": r["n_hit"] > 0 and p.share * r["n_hit"] >= r["n_words"]}
-        types = {"items_sha256": pa.string(), "contaminated": pa.bool_(), "items": pa.list_(pa.string()), "longest_item": pa.string()}
-        return [pa.array([r[f.name] for r in rows], types.get(f.name, pa.int64())) for f in FIELDS]
+            r["spans"] = [{"a": a, "b": b} for a, b in r["spans"]]
+        return [pa.array([r[f.name] for r in rows], _TYPES.get(f.name, pa.int64())) for f in fields]
+
+    return append_columns(docs, "text", run, fields)
 
-    return append_columns(docs, "text", run, FIELDS)
+
+def judge(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = DecontamParams()) -> DataFrame:
+    """``docs`` with n_words, n_hit, n_items, items_sha256, contaminated, items (with occurring
+    windows), and the longest verbatim match: its words, item and place in the document (in words).
+
+    The benchmark's text is measured first. Up to ``block_bytes`` of it go to the tasks in one pass;
+    a larger benchmark is cut into blocks of about that size by a hash of the item, each a pass over
+    the documents, and the hit intervals of a row are united. The passes name rows by their place in
+    the scan, so ``docs`` must then be a plain scan of a table.
+    """
+    rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    blocks = -(-total // p.block_bytes) or 1
+    part = lambda b: sorted((r.item_id, r.text.encode()) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect())
+    if blocks == 1:
+        return _scan(docs, part(0), p, FIELDS)
+    new = {f.name.lower() for f in FIELDS}
+    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]).withColumn("__row", F.monotonically_increasing_id())
+    span = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+    fields = [*[f for f in FIELDS if f.name in _FOUND], T.StructField("spans", span)]
+    found = None
+    for b in range(blocks):
+        one = materialize(_scan(keyed.select("__row", "text"), part(b), p, fields).where(F.size("items") > 0).drop("text"), f"block{b}")
+        found = one if found is None else found.unionByName(one)
+    best = F.min_by(F.struct("longest", "longest_item", "longest_at"), F.struct(-F.col("longest"), F.col("longest_item"), F.col("longest_at")))
+    found = found.groupBy("__row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), best.alias("best"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("at"))
+    step = lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), x["b"] - F.greatest(x["a"], s["at"]))).alias("n"), F.greatest(s["at"], x["b"]).alias("at"))
+    found = found.select("__row", "items", F.aggregate("spans", start, step)["n"].alias("n_hit"), "best.*")
+    words = F.coalesce(F.size(F.regexp_extract_all("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"), F.lit(0))), F.lit(0))
+    out = keyed.join(found, "__row", "left").withColumns({"n_words": F.when(F.col("text").isNull(), 0).otherwise(words).cast("long"), "n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>")), "longest": F.coalesce("longest", F.lit(0).cast("long"))})
+    out = out.withColumns({"n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.array_join("items", ","), 256), "contaminated": (F.col("n_hit") > 0) & (F.col("n_hit") * p.share >= F.col("n_words"))})
+    return out.select(*[c for c in keyed.columns if c != "__row"], *[f.name for f in FIELDS])
 
 
 ORACLE = r"""
