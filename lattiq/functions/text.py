@@ -59,6 +59,7 @@ def phrase_parts(c: Column) -> Column:
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.trim(F.lower(c))))
 
 
+#: Terms and patterns that are no findings (own lists).
 NOISE = ("patient", "patients", "treatment", "therapy", "study", "diagnosis", "unknown", "other", "n/a", "none")
 NOISE_PATTERNS = (r"^\d+$", r"^[^a-z]+$", r"\b(?:mg|ml|kg)\b", r"^(?:the|a|an)$", r"https?:", r"\bet al\b", r"^table\b", r"^figure\b", r"[{}<>]", r"\d{4,}")
 

@@ -16,7 +16,7 @@ def pair_count_scores(cases: DataFrame, counts: DataFrame) -> DataFrame:
     e = counts.join(idf, "p")
     t = e.groupBy("d").agg(F.count("*").alias("t"), F.sum("n").alias("all_n"), F.sum("i").alias("all_i"))
     m = cases.distinct().join(e, "p").groupBy("case", "d").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.sum("i").alias("x"), F.sum(F.log1p("n")).alias("ln_n"))
-    j = m.join(F.broadcast(t), "d")
+    j = m.join(t, "d")
     return j.select("case", "d", (F.col("c") / F.col("t")).alias("coverage"), F.col("w").cast("double").alias("weighted"), F.col("x").alias("idf"), (F.col("c") * F.col("c") / (F.col("t") + 1)).alias("ratio"),
                     (F.col("ln_n") - F.col("c") * F.log1p("all_n")).alias("bayes"), (F.col("x") - 0.1 * (F.col("all_i") - F.col("x"))).alias("idf_negative"))
 
@@ -51,7 +51,7 @@ def cardinal_negative(scores: DataFrame, cases: DataFrame, profile: DataFrame, i
     card = ranking.top_profile(profile, k).where(F.col("w") > least).join(idf, "p", "left").withColumn("x", F.col("w") * F.coalesce("idf", F.lit(1.0)))
     total = card.groupBy("d").agg(F.sum("x").alias("_all"))
     hit = cases.distinct().join(card, "p").groupBy("case", "d").agg(F.sum("x").alias("_hit"))
-    j = scores.join(F.broadcast(total), "d", "left").join(hit, ["case", "d"], "left")
+    j = scores.join(total, "d", "left").join(hit, ["case", "d"], "left")
     return j.withColumn("score", F.col("score") - lam * (F.coalesce("_all", F.lit(0.0)) - F.coalesce("_hit", F.lit(0.0)))).drop("_all", "_hit")
 
 

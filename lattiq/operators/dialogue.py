@@ -66,14 +66,14 @@ def select_question(gains: DataFrame, strategy: str) -> DataFrame:
 
 def bayes_gain(profile: DataFrame, prior: DataFrame) -> DataFrame:
     """(case, p, p_yes, gain) for beliefs (case, d, belief): expected fall of entropy if p is asked; an answer is
-    taken as .05 + .9 w likely."""
-    like = 0.05 + 0.9 * F.col("w")
-    vocabulary = profile.select("p").distinct()
-    x = prior.join(F.broadcast(vocabulary)).join(profile, ["d", "p"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+    taken as .05 + .9 w likely. Only findings of some disease of the case are listed; others gain nothing."""
+    # a finding outside a profile has w 0: start from the sums as if all had, and correct where the profile has it
     xlog = lambda v: F.when(v > 0, v * F.log2(F.when(v > 0, v))).otherwise(0.0)
-    a, b = F.col("belief") * like, F.col("belief") * (1 - like)
-    g = x.groupBy("case", "p").agg(F.sum(a).alias("p_yes"), F.sum(b).alias("p_no"), F.sum(xlog(a)).alias("la"), F.sum(xlog(b)).alias("lb"), (-F.sum(xlog(F.col("belief")))).alias("h"))
-    after = (xlog(F.col("p_yes")) - F.col("la")) + (xlog(F.col("p_no")) - F.col("lb"))
+    b, like = F.col("belief"), 0.05 + 0.9 * F.col("w")
+    total = prior.groupBy("case").agg(F.sum(b).alias("b"), F.sum(xlog(0.05 * b)).alias("a0"), F.sum(xlog(0.95 * b)).alias("b0"), (-F.sum(xlog(b))).alias("h"))
+    x = prior.join(profile, "d").groupBy("case", "p").agg(F.sum(b * F.col("w")).alias("bw"), F.sum(xlog(b * like) - xlog(0.05 * b)).alias("da"), F.sum(xlog(b * (1 - like)) - xlog(0.95 * b)).alias("db"))
+    g = x.join(total, "case").withColumn("p_yes", 0.05 * F.col("b") + 0.9 * F.col("bw"))
+    after = xlog(F.col("p_yes")) - F.col("a0") - F.col("da") + xlog(F.col("b") - F.col("p_yes")) - F.col("b0") - F.col("db")
     return g.select("case", "p", "p_yes", (F.col("h") - after).alias("gain"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattiq.functions import formulas as M
+from lattiq.operators.ranges import range_of
 
 
 def edge_weights(mentions: DataFrame, n_families: int = 5) -> DataFrame:
@@ -94,7 +95,7 @@ def benjamini_hochberg(df: DataFrame, p: str = "p_value", ranges: int = 64) -> D
     task sorts the whole table.
     """
     values = df.groupBy(p).agg(F.count("*").alias("_n")).where(F.col(p).isNotNull())
-    cut = values.withColumn("_r", F.least(F.floor(F.col(p) * ranges), F.lit(ranges - 1)))
+    cut = values.withColumn("_r", range_of(values, p, ranges))
     per = cut.groupBy("_r").agg(F.sum("_n").alias("_s"))
     order = Window.orderBy("_r")
     per = per.select("_r", (F.sum("_s").over(order) - F.col("_s")).alias("_before"), F.sum("_s").over(Window.partitionBy()).alias("_all"))

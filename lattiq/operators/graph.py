@@ -96,6 +96,7 @@ def common_ancestor(pairs: DataFrame, up: DataFrame) -> DataFrame:
     return x.groupBy("a", "b").agg(F.min(F.col("da") + F.col("db")).alias("dist"))
 
 
+#: Weights of relation kinds (fixed values).
 RELATION_WEIGHTS = {"SY": 1.0, "PAR": 0.6, "CHD": 0.6, "RB": 0.6, "RN": 0.6}
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattiq.operators.ranges import range_of
+
 
 def set_metrics(rows: DataFrame, gold: str, predicted: str) -> DataFrame:
     """Micro recall, precision and F1 of two array columns; an empty set counts 1 in its denominator."""
@@ -105,22 +107,24 @@ def one_way_anova(rows: DataFrame, factor: str, value: str) -> DataFrame:
 
 
 def chi2_contingency(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """(chi2, df) of the table of two columns, cells of zero included."""
-    n = rows.groupBy(a, b).agg(F.count("*").alias("o"))
+    """(chi2, df) of the table of two columns; sum(o^2 / e) - n needs no cells of zero."""
+    n = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("o"))
     ra, rb = n.groupBy(a).agg(F.sum("o").alias("ra")), n.groupBy(b).agg(F.sum("o").alias("rb"))
-    t = n.agg(F.sum("o").alias("t"))
-    grid = ra.crossJoin(rb).crossJoin(t).join(n, [a, b], "left").withColumn("o", F.coalesce("o", F.lit(0)))
-    e = F.col("ra") * F.col("rb") / F.col("t")
-    return grid.agg(F.sum((F.col("o") - e) ** 2 / e).alias("chi2"), ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).alias("df"))
+    x = n.join(ra, a).join(rb, b).agg(F.sum(F.col("o") * F.col("o") / (F.col("ra") * F.col("rb").cast("double"))).alias("s"), F.sum("o").alias("t"), ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).alias("df"))
+    return x.select((F.col("t") * F.col("s") - F.col("t")).alias("chi2"), "df")
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Correlation of average ranks; ranks are taken on distinct values with their counts."""
-    x = rows
+    """Correlation of average ranks; ranks are taken on distinct values with their counts, range by range."""
+    x = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     for c in (a, b):
-        n = rows.groupBy(c).agg(F.count("*").alias("_n"))
-        w = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
-        x = x.join(n.select(c, (F.sum("_n").over(w) - (F.col("_n") - 1) / 2).alias(f"_r_{c}")), c)
+        n = x.groupBy(c).agg(F.count("*").alias("_n"))
+        cut = n.withColumn("_r", range_of(n, c))
+        per = cut.groupBy("_r").agg(F.sum("_n").alias("_s"))
+        per = per.select("_r", (F.sum("_s").over(Window.orderBy("_r")) - F.col("_s")).alias("_before"))  # one row a range
+        inside = F.sum("_n").over(Window.partitionBy("_r").orderBy(c))
+        ranks = cut.join(F.broadcast(per), "_r").select(c, (F.col("_before") + inside - (F.col("_n") - 1) / 2).alias(f"_r_{c}"))
+        x = x.join(ranks, c)
     return x.agg(F.corr(f"_r_{a}", f"_r_{b}").alias("rho"))
 
 

@@ -97,7 +97,7 @@ def finding_counts(facts: DataFrame, edges: DataFrame) -> DataFrame:
     t = e.groupBy("d").agg(F.count("*").alias("t"))
     total = facts.where("yes").groupBy("case").agg(F.count_distinct("p").alias("total"))
     n = facts.distinct().join(e, "p").groupBy("case", "d").agg(F.count_if("yes").alias("c"), F.count_if(~F.col("yes")).alias("x"))
-    return n.where("c > 0").join(F.broadcast(t), "d").join(total, "case").select("case", "d", "c", "x", "t", "total")
+    return n.where("c > 0").join(t, "d").join(total, "case").select("case", "d", "c", "x", "t", "total")
 
 
 def shares(scores: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def cosine(cases: DataFrame, profile: DataFrame, idf: DataFrame, beta: float = 0
     vnorm = vec.groupBy("case").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("vnorm"))
     dnorm = profile.groupBy("d").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("dnorm"))
     dot = vec.join(profile, "p").groupBy("case", "d").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    return dot.join(vnorm, "case").join(F.broadcast(dnorm), "d").select("case", "d", (F.col("dot") / (F.col("vnorm") * F.col("dnorm"))).alias("score"), "dnorm")
+    return dot.join(vnorm, "case").join(dnorm, "d").select("case", "d", (F.col("dot") / (F.col("vnorm") * F.col("dnorm"))).alias("score"), "dnorm")
 
 
 def question_signal(profile: DataFrame, questions: DataFrame, idf: DataFrame, tau: float | None = None, sharpness: float = 0.5, gamma: float = 0.0) -> DataFrame:
@@ -133,10 +133,11 @@ def negative_channel(scores: DataFrame, denied: DataFrame, signal: DataFrame, la
     """Scores (with dnorm) less lam times the signal of the denied questions (case, q) over sqrt(n) dnorm."""
     asked = denied.distinct()
     n = asked.groupBy("case").agg(F.count("*").alias("_n"))
-    pen = asked.join(signal, "q").groupBy("case", "d").agg(F.sum("s").alias("_pen"))
-    left = scores.join(pen, ["case", "d"], "left").join(n, "case", "left")
-    off = F.coalesce("_pen", F.lit(0.0)) / (F.sqrt(F.greatest(F.coalesce("_n", F.lit(1)), F.lit(1))) * F.col("dnorm"))
-    return left.withColumn("score", F.col("score") - lam * off).drop("_pen", "_n")
+    asked = asked.join(n, "case")
+    # one pass over the scored pairs: a case's questions meet its pairs on the case, so only pairs with a score are looked up
+    met = scores.select("case", "d", "score", "dnorm").join(asked, "case", "left").join(signal, ["q", "d"], "left")
+    pen = met.groupBy("case", "d", "score", "dnorm").agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("_pen"), F.coalesce(F.max("_n"), F.lit(1)).alias("_n"))
+    return pen.select("case", "d", (F.col("score") - lam * F.col("_pen") / (F.sqrt("_n") * F.col("dnorm"))).alias("score"), "dnorm")
 
 
 def min_max(scores: DataFrame, column: str = "score") -> DataFrame:
@@ -192,7 +193,7 @@ def naive_bayes(cases: DataFrame, profile: DataFrame, floor: float = 1e-3) -> Da
     n = known.groupBy("case").agg(F.count("*").alias("n"))
     lift = known.join(profile, "p").groupBy("case", "d").agg(F.sum(F.log(p) - F.log(1 - p)).alias("lift"), F.count("*").alias("m"))
     other = float(M.math.log(floor) - M.math.log(1 - floor))
-    return lift.join(n, "case").join(F.broadcast(base), "d").select("case", "d", (F.col("base") + F.col("lift") + (F.col("n") - F.col("m")) * other).alias("score"))
+    return lift.join(n, "case").join(base, "d").select("case", "d", (F.col("base") + F.col("lift") + (F.col("n") - F.col("m")) * other).alias("score"))
 
 
 def bayes_by_evidence(cases: DataFrame, denied: DataFrame, profile: DataFrame, s: float = 0.05, neg: float = 0.5) -> DataFrame:
@@ -240,7 +241,7 @@ def q_aware(cases: DataFrame, marks: DataFrame, alpha: float = 0.3, sig_w: float
         F.sum("w").alias("w"), F.sum(F.when(F.col("core"), F.col("w")).otherwise(0.0)).alias("core_hit"), F.count_if("signature").alias("sig_hit"), F.count("*").alias("m")
     )
     same = cases.distinct().select("case", F.col("p").cast("string").alias("d")).withColumn("_id", F.lit(boost))
-    x = hit.join(F.broadcast(d), "d").join(n, "case").withColumn("d", F.col("d").cast("string")).join(same, ["case", "d"], "left")
+    x = hit.join(d, "d").join(n, "case").withColumn("d", F.col("d").cast("string")).join(same, ["case", "d"], "left")
     s1 = (F.col("w") - alpha * (F.col("core_w") - F.col("core_hit"))) / F.sqrt("all_w") + sig_w * F.col("sig_hit") / F.greatest("n_sig", F.lit(1)) + F.coalesce("_id", F.lit(0.0))
     return x.select("case", "d", s1.alias("score"), (F.col("m") / F.col("n")).alias("coverage"))
 
@@ -249,7 +250,7 @@ def nb_counts(cases: DataFrame, truth: DataFrame, alpha: float = 1.0) -> DataFra
     """(d, p, prob): Laplace-smoothed share of a disease's cases that have the finding; pairs never seen are not listed."""
     n = truth.groupBy("d").agg(F.count_distinct("case").alias("n"))
     k = cases.distinct().join(truth, "case").groupBy("d", "p").agg(F.count("*").alias("k"))
-    return k.join(F.broadcast(n), "d").select("d", "p", ((F.col("k") + alpha) / (F.col("n") + 2 * alpha)).alias("prob"))
+    return k.join(n, "d").select("d", "p", ((F.col("k") + alpha) / (F.col("n") + 2 * alpha)).alias("prob"))
 
 
 def few_shot(truth: DataFrame, n: int, seed: int = 42) -> DataFrame:

@@ -111,6 +111,7 @@ def unescape_html(c: Column) -> Column:
     return c
 
 
+#: Weights of the frequency labels (fixed values).
 FREQUENCY = {"Obligate": 1.0, "Very frequent": 0.9, "Frequent": 0.55, "Occasional": 0.17, "Very rare": 0.025, "Excluded": 0.0}
 
 
