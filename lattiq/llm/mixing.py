@@ -30,6 +30,7 @@ class MixParams:
     share: Fraction = Fraction(3, 2)  # of all words
     most_epochs: int = 2
     rows_a_range: int = 4096
+    most_sent: int = 100_000  # sources up to which their table is sent to all tasks
 
 
 def targets(sizes: list[int], p: MixParams = MixParams()) -> list[float]:
@@ -63,7 +64,7 @@ def mix(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     plan = spark.createDataFrame([(r.source, r.source_size, max(1, -(-r["rows"] // p.rows_a_range)), t) for r, t in zip(sources, goal)], shape)
     unit = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     same = slim["source"].eqNullSafe(plan["source"])
-    rows = slim.join(F.broadcast(plan), same).select("doc_id", slim["source"], "size", "key", "source_size", "target", F.shiftright(unit * F.col("ranges"), 32).alias("range"))
+    rows = slim.join(F.broadcast(plan) if len(goal) <= p.most_sent else plan, same).select("doc_id", slim["source"], "size", "key", "source_size", "target", F.shiftright(unit * F.col("ranges"), 32).alias("range"))
     part = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     start = part.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
