@@ -44,7 +44,7 @@ class EmbeddingParams:
 
     def shape(self, n: int) -> tuple[int, int]:
         """Bits of a band and number of bands for n classes."""
-        bits = int(min(24, max(4, math.ceil(math.log2(max(n, 2) / self.fill)))))
+        bits = int(min(48, max(4, math.ceil(math.log2(max(n, 2) / self.fill)))))  # 48 bits do for 10^13 classes
         agree = 1 - math.acos(self.threshold) / math.pi
         return bits, math.ceil(math.log(self.miss) / math.log1p(-(agree**bits)))
 
@@ -95,14 +95,17 @@ class Bands:
         return self.turns[dim]
 
     def keys(self, units: np.ndarray) -> np.ndarray:
-        """(rows, bands) of 32-bit keys; vectors of different lengths differ in them."""
+        """(rows, bands) of 31-bit keys; those of vectors of different lengths seldom agree."""
         dim = units.shape[1]
         use, per = min(self.bits, dim), max(1, dim // self.bits)
         powers, out = 1 << np.arange(use, dtype=np.int64), []
         for r in self.rotations(dim):
             code = (units @ r.T > 0)[:, : per * use].reshape(len(units), per, use)
             out.append(code @ powers)
-        return ((np.concatenate(out, axis=1)[:, : self.n_bands] * 64 + dim % 64) & 0x7FFFFFFF).astype(np.int32)
+        codes = np.concatenate(out, axis=1)[:, : self.n_bands] * 64 + dim % 64
+        if self.bits > 24:  # wider codes are hashed to 31 bits; equal codes stay equal
+            codes = ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).view(np.int64)
+        return codes.astype(np.int32)
 
 
 def _near(chunk: dict, p: EmbeddingParams) -> tuple[dict, list]:

@@ -116,6 +116,8 @@ def test_embeddings_against_brute_force(spark):
     want = classes_of(len(rows), links)
     df = spark.createDataFrame([(i, v, i % 3) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
     got = sorted(embeddings.near_duplicates(df, embeddings.EmbeddingParams(block=16)).collect())
+    wide = embeddings.EmbeddingParams(fill=2.0**-22)  # bands of over 24 bits
+    assert wide.shape(100)[0] > 24 and sorted(embeddings.near_duplicates(df, wide).collect()) == got
     assert [(r.vec_id, r.n_links, r.component_id, r.kept) for r in got] == [(i, degree[i], want[i], want[i] == i) for i in range(len(rows))]
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
