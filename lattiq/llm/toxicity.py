@@ -9,7 +9,8 @@ expected grade, and a text is rejected if grade 0 has a probability below one ha
 Fitting uses at most ``max_train`` labelled rows, drawn by a hash of their id; everything else
 covers all rows. Edge cases: null and empty texts have no words and get the base rate; without
 labels, or with one class only, no word is selected and all texts get the base rate; rows with equal
-or null ids are scored each for itself; labels that repeat an id count once, as the largest.
+or null ids are scored each for itself; labels that repeat an id count once, as the largest; a
+labelled id of several texts counts each one's words and is fitted by one of them.
 """
 
 from __future__ import annotations
@@ -116,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
     """Learn from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``."""
     drawn = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
     drawn = drawn.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(p.max_train)  # so many ids at most are sent out
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "y")
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "y", "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
         return [pa.array([[i for i, _ in v] for v in vectors], pa.list_(pa.int32())), pa.array([[x for _, x in v] for v in vectors], pa.list_(pa.float64()))]
 
     fields = [T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("value", T.ArrayType(T.DoubleType()))]
-    marked = append_columns(rows, "text", mark, fields).select("y", "at", "value").collect()  # max_train rows at most, unless ids repeat
+    marked = append_columns(rows, "text", mark, fields).groupBy("doc_id").agg(F.min(F.struct("y", "at", "value")).alias("r"))
+    marked = [r.r for r in sorted(marked.collect(), key=lambda r: str(r.doc_id))]  # max_train rows at most, one an id
     x, toxic = np.zeros((len(marked), 3 * len(words))), np.array([r.y for r in marked])
     for i, r in enumerate(marked):
         x[i, r.at] = r.value
