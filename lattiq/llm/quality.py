@@ -6,8 +6,8 @@ and solved once; pool-adjacent-violators turns the ridge scores into probabiliti
 
 Fitting uses at most ``max_train`` labelled rows, drawn by a hash of their id, in ``parts`` tasks.
 Edge cases: null and empty texts have the statistics of a text without words and are scored; without
-labelled rows every score is 0.5; labels that repeat an id count once, as the smallest; rows with
-equal or null ids are scored each for itself.
+labelled rows every score is 0.5; labels that repeat an id count once, as the smallest; a labelled
+id of several texts is fitted by one of them; rows with equal or null ids are scored each for itself.
 """
 
 from __future__ import annotations
@@ -126,7 +126,8 @@ def labelled(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParam
 
 def fit(stats: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> QualityModel:
     """Learn from ``stats(doc_id, stats)`` and ``labels(doc_id, quality)``."""
-    rows = stats.select("doc_id", "stats").join(F.broadcast(draw(labels, p)), "doc_id").select("stats", "y").repartition(p.parts).persist()
+    rows = stats.select("doc_id", "stats").join(F.broadcast(draw(labels, p)), "doc_id").repartition(p.parts, "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("stats", "y")).alias("r")).sortWithinPartitions("doc_id").select("r.*").persist()
     rng = np.random.default_rng(p.seed)
     freq, phase = rng.normal(size=(N_STATS, p.features)) / p.scale, rng.uniform(0, 2 * np.pi, p.features)
     got = rows.agg(F.count("*").alias("n"), *[f(F.col("stats")[i]).alias(f"{f.__name__}{i}") for f in (F.avg, F.stddev_pop) for i in range(N_STATS)]).first()

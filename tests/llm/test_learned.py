@@ -36,6 +36,16 @@ def test_toxicity_learns_planted_words_and_takes_edge_cases(spark):
     assert none.where("toxic").count() in (0, 405) and toxicity.score(df.limit(0), toxicity.fit(df.limit(0), labels)).count() == 0
 
 
+def test_a_labelled_id_of_many_texts_is_fitted_by_one(spark):
+    docs = [(i, "vile foul " * (i % 4 == 0) + f"good plain words {i}") for i in range(80)] + [(0, f"vile foul again {i}") for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), int(i % 4 == 0)) for i in range(80)], "doc_id long, quality int, toxic int")
+    got = toxicity.score(df, toxicity.fit(df, labels)).collect()
+    assert len(got) == 380 and all(r.toxic == ("vile" in r.text) for r in got)
+    stats = quality.with_statistics(df)
+    assert quality.fit(stats, labels).weights.tolist() == quality.fit(stats.distinct().repartition(7), labels).weights.tolist()
+
+
 def test_isotonic_is_the_best_monotone_fit():
     x, y = np.array([1.0, 1, 2, 3, 4, 5]), np.array([0.0, 1, 0, 1, 0, 1])
     at, level = quality.isotonic(x, y)
