@@ -12,8 +12,10 @@ separator are one more, unended, document; an empty file holds no document; null
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattiq.llm.common import append_columns
-from lattiq.shared import fresh_path
+from lattiq.shared import fresh_path, materialize
 
 
 @dataclass(frozen=True)
@@ -33,6 +34,7 @@ class TokenFileParams:
     block_tokens: int = 1 << 21
 
 
+@lru_cache(maxsize=2)
 def load_encoding(vocabulary: str):
     """The byte-pair encoding of a ``.tiktoken`` rank file."""
     import public_tokenizers
@@ -43,29 +45,33 @@ def load_encoding(vocabulary: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str, p: TokenFileParams = TokenFileParams()) -> None:
-    """Tokenise ``docs(text)`` into flat files, one for each task, in the order of its rows.
+def write_token_files(docs: DataFrame, path: str, vocabulary: str, p: TokenFileParams = TokenFileParams()) -> DataFrame:
+    """Tokenise ``docs(doc_id, text)`` into flat files below ``path``; (doc_id, file, doc_ord) of every row.
 
-    Spark's own text writer writes the bytes, with the separator's bytes as the end of a record, so
-    any file system works and a lost task is written anew. Ids at or beyond ``eod`` raise.
+    An attempt of a task writes a file of its own, which its rows name. The rows are a written table,
+    to which committed attempts alone add, so a lost executor or a second attempt leaves at most a
+    file that no row names. Ids at or beyond ``eod`` raise.
     """
-    kind = f"<u{p.width}"
-    cache: dict = {}
-
-    def run(column: pa.Array) -> list:
-        if "e" not in cache:
-            cache["e"] = load_encoding(vocabulary)
-        out = []
-        for text in column.to_pylist():
-            ids = np.array(cache["e"].encode_ordinary(text or ""), np.uint32)
-            if len(ids) and ids.max() >= min(p.eod, 1 << 8 * p.width):
-                raise ValueError("a token id meets the separator or does not fit")
-            out.append(ids.astype(kind).tobytes())
-        return [pa.array(out, pa.binary())]
-
-    made = append_columns(docs.select("text"), "text", run, [T.StructField("tokens", T.BinaryType())])
-    ended = p.eod.to_bytes(p.width, "little").decode("latin-1")
-    made.select(F.col("tokens").cast("string").alias("value")).write.option("lineSep", ended).option("encoding", "ISO-8859-1").text(path)
+    at_once, inside = pafs.FileSystem.from_uri(path)
+    at_once.create_dir(inside, recursive=True)
+    shape = T.StructType([docs.schema["doc_id"], T.StructField("file", T.StringType()), T.StructField("doc_ord", T.LongType())])
+    kind, ended = f"<u{p.width}", p.eod.to_bytes(p.width, "little")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding, name, seen = load_encoding(vocabulary), uuid.uuid4().hex, 0
+        fs, inner = pafs.FileSystem.from_uri(path)
+        with fs.open_output_stream(f"{inner}/{name}") as out:
+            for batch in batches:
+                for text in batch.column(1).to_pylist():
+                    ids = np.array(encoding.encode_ordinary(text or ""), np.uint32)
+                    if len(ids) and ids.max() >= min(p.eod, 1 << 8 * p.width):
+                        raise ValueError("a token id meets the separator or does not fit")
+                    out.write(ids.astype(kind).tobytes() + ended)
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name] * n, pa.string()), pa.array(np.arange(seen, seen + n), pa.int64())], names=["doc_id", "file", "doc_ord"])
+                seen += n
+
+    return materialize(docs.select("doc_id", "text").mapInArrow(run, shape), "written")
 
 
 def _read_block(path: str, offset: int, length: int) -> bytes:
@@ -114,29 +120,19 @@ def token_counts(spark: SparkSession, path: str, p: TokenFileParams = TokenFileP
     return rows.select("path", (F.col("ended") + F.col("i")).alias("doc_ord"), "n_tokens", start.alias("start"))
 
 
-def count_documents(docs: DataFrame, vocabulary: str, p: TokenFileParams = TokenFileParams()) -> DataFrame:
-    """(doc_id, n_tokens) of every row: write token files, scan them, and name what the scan finds.
+def named_counts(written: DataFrame, counts: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens) of the rows that ``write_token_files`` gave, from the scan of its files.
 
-    The files hold no ids. A scan of a table gives the same rows to a task in the same order, with
-    or without its texts, so a file's number and a place in it name a row; were the two passes ever
-    to differ in the number of rows of a task, that is an error, never a wrong count.
+    Files that no row names do not count; a row whose document the scan has not found raises.
     """
-    spark = docs.sparkSession
-    path = fresh_path(spark, "tokens")
-    write_token_files(docs, path, vocabulary, p)
-    counts = token_counts(spark, path, p).withColumn("task", F.regexp_extract("path", r"part-(\d+)", 1).cast("int"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    found = counts.select(F.element_at(F.split("path", "/"), -1).alias("file"), "doc_ord", "n_tokens")
+    met = written.join(found, ["file", "doc_ord"], "left")
+    wrong = F.raise_error(F.lit("a token file lacks a document"))
+    return met.select("doc_id", F.when(F.col("n_tokens").isNull(), wrong.cast("long")).otherwise(F.col("n_tokens")).alias("n_tokens"))
 
-        seen, task = 0, TaskContext.get().partitionId()
-        for batch in batches:
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(n, task), pa.int32()), pa.array(np.arange(seen, seen + n), pa.int64())], names=["doc_id", "task", "doc_ord"])
-            seen += n
 
-    rows = docs.select("doc_id").mapInArrow(place, f"doc_id {kind}, task int, doc_ord long")
-    met = rows.join(counts.select("task", "doc_ord", "n_tokens"), ["task", "doc_ord"], "full")
-    wrong = F.raise_error(F.lit("a token file and its task differ in rows"))
-    return met.select("doc_id", F.when(F.col("n_tokens").isNull(), wrong.cast("long")).otherwise(F.col("n_tokens")).alias("n_tokens"))
+def count_documents(docs: DataFrame, vocabulary: str, p: TokenFileParams = TokenFileParams()) -> DataFrame:
+    """(doc_id, n_tokens) of every row: write token files, scan them, and name what the scan finds."""
+    path = fresh_path(docs.sparkSession, "tokens")
+    written = write_token_files(docs, path, vocabulary, p)
+    return named_counts(written, token_counts(docs.sparkSession, path, p))

@@ -128,6 +128,19 @@ def test_token_counts_of_documents(spark):
     assert got == sorted((len(enc.encode_ordinary(t or "")), str(i if i != 3 else None)) for i, t in enumerate(texts))
 
 
+def test_files_that_no_row_names_do_not_count(spark, tmp_path):
+    texts = [["a b", "", None, "a b c d"][i % 4] for i in range(50)]
+    docs = spark.createDataFrame([(i // 2, t, "s", 0, "") for i, t in enumerate(texts)], DOCS).repartition(3)
+    small = tokencount.TokenFileParams(block_tokens=4)
+    written = tokencount.write_token_files(docs, f"file://{tmp_path}/t", queries.VOCABULARY, small)
+    (tmp_path / "t" / "leftover").write_bytes(b"\1\0" * 33)  # of an attempt that was lost
+    assert written.select("file").distinct().count() == 3
+    got = tokencount.named_counts(written, tokencount.token_counts(spark, f"file://{tmp_path}/t", small))
+    enc = tokencount.load_encoding(queries.VOCABULARY)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((i // 2, len(enc.encode_ordinary(t or ""))) for i, t in enumerate(texts))
+    assert tokencount.count_documents(docs.limit(0), queries.VOCABULARY).count() == 0
+
+
 def test_escapes_are_reversible():
     rng = random.Random(8)
     for _ in range(3000):
