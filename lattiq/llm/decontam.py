@@ -194,8 +194,8 @@ def judge(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = DecontamPar
 
     The benchmark's text is measured first. Up to ``block_bytes`` of it go to the tasks in one pass;
     a larger benchmark is cut into blocks of about that size by a hash of the item, each a pass over
-    the documents, and the hit intervals of a row are united. The passes name rows by their place in
-    the scan, so ``docs`` must then be a plain scan of a table.
+    the documents, and the hit intervals of a row are united. ``docs`` is then written once with a
+    number for each row, so that all passes name rows alike whatever executors come and go.
     """
     rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
@@ -204,7 +204,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = DecontamPar
     if blocks == 1:
         return _scan(docs, part(0), p, FIELDS)
     new = {f.name.lower() for f in FIELDS}
-    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]).withColumn("__row", F.monotonically_increasing_id())
+    keyed = materialize(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]).withColumn("__row", F.monotonically_increasing_id()), "numbered")
     span = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
     fields = [*[f for f in FIELDS if f.name in _FOUND], T.StructField("spans", span)]
     found = None
