@@ -28,16 +28,23 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    def add(f):
+def query(sql: str | None = None, whole: bool = False):
+    """whole: the SQL holds a slice of the edges; the same over all of them is registered as <name>_whole, without SQL."""
+
+    def named(f, name, **kw):
         @wraps(f)
         def run(s, sf):
             if f.__name__ not in SHARED:
-                return f(s, sf)
+                return f(s, sf, **kw)
             with B.shared_mentions():
-                return f(s, sf)
+                return f(s, sf, **kw)
+
+        QUERIES[name] = run
 
-        QUERIES[f.__name__] = run
+    def add(f):
+        named(f, f.__name__)
+        if whole:
+            named(f, f"{f.__name__}_whole", whole=True)
         if sql:
             ORACLES[f.__name__] = sql
         return f
@@ -558,31 +565,37 @@ def one_hop(s, sf):
     return e.join(e.join(F.broadcast(seed), "p", "left_semi").select("d").distinct(), "d", "left_semi").groupBy("d").agg(F.count_distinct("p").alias("n"))
 
 
-def _supplier_state(s, sf):
+def _supplier_facts(s, sf):
     m = B.mentions(s, sf)
-    return m.groupBy(F.col("l_suppkey").alias("case"), F.col("p_brand").alias("p")).agg((F.max((F.col("l_returnflag") != "R").cast("int")) == 1).alias("yes")).where("p < 'Brand#14'")
+    return m.groupBy(F.col("l_suppkey").alias("case"), F.col("p_brand").alias("p")).agg((F.max((F.col("l_returnflag") != "R").cast("int")) == 1).alias("yes"))
+
+
+def _supplier_state(s, sf):
+    """What has been asked so far: the first brands. The others are left to ask; a state of all facts leaves no candidate."""
+    return _supplier_facts(s, sf).where("p < 'Brand#14'")
 
 
 SUP = f"""WITH {B.M}, be AS (SELECT DISTINCT d, p_brand AS p FROM m WHERE p_size > 45), st AS (SELECT l_suppkey AS "case", p_brand AS p, max(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END) = 1 AS yes FROM m WHERE p_brand < 'Brand#14' GROUP BY ALL), al AS (SELECT DISTINCT "case", d FROM st JOIN be USING (p) WHERE yes)"""
 
 
-def _brand_edges(s, sf):
-    return B.mentions(s, sf).where("p_size > 45").select("d", F.col("p_brand").alias("p")).distinct()
+def _brand_edges(s, sf, whole=False):
+    m = B.mentions(s, sf)
+    return (m if whole else m.where("p_size > 45")).select("d", F.col("p_brand").alias("p")).distinct()
 
 
-@query(f"{SUP} SELECT \"case\", p, count(DISTINCT d) AS n FROM al JOIN be USING (d) WHERE (\"case\", p) NOT IN (SELECT (\"case\", p) FROM st) GROUP BY ALL")
-def two_hop_candidates(s, sf):
-    return dialogue.candidates(_supplier_state(s, sf), _brand_edges(s, sf))
+@query(f"{SUP} SELECT \"case\", p, count(DISTINCT d) AS n FROM al JOIN be USING (d) WHERE (\"case\", p) NOT IN (SELECT (\"case\", p) FROM st) GROUP BY ALL", whole=True)
+def two_hop_candidates(s, sf, whole=False):
+    return dialogue.candidates(_supplier_state(s, sf), _brand_edges(s, sf, whole))
 
 
-@query(f"{SUP}, dn AS (SELECT \"case\", d FROM st JOIN be USING (p) WHERE NOT yes GROUP BY ALL HAVING count(*) > 1) SELECT \"case\", p, count(DISTINCT d) AS n FROM al JOIN be USING (d) WHERE (\"case\", p) NOT IN (SELECT (\"case\", p) FROM st) AND (\"case\", d) NOT IN (SELECT (\"case\", d) FROM dn) AND p <> 'Brand#20' GROUP BY ALL")
-def denied_limit_candidates(s, sf):
-    return dialogue.candidates(_supplier_state(s, sf), _brand_edges(s, sf), 1, s.createDataFrame([("Brand#20",)], "p string"))
+@query(f"{SUP}, dn AS (SELECT \"case\", d FROM st JOIN be USING (p) WHERE NOT yes GROUP BY ALL HAVING count(*) > 1) SELECT \"case\", p, count(DISTINCT d) AS n FROM al JOIN be USING (d) WHERE (\"case\", p) NOT IN (SELECT (\"case\", p) FROM st) AND (\"case\", d) NOT IN (SELECT (\"case\", d) FROM dn) AND p <> 'Brand#20' GROUP BY ALL", whole=True)
+def denied_limit_candidates(s, sf, whole=False):
+    return dialogue.candidates(_supplier_state(s, sf), _brand_edges(s, sf, whole), 1, s.createDataFrame([("Brand#20",)], "p string"))
 
 
-@query(f"{SUP}, cd AS (SELECT \"case\", p, count(DISTINCT d) AS n FROM al JOIN be USING (d) WHERE (\"case\", p) NOT IN (SELECT (\"case\", p) FROM st) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY \"case\" ORDER BY n DESC, p) AS rank FROM cd) SELECT \"case\", p, n, rank FROM r WHERE rank <= 3")
-def greedy_selection(s, sf):
-    return dialogue.pick(dialogue.candidates(_supplier_state(s, sf), _brand_edges(s, sf)), 3)
+@query(f"{SUP}, cd AS (SELECT \"case\", p, count(DISTINCT d) AS n FROM al JOIN be USING (d) WHERE (\"case\", p) NOT IN (SELECT (\"case\", p) FROM st) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY \"case\" ORDER BY n DESC, p) AS rank FROM cd) SELECT \"case\", p, n, rank FROM r WHERE rank <= 3", whole=True)
+def greedy_selection(s, sf, whole=False):
+    return dialogue.pick(dialogue.candidates(_supplier_state(s, sf), _brand_edges(s, sf, whole)), 3)
 
 
 _H = lambda n: f"sum(CASE WHEN {n} > 0 THEN -{n} * log2({n}) ELSE 0 END)"
@@ -592,17 +605,17 @@ s AS (SELECT "case", q, has, c / (c + x + 1.0) * c AS s0, (c + has) / (c + has +
 g AS (SELECT "case", q, {_H('s0')} AS h0, {_H('s1')} AS h1, {_H('s2')} AS h2, max(s1) AS m1, max(s2) AS m2, least(0.9, greatest(0.1, sum(s0 * has))) AS yes FROM n GROUP BY ALL)"""
 
 
-@query(f"{GAIN} SELECT \"case\", q, round(h0, 6) AS h0, round(yes, 6) AS yes, round(h0 - yes * h1 - (1 - yes) * h2, 6) AS ig_expected, round(h0 - least(h1, h2), 6) AS ig_max, round(-abs(yes - 0.5), 6) AS ig_binary_split, round(least(m1, m2), 6) AS minimax_score, round(-greatest(h1, h2), 6) AS minimax_entropy FROM g")
-def information_gain(s, sf):
-    st, e = materialize(_supplier_state(s, sf), "state"), materialize(_brand_edges(s, sf), "edges")
+@query(f"{GAIN} SELECT \"case\", q, round(h0, 6) AS h0, round(yes, 6) AS yes, round(h0 - yes * h1 - (1 - yes) * h2, 6) AS ig_expected, round(h0 - least(h1, h2), 6) AS ig_max, round(-abs(yes - 0.5), 6) AS ig_binary_split, round(least(m1, m2), 6) AS minimax_score, round(-greatest(h1, h2), 6) AS minimax_entropy FROM g", whole=True)
+def information_gain(s, sf, whole=False):
+    st, e = materialize(_supplier_state(s, sf), "state"), materialize(_brand_edges(s, sf, whole), "edges")
     g = dialogue.expected_gain(st, dialogue.candidates(st, e), e)
     cols = ("h0", "yes", "ig_expected", "ig_max", "ig_binary_split", "minimax_score", "minimax_entropy")
     return rounded(g, *cols).select("case", "q", *cols)
 
 
-@query(f"{SUP}, cd AS (SELECT \"case\", p, count(DISTINCT d) AS n FROM al JOIN be USING (d) WHERE (\"case\", p) NOT IN (SELECT (\"case\", p) FROM st) GROUP BY ALL), cf AS (SELECT \"case\", d, count(*) AS n FROM st JOIN be USING (p) WHERE yes GROUP BY ALL), x AS (SELECT cd.\"case\", cd.p, be.d, coalesce(cf.n, 0) + 1 AS confirmed FROM cd JOIN be USING (p) LEFT JOIN cf ON cf.\"case\" = cd.\"case\" AND cf.d = be.d) SELECT \"case\", p, d, confirmed FROM (SELECT *, row_number() OVER (PARTITION BY \"case\", p ORDER BY confirmed DESC, d) AS r FROM x) WHERE r <= 3")
-def related_diseases(s, sf):
-    st, e = materialize(_supplier_state(s, sf), "state"), materialize(_brand_edges(s, sf), "edges")
+@query(f"{SUP}, cd AS (SELECT \"case\", p, count(DISTINCT d) AS n FROM al JOIN be USING (d) WHERE (\"case\", p) NOT IN (SELECT (\"case\", p) FROM st) GROUP BY ALL), cf AS (SELECT \"case\", d, count(*) AS n FROM st JOIN be USING (p) WHERE yes GROUP BY ALL), x AS (SELECT cd.\"case\", cd.p, be.d, coalesce(cf.n, 0) + 1 AS confirmed FROM cd JOIN be USING (p) LEFT JOIN cf ON cf.\"case\" = cd.\"case\" AND cf.d = be.d) SELECT \"case\", p, d, confirmed FROM (SELECT *, row_number() OVER (PARTITION BY \"case\", p ORDER BY confirmed DESC, d) AS r FROM x) WHERE r <= 3", whole=True)
+def related_diseases(s, sf, whole=False):
+    st, e = materialize(_supplier_state(s, sf), "state"), materialize(_brand_edges(s, sf, whole), "edges")
     return dialogue.related_diseases(dialogue.candidates(st, e), st, e)
 
 
@@ -709,9 +722,9 @@ def reference_baselines(s, sf):
 
 @query()
 def question_rounds(s, sf):
-    st = _supplier_state(s, sf)
-    chief = st.where("yes").groupBy("case").agg(F.min("p").alias("p"))
-    return dialogue.run_rounds(st.where("yes").select("case", "p"), chief, materialize(_brand_edges(s, sf), "edges"), 3)
+    true = materialize(_supplier_facts(s, sf).where("yes").select("case", "p"), "facts")
+    chief = true.groupBy("case").agg(F.min("p").alias("p"))
+    return dialogue.run_rounds(true, chief, materialize(_brand_edges(s, sf, whole=True), "edges"), 3)
 
 
 # ---------------------------------------------------------------- graph
@@ -886,18 +899,19 @@ def attribute_applicability(s, sf):
 ATT = f"""WITH {B.M}, dr AS (SELECT DISTINCT d, p_brand AS p, 'type' AS attribute, p_type AS value FROM m WHERE p_size > 45), ci AS (SELECT p, attribute, value, ln((n + 1.0) / (count(DISTINCT d) + 1.0)) + 1 AS idf FROM dr, (SELECT count(DISTINCT d) AS n FROM dr) GROUP BY p, attribute, value, n)"""
 
 
-def _attribute_rows(s, sf):
-    return B.mentions(s, sf).where("p_size > 45").select("d", F.col("p_brand").alias("p"), F.lit("type").alias("attribute"), F.col("p_type").alias("value")).distinct()
+def _attribute_rows(s, sf, whole=False):
+    m = B.mentions(s, sf)
+    return (m if whole else m.where("p_size > 45")).select("d", F.col("p_brand").alias("p"), F.lit("type").alias("attribute"), F.col("p_type").alias("value")).distinct()
 
 
-@query(f"{ATT} SELECT p, attribute, value, round(idf, 6) AS idf FROM ci")
-def combination_idf(s, sf):
-    return rounded(attributes.combination_idf(_attribute_rows(s, sf)), "idf")
+@query(f"{ATT} SELECT p, attribute, value, round(idf, 6) AS idf FROM ci", whole=True)
+def combination_idf(s, sf, whole=False):
+    return rounded(attributes.combination_idf(_attribute_rows(s, sf, whole)), "idf")
 
 
-@query(f"{ATT}, cr AS (SELECT DISTINCT \"case\", p_brand AS p, 'type' AS attribute, p_type AS value FROM m), b AS (SELECT \"case\", d, 1.0 AS x FROM (SELECT DISTINCT \"case\", p FROM cr) JOIN (SELECT DISTINCT d, p FROM dr) USING (p) UNION ALL SELECT \"case\", d, 0.5 * idf FROM cr JOIN dr USING (p, attribute, value) JOIN ci USING (p, attribute, value)) SELECT \"case\", d, round(sum(x), 6) AS score FROM b GROUP BY ALL")
-def bound_attributes(s, sf):
-    dr = materialize(_attribute_rows(s, sf), "rows")
+@query(f"{ATT}, cr AS (SELECT DISTINCT \"case\", p_brand AS p, 'type' AS attribute, p_type AS value FROM m), b AS (SELECT \"case\", d, 1.0 AS x FROM (SELECT DISTINCT \"case\", p FROM cr) JOIN (SELECT DISTINCT d, p FROM dr) USING (p) UNION ALL SELECT \"case\", d, 0.5 * idf FROM cr JOIN dr USING (p, attribute, value) JOIN ci USING (p, attribute, value)) SELECT \"case\", d, round(sum(x), 6) AS score FROM b GROUP BY ALL", whole=True)
+def bound_attributes(s, sf, whole=False):
+    dr = materialize(_attribute_rows(s, sf, whole), "rows")
     cr = B.mentions(s, sf).select("case", F.col("p_brand").alias("p"), F.lit("type").alias("attribute"), F.col("p_type").alias("value")).distinct()
     return rounded(attributes.bound_score(cr, dr, attributes.combination_idf(dr)), "score")
 
@@ -909,10 +923,10 @@ def value_weighted_vector(s, sf):
 
 
 @query(f"""WITH {B.M}, ed AS (SELECT d, p_brand AS p, p_type, count(*) AS n FROM m WHERE p_size > 40 GROUP BY ALL), tt AS (SELECT d, p, sum(n) AS t FROM ed GROUP BY ALL), cv AS (SELECT DISTINCT "case", p_brand AS p, p_type AS v FROM m), al AS (SELECT "case", d, p, ln(1 + t) * (0.5 + 0.5 * avg(coalesce(n / t, 0))) AS x FROM cv JOIN tt USING (p) LEFT JOIN ed ON ed.d = tt.d AND ed.p = cv.p AND ed.p_type = v GROUP BY "case", tt.d, cv.p, t ORDER BY ALL)
-SELECT "case", d, round(sum(x), 6) AS score FROM al GROUP BY ALL""".replace('SELECT "case", d, p, ln(1 + t)', 'SELECT "case", tt.d, cv.p, ln(1 + t)').replace(" ORDER BY ALL", ""))
-def attribute_aware_scores(s, sf):
+SELECT "case", d, round(sum(x), 6) AS score FROM al GROUP BY ALL""".replace('SELECT "case", d, p, ln(1 + t)', 'SELECT "case", tt.d, cv.p, ln(1 + t)').replace(" ORDER BY ALL", ""), whole=True)
+def attribute_aware_scores(s, sf, whole=False):
     m = B.mentions(s, sf)
-    n = m.where("p_size > 40").groupBy("d", F.col("p_brand").alias("p"), "p_type").agg(F.count("*").alias("n"))
+    n = (m if whole else m.where("p_size > 40")).groupBy("d", F.col("p_brand").alias("p"), "p_type").agg(F.count("*").alias("n"))
     e = n.groupBy("d", "p").agg(F.sum("n").alias("n_mentions"), F.map_from_entries(F.collect_list(F.struct("p_type", "n"))).alias("k"))
     e = e.withColumn("dist", F.transform_values("k", lambda _, v: v / F.col("n_mentions")))
     cv = m.groupBy("case", F.col("p_brand").alias("p")).agg(F.collect_set("p_type").alias("values"))
