@@ -39,7 +39,7 @@ def link_prediction(edges: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("cn"), F.sum(1 / F.log(F.col("k") + 2.0)).alias("aa"), F.sum(1 / F.col("k")).alias("ra"))
 
 
-def fast_projection(edges: DataFrame, dim: int = 16, weights: tuple[float, ...] = (0.0, 1.0, 1.0), seed: int = 7) -> DataFrame:
+def fast_projection(edges: DataFrame, dim: int = 16, weights: tuple[float, ...] = (0.0, 1.0, 1.0, 1.0), seed: int = 7) -> DataFrame:
     """(x, vec): sparse random projection by hash (+1, -1 one in six each), averaged over neighbours hop by hop and summed."""
     out = edges.groupBy("x").agg(F.sum("w").alias("total"))
     step = edges.join(out, "x").select("x", "y", (F.col("w") / F.col("total")).alias("share"))

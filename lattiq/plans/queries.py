@@ -732,8 +732,9 @@ def question_rounds(s, sf):
 BRP = """ed AS (SELECT d, p_brand AS p, CAST(count(*) AS DOUBLE) AS w FROM m WHERE p_size > 40 GROUP BY ALL), un AS (SELECT d AS x, p AS y, w FROM ed UNION ALL SELECT p, d, w FROM ed)"""
 
 
-def _graph(s, sf):
-    e = B.mentions(s, sf).where("p_size > 40").groupBy("d", F.col("p_brand").alias("p")).agg(F.count("*").cast("double").alias("w"))
+def _graph(s, sf, whole=False):
+    m = B.mentions(s, sf)
+    e = (m if whole else m.where("p_size > 40")).groupBy("d", F.col("p_brand").alias("p")).agg(F.count("*").cast("double").alias("w"))
     return materialize(graph.undirected(e), "graph")
 
 
@@ -742,27 +743,28 @@ _PPR = f"WITH RECURSIVE {B.M}, {BRP}, tp AS (SELECT x, y, w / sum(w) OVER (PARTI
 )
 
 
-@query(f"{_PPR} SELECT c AS \"case\", x, round(mass, 6) AS mass FROM l6".replace("WITH RECURSIVE", "WITH"))
-def personalised_pagerank(s, sf):
-    g = _graph(s, sf)
-    seeds = g.where("x LIKE 'BUILDING:%'").select(F.col("x").alias("case"), "x").distinct()
-    return rounded(graph.personalised_pagerank(g, seeds, 0.15, 6, 3), "mass")
+@query(f"{_PPR} SELECT c AS \"case\", x, round(mass, 6) AS mass FROM l6".replace("WITH RECURSIVE", "WITH"), whole=True)
+def personalised_pagerank(s, sf, whole=False):
+    g = _graph(s, sf, whole)
+    seeds = g.where("x LIKE '%:%'" if whole else "x LIKE 'BUILDING:%'").select(F.col("x").alias("case"), "x").distinct()
+    return rounded(graph.personalised_pagerank(g, seeds) if whole else graph.personalised_pagerank(g, seeds, 0.15, 6, 3), "mass")
 
 
-@query(f"WITH {B.M}, {BRP}, dg AS (SELECT y, count(*) AS k FROM un GROUP BY y) SELECT a.x AS a, b.x AS b, count(*) AS cn, round(sum(1 / ln(k + 2.0)), 6) AS aa, round(sum(1.0 / k), 6) AS ra FROM un a JOIN un b ON a.y = b.y AND a.x < b.x JOIN dg ON dg.y = a.y GROUP BY a.x, b.x")
-def link_prediction(s, sf):
-    return rounded(graph.link_prediction(_graph(s, sf)), "aa", "ra")
+@query(f"WITH {B.M}, {BRP}, dg AS (SELECT y, count(*) AS k FROM un GROUP BY y) SELECT a.x AS a, b.x AS b, count(*) AS cn, round(sum(1 / ln(k + 2.0)), 6) AS aa, round(sum(1.0 / k), 6) AS ra FROM un a JOIN un b ON a.y = b.y AND a.x < b.x JOIN dg ON dg.y = a.y GROUP BY a.x, b.x", whole=True)
+def link_prediction(s, sf, whole=False):
+    return rounded(graph.link_prediction(_graph(s, sf, whole)), "aa", "ra")
 
 
 @query()
 def fast_projection(s, sf):
-    return graph.fast_projection(_graph(s, sf)).withColumn("vec", F.transform("vec", lambda v: F.round(v, 6)))
+    return graph.fast_projection(_graph(s, sf, whole=True)).withColumn("vec", F.transform("vec", lambda v: F.round(v, 6)))
 
 
-@query(f"WITH {B.M}, {BRP}, s0 AS (SELECT DISTINCT d AS root, d AS x, 0 AS depth FROM ed WHERE d LIKE 'MACHINERY:%'), s1 AS (SELECT * FROM s0 UNION ALL SELECT root, y, 1 FROM s0 JOIN un USING (x)), s2 AS (SELECT root, x, min(depth) AS depth FROM (SELECT * FROM s1 UNION ALL SELECT root, y, 2 FROM s1 JOIN un USING (x) WHERE depth = 1) GROUP BY ALL) SELECT root, x, depth FROM s2")
-def bfs_layers(s, sf):
-    g = _graph(s, sf)
-    return graph.bfs(g, g.where("x LIKE 'MACHINERY:%'").select(F.col("x").alias("root")).distinct(), 2)
+@query(f"WITH {B.M}, {BRP}, s0 AS (SELECT DISTINCT d AS root, d AS x, 0 AS depth FROM ed WHERE d LIKE 'MACHINERY:%'), s1 AS (SELECT * FROM s0 UNION ALL SELECT root, y, 1 FROM s0 JOIN un USING (x)), s2 AS (SELECT root, x, min(depth) AS depth FROM (SELECT * FROM s1 UNION ALL SELECT root, y, 2 FROM s1 JOIN un USING (x) WHERE depth = 1) GROUP BY ALL) SELECT root, x, depth FROM s2", whole=True)
+def bfs_layers(s, sf, whole=False):
+    g = _graph(s, sf, whole)
+    roots = g.where("x LIKE '%:%'" if whole else "x LIKE 'MACHINERY:%'").select(F.col("x").alias("root")).distinct()
+    return graph.bfs(g, roots) if whole else graph.bfs(g, roots, 2)
 
 
 @query(f"WITH {B.E} SELECT d, p, round(ln(1 + freq) / sqrt(n_sources + 1) * w, 6) AS w FROM e")
