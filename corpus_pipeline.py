@@ -1,6 +1,7 @@
 """The corpus pipeline: toxicity, quality, near-dedup, decontamination, mixing.
 
 Each stage takes what its predecessor kept; all but the last return the columns of ``documents``.
+The last one keeps a row for each document; its ``mixture`` holds the texts that the mix takes, none where it takes nothing.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per document: its size, its source's size and target, and the words the mix takes."""
-    return mixing.mix(docs)
+    """One row per document: its size, its source's size and target, the words the mix takes, and their texts by epoch."""
+    return mixing.with_mixture(docs)
 
 
 STAGES = [

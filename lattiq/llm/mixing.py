@@ -6,6 +6,10 @@ are summed per range, a prefix sum over the ranges gives each its offset, and a
 range finishes the distributed prefix sum. Whole epochs come first; the rest of the budget is cut
 exactly, inside one document if need be.
 
+One plan gives both results: ``mix`` says how many words of each document are taken, and
+``with_mixture`` also gives their texts, one an epoch, the last one cut; ``mixture`` has a row for
+each. The cut text ends with the last word taken.
+
 Edge cases: null text has size 0 and takes nothing; a null source is a source of its own, the last
 one; repeated rows are separate documents; an empty table gives an empty result.
 """
@@ -49,33 +53,68 @@ def targets(sizes: list[int], p: MixParams = MixParams()) -> list[float]:
         capped |= set(over)
 
 
-def mix(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
-    """``docs(doc_id, source, text, ...)`` with size, source_size, target and taken (in words).
+DIGEST = ("doc_id", "size", "source_size", "target", "taken", "source")
 
-    Reading the text once, a slim table of sizes decides; the result carries the slim columns only.
-    """
+
+def _planned(docs: DataFrame, p: MixParams, carried: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``docs`` with the digest columns, ``epochs`` (whole ones), and the carried columns as ``__name``."""
     spark = docs.sparkSession
     size = F.coalesce(F.size(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
     size = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(size)
-    slim = materialize(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key")), "sizes")
+    kept = [f"__{c}" for c in carried]
+    full = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"), *[F.col(f"`{c}`").alias(k) for c, k in zip(carried, kept)])
+    slim = materialize(full.drop(*kept), "sizes")
     sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")).orderBy(F.col("source").asc_nulls_last()).collect()
     goal = targets([r.source_size for r in sources], p)
     shape = T.StructType([T.StructField(n, k) for n, k in (("source", T.StringType()), ("source_size", T.LongType()), ("ranges", T.LongType()), ("target", T.DoubleType()))])
     plan = spark.createDataFrame([(r.source, r.source_size, max(1, -(-r["rows"] // p.rows_a_range)), t) for r, t in zip(sources, goal)], shape)
     unit = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-    same = slim["source"].eqNullSafe(plan["source"])
-    rows = slim.join(F.broadcast(plan) if len(goal) <= p.most_sent else plan, same).select("doc_id", slim["source"], "size", "key", "source_size", "target", F.shiftright(unit * F.col("ranges"), 32).alias("range"))
-    part = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
+
+    def ranged(x: DataFrame) -> DataFrame:
+        same = x["source"].eqNullSafe(plan["source"])
+        kept_here = [c for c in kept if c in x.columns]
+        return x.join(F.broadcast(plan) if len(goal) <= p.most_sent else plan, same).select("doc_id", x["source"], "size", "key", "source_size", "target", F.shiftright(unit * F.col("ranges"), 32).alias("range"), *kept_here)
+
+    part = ranged(slim).groupBy("source", "range").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     start = part.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
-    placed = rows.join(start, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged(full if carried else slim).join(start, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
+    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", *[F.xxhash64(k) for k in kept]).rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("start", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest("source_size", F.lit(1)))).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size") - F.col("start")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(rest, F.col("size")))
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
+    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", epochs.cast("int").alias("epochs"), *kept)
+
+
+def mix(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
+    """``docs(doc_id, source, text, ...)`` with size, source_size, target and taken (in words).
+
+    Reading the text once, a slim table of sizes decides; the result carries the slim columns only.
+    """
+    return _planned(docs, p).select(*DIGEST)
+
+
+def with_mixture(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
+    """The rows of ``mix`` with ``mixture``: (epoch, text) of each time that the document is taken, none if it is not.
+
+    The texts are shuffled once, by source and range.
+    """
+    x = _planned(docs, p, ("text",)).withColumn("last", F.when(F.col("size") > 0, F.col("taken") - F.col("epochs") * F.col("size")).otherwise(F.lit(0)))
+    one = lambda epoch, text: F.struct(epoch.cast("int").alias("epoch"), text.alias("text"))
+    text = F.col("__text")
+    whole = F.when((F.col("size") > 0) & (F.col("epochs") > 0), F.transform(F.sequence(F.lit(1), F.greatest("epochs", F.lit(1))), lambda e: one(e, text)))
+    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    cut = F.when(F.col("last") == F.col("size"), text).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("last").cast("int")), ""))
+    more = F.when(F.col("last") > 0, F.array(one(F.col("epochs") + 1, cut)))
+    none = F.array().cast("array<struct<epoch:int,text:string>>")
+    return x.select(*DIGEST, F.concat(F.coalesce(whole, none), F.coalesce(more, none)).alias("mixture"))
+
+
+def mixture(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
+    """(doc_id, source, epoch, text): what the mix consists of, a row for each time that a document is taken."""
+    return with_mixture(docs, p).select("doc_id", "source", F.explode("mixture").alias("m")).select("doc_id", "source", "m.*")
 
 
 ORACLE = r"""

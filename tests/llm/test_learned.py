@@ -93,6 +93,12 @@ def test_pipeline_stage_by_stage(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == sorted(r.doc_id for r in docs.collect())
 
 
+def test_the_pipeline_gives_the_texts_of_the_mix(spark):
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert all(sum(len(m.text.split()) for m in r.mixture) == r.taken for r in got)
+    assert any(r.taken == 0 and not r.mixture for r in got) and any(len(r.mixture) == 2 for r in got)
+
+
 def test_pipeline_on_empty_documents(spark):
     docs = queries.table(spark, SF, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:

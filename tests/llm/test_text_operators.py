@@ -95,6 +95,31 @@ def test_mixing_meets_every_budget(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_the_mixture_holds_the_words_taken(spark):
+    rng = random.Random(11)
+    gap = lambda: rng.choice([" ", "  ", "\n", "\t "])
+    make = lambda n: "".join(gap() * rng.randrange(2) + f"wé{rng.randrange(99)}" + gap() for _ in range(n))
+    sources = ["a"] * 90 + ["b"] * 11 + ["c"] * 30 + [None] * 9 + [""] * 3
+    rows = [(i if i % 7 else 7, make(rng.randrange(30)), s, 0, "x") for i, s in enumerate(sources)] + [(900, None, "z", 0, ""), (901, " \t", "z", 0, ""), (None, make(2500), "b", 0, "")]
+    docs, p = spark.createDataFrame(rows, DOCS).repartition(3), mixing.MixParams(rows_a_range=16)
+    got = mixing.with_mixture(docs, p).collect()
+    digest = lambda r: str([r[c] for c in mixing.DIGEST])
+    assert sorted(map(digest, got)) == sorted(map(digest, mixing.mix(docs, p).collect()))
+    words, texts, cut = (lambda t: re.findall(r"[^ \t-\r]+", t)), {(i, s, t) for i, t, s, _, _ in rows}, 0
+    for r in got:
+        assert sum(len(words(m.text)) for m in r.mixture) == r.taken
+        assert [m.epoch for m in r.mixture] == list(range(1, len(r.mixture) + 1)) and len(r.mixture) == (-(-r.taken // r["size"]) if r["size"] else 0)
+        for m in r.mixture[:-1]:
+            assert (r.doc_id, r.source, m.text) in texts
+        if r.mixture and (r.doc_id, r.source, r.mixture[-1].text) not in texts:
+            cut += 1
+            assert r.taken % r["size"] and any((i, s) == (r.doc_id, r.source) and t.startswith(r.mixture[-1].text) for i, s, t in texts if t)
+    assert 0 < cut <= 4 and any(not r.mixture for r in got) and any(len(r.mixture) == 2 for r in got)
+    flat = mixing.mixture(docs, p)
+    assert flat.columns == ["doc_id", "source", "epoch", "text"] and flat.count() == sum(len(r.mixture) for r in got)
+    assert mixing.mixture(docs.limit(0), p).count() == 0
+
+
 def test_targets_reshare_the_excess():
     assert mixing.targets([100, 100, 100]) == [200.0, 250 / 3, 500 / 3]
     assert mixing.targets([1000, 0, 1]) == [1499.5, 0.0, 2.0]
