@@ -206,7 +206,8 @@ def deduplicate(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFram
     Texts that stay are not shuffled if they can be told apart cheaply: the ids to drop set bits of
     a table of fixed size (2^17 rows at most, so it may be broadcast). Rows whose bit is clear stay;
     only the others are joined with the ids. The more ids go, the more rows take the join, and the
-    result is the same. In a group without ids, the row with the least columns stays.
+    result is the same. If several rows of a group have its smallest id, or none has an id, the one
+    with the least columns stays; rows that share an id but lie in different groups are not related.
     """
     rows, by_fp = classes_of(docs, p)
     verdict = rows.where("doc_id IS NOT NULL").join(by_fp, "fp").groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("stay"), F.count("*").alias("n"))
@@ -225,9 +226,9 @@ def deduplicate(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFram
     least = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")
     if not again.isEmpty():  # an id of several rows
         held = unsure.join(again, "doc_id", "left_semi")
-        marked = with_fingerprints(held.select(*docs.columns), p, out="__fp").join(by_fp.select(F.col("fp").alias("__fp"), "component_id"), "__fp")
+        marked = with_fingerprints(held.select(*docs.columns), p, out="__fp").join(by_fp.select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), "component_id"), "__fp")
         stays = marked.where(F.col("doc_id") == marked["component_id"])
-        out = out.unionByName(stays.groupBy("doc_id").agg(F.min(F.struct(*[stays[c] for c in docs.columns])).alias("row")).select("row.*"))
+        out = out.unionByName(stays.groupBy("__root").agg(F.min(F.struct(*[stays[c] for c in docs.columns])).alias("row")).select("row.*"))
     nameless = by_fp.where("component_id IS NULL").select(F.col("fp").alias("__fp"), F.col("root").alias("__root"))
     if not nameless.isEmpty():
         marked = with_fingerprints(docs.where("doc_id IS NULL"), p, out="__fp").join(nameless, "__fp")

@@ -92,6 +92,21 @@ def test_near_duplicates_edge_cases(spark):
     assert empty.count() == 0 and simhash.deduplicate(spark.createDataFrame([], shape)).count() == 0
 
 
+def test_an_id_of_several_texts_keeps_one_row_a_group(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * 3 for _ in range(40)) for _ in range(30)]
+    rows = [(5, t) for t in texts] + [(5, texts[0]), (7, texts[1]), (2, texts[2]), (9, texts[3]), (9, "some other words that stand alone here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = {}
+    for i, t in rows:  # the texts are unlike: groups are those of equal fingerprints within two bits
+        fp = plain_fingerprint(t)
+        at = next((k for k in parts if (k ^ fp).bit_count() <= 2), fp)
+        parts.setdefault(at, []).append((i, t))
+    assert len(parts) == 31
+    want = sorted(min(rs) for rs in parts.values())
+    assert sorted(tuple(r) for r in simhash.deduplicate(docs).collect()) == want
+
+
 def plain_links(vectors):
     links = []
     for i, j in itertools.combinations(range(len(vectors)), 2):
