@@ -5,6 +5,11 @@ digits to one blank) and looked up among known licence sentences. The sequence o
 then matched against ordered rules, longest rule first, leftmost first, without overlap; at most
 ``max_gap`` unknown sentences may stand between two members.
 
+Texts are read twice: line by line, where each line ends a sentence, and in paragraphs, where a line
+break (with the next line's comment prefix) is white space and a sentence may begin with any line.
+Blank and comment-only lines and lines that begin with a URL end a paragraph. Each rule looks in the
+lines first; matches of the two readings do not overlap.
+
 Edge cases: null and empty texts hold no licence; a sentence may run to the end of its line without
 a mark; repeated rows are scanned each for itself; spans count code points of the original text.
 """
@@ -12,6 +17,7 @@ a mark; repeated rows are scanned each for itself; spans count code points of th
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -53,6 +59,10 @@ RULES = (
 )
 _SENTENCE = re.compile(r"\S[^\n]*?(?:[.!?:;]+(?=\s|$)|(?=\n|$))")
 _RUN = re.compile(r"[^a-z0-9]+")
+_LINE = re.compile(r"[^\n]+")
+_PREFIX = re.compile(r"[ \t]*(?:<!--|/\*+!?|//+!?|\*+/?|#+|;+|--+|!+|%+|>+|::|\.\.(?=\s)|(?i:rem|dnl)(?=\s|$))?")
+_SUFFIX = re.compile(r"[ \t]*(?:\*+/|--+>|\*+|#+)?[ \t\r]*$")
+_URL = re.compile(r"\s*<?https?://", re.I)
 
 
 @dataclass(frozen=True)
@@ -64,6 +74,20 @@ def normalise(sentence: str) -> str:
     return _RUN.sub(" ", sentence.lower()).strip()
 
 
+def unwrap(text: str) -> str:
+    """The text with blanks for comment marks and for line breaks inside paragraphs; places stay the same."""
+    out, at, open_ = [], 0, False
+    for m in _LINE.finditer(text):
+        line = m[0]
+        n = _PREFIX.match(line).end()
+        body = line[n:]
+        body = body[: _SUFFIX.search(body).start()]
+        goes_on = open_ and m.start() == at + 1 and body.strip() and not _URL.match(body)
+        out += [" " if goes_on else "\n" * (m.start() - at), " " * n, body, " " * (len(line) - n - len(body))]
+        at, open_ = m.end(), bool(body.strip())
+    return "".join(out) + "\n" * (len(text) - at)
+
+
 class Scanner:
     def __init__(self, sentences=SENTENCES, rules=RULES, p: LicenseParams = LicenseParams()) -> None:
         if any(n not in sentences for _, r in rules for n in r):
@@ -74,26 +98,53 @@ class Scanner:
             self.known.setdefault(s, len(self.known))
         whole = [(licence, tuple(self.known[s] for n in names for s in cut[n])) for licence, names in rules]
         self.rules = sorted(whole, key=lambda r: -len(r[1]))
+        self.longest = max((len(s) for s in self.known), default=0)
         self.anchors = sorted({max(s.split(), key=len) for s in self.known})  # a text without any holds no known sentence
 
     def scan(self, text: str | None) -> list[tuple[str, int, int]]:
         """(licence, start, stop) of each match, in order."""
         if not text or not any(a in low for low in [text.lower()] for a in self.anchors):
             return []
-        found = []  # identifier, number of the sentence, start, stop
+        lines = []  # identifier, number of the sentence, start, stop
         for n, m in enumerate(_SENTENCE.finditer(text)):
             if (name := self.known.get(normalise(m[0]))) is not None:
-                found.append((name, n, m.start(), m.end()))
-        out, used = [], [False] * len(found)
+                lines.append((name, n, m.start(), m.end()))
+        readings = [lines, self._wrapped(text)] if "\n" in text else [lines]
+        out, used = [], []  # used: disjoint places of matched sentences, in order
         for licence, names in self.rules:
-            for i in range(len(found) - len(names) + 1):
-                part = found[i : i + len(names)]
-                if any(used[i : i + len(names)]) or any(x[0] != y for x, y in zip(part, names)) or any(b[1] - a[1] - 1 > self.p.max_gap for a, b in zip(part, part[1:])):
-                    continue
-                used[i : i + len(names)] = [True] * len(names)
-                out.append((licence, part[0][2], part[-1][3]))
+            for found in readings:
+                for i in range(len(found) - len(names) + 1):
+                    part = found[i : i + len(names)]
+                    if any(x[0] != y for x, y in zip(part, names)) or any(b[1] - a[1] - 1 > self.p.max_gap for a, b in zip(part, part[1:])) or any(self._taken(used, x) for x in part):
+                        continue
+                    for x in part:
+                        insort(used, x[2:])
+                    out.append((licence, part[0][2], part[-1][3]))
         return sorted(out, key=lambda x: x[1])
 
+    @staticmethod
+    def _taken(used: list[tuple[int, int]], x: tuple[int, int, int, int]) -> bool:
+        i = bisect_left(used, (x[3],))  # those before begin before x stops
+        return i > 0 and used[i - 1][1] > x[2]
+
+    def _wrapped(self, text: str) -> list[tuple[int, int, int, int]]:
+        """The known sentences of the paragraphs; each may begin with any line of what precedes its end."""
+        flat, found = unwrap(text), []
+        breaks = [m.end() for m in re.finditer("\n", text)]
+        for n, m in enumerate(_SENTENCE.finditer(flat)):
+            begins, k = [m.start()], bisect_left(breaks, m.end())
+            while k and breaks[k - 1] > m.start():  # from the last line back, as far as a known sentence may reach
+                k -= 1
+                begins.append(breaks[k])
+                if len(normalise(flat[breaks[k] : m.end()])) > self.longest:
+                    break
+            for i in sorted(begins):
+                if (name := self.known.get(normalise(flat[i : m.end()]))) is not None:
+                    i += len(flat[i : m.end()]) - len(flat[i : m.end()].lstrip())
+                    found.append((name, n, i, m.end()))
+                    break
+        return found
+
 
 SPAN = T.StructType([T.StructField("licence", T.StringType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
 FIELDS = [T.StructField("n_matches", T.LongType()), T.StructField("licences", T.StringType()), T.StructField("spans", T.ArrayType(SPAN))]

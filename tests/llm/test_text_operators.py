@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -229,3 +230,33 @@ def test_licences(spark):
     gap = f"{mit['gpl_free']} Other words.\n{mit['gpl_hope']}"
     scan = lambda p: licenses.Scanner(p=p).scan(gap)
     assert not scan(licenses.LicenseParams()) and [x[0] for x in scan(wide)] == ["GPL-3.0-or-later"]
+
+
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// ", "; ", "    "])
+@pytest.mark.parametrize("width", [40, 72])
+def test_licences_of_wrapped_texts(prefix, width):
+    known = licenses.SENTENCES
+
+    def wrapped(*paragraphs):
+        lines = [x for p in paragraphs for x in [*textwrap.wrap(p, width), ""]]
+        return "\n".join((prefix + x).rstrip() for x in lines)
+
+    mit = wrapped("The MIT License", "Copyright (c) 2020 Some Body", known["mit_grant"], known["mit_include"], known["mit_as_is"] + " IN NO EVENT SHALL THE AUTHORS BE LIABLE.")
+    gpl = wrapped("A program.", f"{known['gpl_free']} {known['gpl_hope']} See the licence for more.")
+    apache = wrapped(f"{known['apache_named']} {known['apache_comply']} {known['apache_obtain']}", "http://www.apache.org/licenses/LICENSE-2.0")
+    url = apache.replace(f"\n{prefix.rstrip()}\n{prefix}http", f"\n{prefix}http")
+    for text, licence, first in ((mit, "MIT", "Permission"), (gpl, "GPL-3.0-or-later", "This program"), (apache, "Apache-2.0", "Licensed"), (url, "Apache-2.0", "Licensed")):
+        got = licenses.Scanner().scan(f"import x\n{text}\n\ncode()")
+        assert [x[0] for x in got] == [licence]
+        assert f"import x\n{text}"[got[0][1] :].startswith(first)
+    headed = wrapped("Copyright (c) 2020 Some Body") + "\n" + mit[mit.index("Permission") - len(prefix) :]
+    assert [x[0] for x in licenses.Scanner().scan(headed.replace(f"Body\n{prefix.rstrip()}\n", "Body\n"))] == ["MIT"]
+
+
+def test_unwrapped_texts_keep_their_places():
+    rng = random.Random(13)
+    for _ in range(2000):
+        text = "".join(rng.choice(["\n", "\n", " ", "# ", "/*", "*/", "a", "Be.", "http://x", "\r\n", "é"]) for _ in range(rng.randrange(14)))
+        flat = licenses.unwrap(text)
+        assert len(flat) == len(text) and all(f in (c, " ") for f, c in zip(flat, text))
+    assert licenses.unwrap("one\ntwo.\n\n# x\n#\n# y") == "one two.\n\n  x\n \n  y"
