@@ -6,7 +6,7 @@ and solved once; pool-adjacent-violators turns the ridge scores into probabiliti
 
 Fitting uses at most ``max_train`` labelled rows, drawn by a hash of their id, in ``parts`` tasks.
 Edge cases: null and empty texts have the statistics of a text without words and are scored; without
-labelled rows every score is 0.5; labels that repeat an id count once, as the smallest; a labelled
+labelled rows every score is 0.5; if they lack a class, all texts are predicted good; labels that repeat an id count once, as the smallest; a labelled
 id of several texts is fitted by one of them; rows with equal or null ids are scored each for itself.
 """
 
@@ -88,6 +88,7 @@ class QualityModel:
     phase: np.ndarray
     weights: np.ndarray  # one more, for the intercept
     knots: tuple[np.ndarray, np.ndarray]  # ridge scores and their calibrated probabilities
+    fitted: bool = True  # on labels of both classes
 
     def features(self, stats: np.ndarray) -> np.ndarray:
         z = np.clip((stats - self.mean) / self.sd, -6, 6)
@@ -130,10 +131,10 @@ def fit(stats: DataFrame, labels: DataFrame, p: QualityParams = QualityParams())
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("stats", "y")).alias("r")).sortWithinPartitions("doc_id").select("r.*").persist()
     rng = np.random.default_rng(p.seed)
     freq, phase = rng.normal(size=(N_STATS, p.features)) / p.scale, rng.uniform(0, 2 * np.pi, p.features)
-    got = rows.agg(F.count("*").alias("n"), *[f(F.col("stats")[i]).alias(f"{f.__name__}{i}") for f in (F.avg, F.stddev_pop) for i in range(N_STATS)]).first()
+    got = rows.agg(F.count("*").alias("n"), F.count_distinct("y").alias("classes"), *[f(F.col("stats")[i]).alias(f"{f.__name__}{i}") for f in (F.avg, F.stddev_pop) for i in range(N_STATS)]).first()
     if not got.n:
         rows.unpersist()
-        return QualityModel(np.zeros(N_STATS), np.ones(N_STATS), freq, phase, np.zeros(p.features + 1), (np.zeros(1), np.full(1, 0.5)))
+        return QualityModel(np.zeros(N_STATS), np.ones(N_STATS), freq, phase, np.zeros(p.features + 1), (np.zeros(1), np.full(1, 0.5)), False)
     mean, sd = (np.array([got[f"{f}{i}"] for i in range(N_STATS)]) for f in ("avg", "stddev_pop"))
     model = QualityModel(mean, np.maximum(sd, 1e-6), freq, phase, np.zeros(p.features + 1), (np.zeros(1), np.zeros(1)))
 
@@ -155,7 +156,7 @@ def fit(stats: DataFrame, labels: DataFrame, p: QualityParams = QualityParams())
 
     pairs = append_columns(rows, "stats", raw, [T.StructField("raw", T.DoubleType())]).select("raw", "y").toPandas()
     rows.unpersist()
-    return QualityModel(model.mean, model.sd, freq, phase, weights, isotonic(pairs.raw.to_numpy(), pairs.y.to_numpy()))
+    return QualityModel(model.mean, model.sd, freq, phase, weights, isotonic(pairs.raw.to_numpy(), pairs.y.to_numpy()), got.classes > 1)
 
 
 FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
@@ -168,6 +169,6 @@ def score(docs: DataFrame, model: QualityModel, p: QualityParams = QualityParams
     def run(c: pa.Array) -> list:
         stats = c.to_pylist() if column == "stats" else [statistics(t) for t in texts_of(c)]
         s = held.value.score(np.array(stats, float).reshape(-1, N_STATS))
-        return [pa.array(s, pa.float64()), pa.array((s >= p.threshold).astype(np.int32), pa.int32())]
+        return [pa.array(s, pa.float64()), pa.array(((s >= p.threshold) | (not held.value.fitted)).astype(np.int32), pa.int32())]
 
     return append_columns(docs, column, run, FIELDS)

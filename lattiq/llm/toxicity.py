@@ -8,7 +8,8 @@ expected grade, and a text is rejected if grade 0 has a probability below one ha
 
 Fitting uses at most ``max_train`` labelled rows, drawn by a hash of their id; everything else
 covers all rows. Edge cases: null and empty texts have no words and get the base rate; without
-labels, or with one class only, no word is selected and all texts get the base rate; rows with equal
+labels, or with one class only, no word is selected, all texts get the base rate and none is called
+toxic; rows with equal
 or null ids are scored each for itself; labels that repeat an id count once, as the largest; a
 labelled id of several texts counts each one's words and is fitted by one of them.
 """
@@ -177,6 +178,6 @@ def score(docs: DataFrame, model: OrdinalModel, p: ToxicityParams = ToxicityPara
         s = np.array([math.fsum(weights[i] * x for i, x in known.vector(t)) for t in texts_of(column)], float)
         above = model.above(s)
         each = -np.diff(np.concatenate([np.ones((len(s), 1)), above, np.zeros((len(s), 1))], axis=1), axis=1)
-        return [pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(each.argmax(axis=1), pa.int32()), pa.array(above[:, 0] >= p.reject)]
+        return [pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(each.argmax(axis=1), pa.int32()), pa.array((above[:, 0] >= p.reject) & bool(model.words))]
 
     return append_columns(docs, "text", run, FIELDS)

@@ -99,6 +99,16 @@ def test_the_pipeline_gives_the_texts_of_the_mix(spark):
     assert any(r.taken == 0 and not r.mixture for r in got) and any(len(r.mixture) == 2 for r in got)
 
 
+def test_degenerate_labels_reject_nothing(spark):
+    docs = spark.createDataFrame([(i, f"some plain words {i} of clean text") for i in range(40)], "doc_id long, text string")
+    shape, stats = "doc_id long, quality int, toxic int", quality.with_statistics(docs)
+    for rows in ([], [(i, 0, 1) for i in range(20)], [(i, 1, 0) for i in range(20)], [(i, 1, i % 2) for i in range(20)], [(99, 0, 1)]):
+        labels = spark.createDataFrame(rows, shape)
+        assert toxicity.score(docs, toxicity.fit(docs, labels)).where("NOT toxic").count() == 40
+        assert quality.score(docs, quality.fit(stats, labels)).where("predicted = 1").count() == 40
+    assert quality.fit(stats, spark.createDataFrame([(i, i % 2, 0) for i in range(20)], shape)).fitted
+
+
 def test_pipeline_on_empty_documents(spark):
     docs = queries.table(spark, SF, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
