@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lattiq.functions import formulas as M
 from lattiq.functions import text as X
-from lattiq.operators import attributes, dialogue, evidence, graph, linking, metrics, ranking, reports
+from lattiq.operators import attributes, channels, dialogue, evidence, graph, linking, metrics, ranking, reports
 from lattiq.plans import bindings as B
 from lattiq.plans.bindings import t
 from lattiq.shared import fresh_path, materialize
@@ -888,6 +888,11 @@ def greedy_mentions(s, sf):
     return metrics.greedy_matches(rows, relaxed=False)
 
 
+@query()
+def canonical_vectors(s, sf):
+    return channels.canonical_ids(t(s, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")))
+
+
 # ---------------------------------------------------------------- attributes
 
 

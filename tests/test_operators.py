@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +170,30 @@ def test_similar_pairs(spark):
     assert [(r.a, r.b) for r in got] == [(1, 2)] and got[0].cosine > 0.99
 
 
+def test_similar_pairs_and_canonical_ids_are_exact(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(250, 16))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.normal(size=base.shape)
+    side -= (side * base).sum(axis=1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    angle = np.arccos(rng.uniform(0.8, 0.83, 250))[:, None]
+    x = np.concatenate([base, (base * np.cos(angle) + side * np.sin(angle)) * 3])  # each with one right above the threshold
+    cos = x @ x.T / np.outer(*[np.linalg.norm(x, axis=1)] * 2)
+    ids = [f"n{i:03}" for i in rng.permutation(len(x))]
+    want = {tuple(sorted((ids[i], ids[j]))): cos[i, j] for i, j in zip(*np.nonzero(np.triu(cos >= 0.8, 1)))}
+    df = spark.createDataFrame([*zip(ids, x.tolist()), ("short", [1.0]), ("none", None), ("zero", [0.0] * 16), (None, [1.0] * 16)], "id string, vec array<double>")
+    got = channels.similar_pairs(df, 0.8).collect()
+    assert len(got) == len(want) > 250 and all(abs(r.cosine - want[r.a, r.b]) < 1e-9 for r in got)
+    assert sorted(map(tuple, channels.similar_pairs(df, 0.8, block=64).select("a", "b").collect())) == sorted(want)
+    root = {i: i for i in [*ids, "short", "none", "zero"]}
+    for _ in root:
+        for a, b in want:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {r.id: r.canonical for r in channels.canonical_ids(df, 0.8).collect()} == root
+    assert channels.canonical_ids(df.limit(0)).count() == 0
+
+
 def test_model_boundary(spark):
     rows = spark.createDataFrame([("k", "fever"), ("m", "x{text}")], "case string, text string")
     asked = linking.build_prompts(rows, "list")
