@@ -3,8 +3,9 @@
 Each shard of documents (an Arrow batch) becomes one token array with a sorted array of its
 suffixes. Only suffixes that begin with the leading words of some benchmark window can hold a match
 of window length, so the array leaves the others out. Every benchmark suffix is binary-searched in
-it: the interval that shares a whole window gives all its occurrences, and the neighbours of the
-place where the whole suffix would stand give the longest verbatim match and its location.
+it: the interval that shares a whole window gives all its occurrences. Each occurrence is extended
+word by word as far as document and item agree; the longest extension is the longest verbatim match.
+Matches shorter than a window (13 words, or the whole of a shorter item) are not reported.
 
 Edge cases: null and empty texts have no words, are never contaminated and match nothing; an item
 without words is skipped; a null item_id is skipped; repeated rows are judged each for itself; an
@@ -165,10 +166,11 @@ def scan_shard(texts: list[bytes], bench: Benchmark) -> list[dict]:
     return out
 
 
-FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())] + [T.StructField("items", T.ArrayType(T.StringType())), T.StructField("longest", T.LongType()), T.StructField("longest_item", T.StringType()), T.StructField("longest_at", T.LongType())]
+_SPANS = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())] + [T.StructField("items", T.ArrayType(T.StringType())), T.StructField("longest", T.LongType()), T.StructField("longest_item", T.StringType()), T.StructField("longest_at", T.LongType()), T.StructField("spans", _SPANS)]
 
 
-_FOUND = ("items", "longest", "longest_item", "longest_at")
+_FOUND = ("items", "longest", "longest_item", "longest_at", "spans")
 _TYPES = {"items_sha256": pa.string(), "contaminated": pa.bool_(), "items": pa.list_(pa.string()), "longest_item": pa.string(), "spans": pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))}
 
 
@@ -190,7 +192,8 @@ def _scan(docs: DataFrame, items: list[tuple[str, bytes]], p: DecontamParams, fi
 
 def judge(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = DecontamParams()) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items_sha256, contaminated, items (with occurring
-    windows), and the longest verbatim match: its words, item and place in the document (in words).
+    windows), the longest verbatim match: its words, item and place in the document (in words), and
+    spans: the maximal runs [a, b) of hit words, in order.
 
     The benchmark's text is measured first. Up to ``block_bytes`` of it go to the tasks in one pass;
     a larger benchmark is cut into blocks of about that size by a hash of the item, each a pass over
@@ -205,19 +208,23 @@ def judge(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = DecontamPar
         return _scan(docs, part(0), p, FIELDS)
     new = {f.name.lower() for f in FIELDS}
     keyed = materialize(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]).withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    span = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
-    fields = [*[f for f in FIELDS if f.name in _FOUND], T.StructField("spans", span)]
+    fields = [f for f in FIELDS if f.name in _FOUND]
     found = None
     for b in range(blocks):
         one = materialize(_scan(keyed.select("__row", "text"), part(b), p, fields).where(F.size("items") > 0).drop("text"), f"block{b}")
         found = one if found is None else found.unionByName(one)
     best = F.min_by(F.struct("longest", "longest_item", "longest_at"), F.struct(-F.col("longest"), F.col("longest_item"), F.col("longest_at")))
     found = found.groupBy("__row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), best.alias("best"))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("at"))
-    step = lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), x["b"] - F.greatest(x["a"], s["at"]))).alias("n"), F.greatest(s["at"], x["b"]).alias("at"))
-    found = found.select("__row", "items", F.aggregate("spans", start, step)["n"].alias("n_hit"), "best.*")
+    none, zero = F.array().cast(_SPANS), F.lit(0).cast("long")
+
+    def unite(s, x):
+        last = F.try_element_at(s, F.lit(-1))
+        longer = F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))))
+        return F.when((F.size(s) > 0) & (x["a"] <= last["b"]), longer).otherwise(F.concat(s, F.array(x)))
+
+    found = found.select("__row", "items", F.aggregate("spans", none, unite).alias("spans"), "best.*").withColumn("n_hit", F.aggregate("spans", zero, lambda s, x: s + x["b"] - x["a"]))
     words = F.coalesce(F.size(F.regexp_extract_all("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"), F.lit(0))), F.lit(0))
-    out = keyed.join(found, "__row", "left").withColumns({"n_words": F.when(F.col("text").isNull(), 0).otherwise(words).cast("long"), "n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>")), "longest": F.coalesce("longest", F.lit(0).cast("long"))})
+    out = keyed.join(found, "__row", "left").withColumns({"n_words": F.when(F.col("text").isNull(), 0).otherwise(words).cast("long"), "n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>")), "longest": F.coalesce("longest", F.lit(0).cast("long")), "spans": F.coalesce("spans", none)})
     out = out.withColumns({"n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.array_join("items", ","), 256), "contaminated": (F.col("n_hit") > 0) & (F.col("n_hit") * p.share >= F.col("n_words"))})
     return out.select(*[c for c in keyed.columns if c != "__row"], *[f.name for f in FIELDS])
 

@@ -56,6 +56,17 @@ def test_decontamination_against_brute_force(spark):
             assert " ".join(words) in " ".join(WORD.findall(lower(dict(named)[r.longest_item])))
 
 
+def test_decontamination_gives_the_spans_of_hit_words(spark):
+    item = [f"w{i}" for i in range(30)]
+    texts = [["x"] * 3 + item[:14] + ["y"] + item[10:30], item[:13] + item[5:18], ["x"], [], item[2:14]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(item[3:20])), (2, "y")], "item_id long, text string")
+    for p in (decontam.DecontamParams(), decontam.DecontamParams(block_bytes=40)):
+        got = {r.doc_id: r for r in decontam.judge(docs, bench, p).collect()}
+        assert {i: [tuple(x) for x in r.spans] for i, r in got.items()} == {0: [(3, 38)], 1: [(0, 26)], 2: [], 3: [], 4: []}
+        assert all(r.n_hit == sum(x.b - x.a for x in r.spans) for r in got.values())
+
+
 def test_decontamination_of_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, "a b", "s", 1, "")], DOCS), spark.createDataFrame([], "item_id long, text string")
     assert [(r.n_words, r.contaminated) for r in decontam.judge(docs, bench).collect()] == [(2, False)]
