@@ -99,7 +99,7 @@ def mix(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
 def with_mixture(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """The rows of ``mix`` with ``mixture``: (epoch, text) of each time that the document is taken, none if it is not.
 
-    The texts are shuffled once, by source and range.
+    The texts are shuffled, once for the join with the starts and once for the windows.
     """
     x = _planned(docs, p, ("text",)).withColumn("last", F.when(F.col("size") > 0, F.col("taken") - F.col("epochs") * F.col("size")).otherwise(F.lit(0)))
     one = lambda epoch, text: F.struct(epoch.cast("int").alias("epoch"), text.alias("text"))
