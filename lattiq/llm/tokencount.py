@@ -1,12 +1,16 @@
 """Token counts of documents in flat, unindexed token files.
 
 A token file is nothing but little-endian unsigned ids, documents ended by the end-of-document id.
-Blocks of a file are scanned for that id with vectorised comparisons; each block gives the lengths
-of the documents that lie inside it, its head and its tail, and a segmented prefix scan over the
-blocks' summaries numbers the documents and joins heads to tails across block boundaries.
+Blocks of a file are scanned for that id with vectorised comparisons; each block gives the places of
+its separators. A prefix scan over the blocks' summaries (number of separators, place of the last one)
+numbers the documents and tells where the one that is open at a block's begin began, so documents are
+stitched across block boundaries. The scan has two levels, inside groups of ``group`` blocks and over
+the groups, so that one very large file is no single task; the lists of places take no part in it.
 
 Edge cases: an empty document is two separators in a row and counts 0; tokens after the last
-separator are one more, unended, document; an empty file holds no document; null texts are empty.
+separator are one more, unended, document; an empty file holds no document; null texts are empty; a
+very long text may lie in many blocks; rows with equal or null ids are counted each for itself; an empty
+table writes and gives nothing; columns other than doc_id and text are not read, so names cannot clash.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ class TokenFileParams:
     eod: int = 50256
     width: int = 2  # bytes of an id
     block_tokens: int = 1 << 21
+    group: int = 4096  # blocks whose summaries one task scans
 
 
 @lru_cache(maxsize=2)
@@ -91,33 +96,32 @@ def token_counts(spark: SparkSession, path: str, p: TokenFileParams = TokenFileP
         for batch in batches:
             for name, length, block in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 raw = _read_block(name, block * size, min(size, length - block * size))
-                at = np.flatnonzero(np.frombuffer(raw, f"<u{p.width}") == p.eod)
-                n = len(raw) // p.width
-                head, tail = (int(at[0]), n - 1 - int(at[-1])) if len(at) else (n, n)
-                row = [[name], [block], [length], [n], [len(at)], [head], [tail], [(np.diff(at) - 1).tolist()]]
-                types = [pa.string(), *[pa.int64()] * 6, pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types)], names=["path", "block", "length", "n", "seps", "head", "tail", "inner"])
-
-    scanned = blocks.mapInArrow(scan, "path string, block long, length long, n long, seps long, head long, tail long, inner array<long>")
-    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    ended = F.coalesce(F.sum("seps").over(earlier), F.lit(0))  # separators before the block
-    upto = F.coalesce(F.sum("n").over(earlier), F.lit(0))
-    through = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    marked = scanned.withColumns({"ended": ended, "upto": upto, "segment": F.sum((F.col("seps") > 0).cast("int")).over(through)})
-    since = F.sum("tail").over(Window.partitionBy("path", "segment").orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
-    carry = F.coalesce(F.lag("since").over(Window.partitionBy("path").orderBy("block")), F.lit(0))
-    stitched = marked.withColumn("since", since).withColumn("carry", carry)  # tokens since the last separator before the block
-    last = F.col("upto") + F.col("n") == F.floor(F.col("length") / p.width)
-    open_tail = F.when(F.col("seps") > 0, F.col("tail")).otherwise(F.col("carry") + F.col("n"))
-    lengths = F.concat(
-        F.when(F.col("seps") > 0, F.concat(F.array(F.col("carry") + F.col("head")), F.col("inner"))).otherwise(F.array().cast("array<long>")),
-        F.when(last & (open_tail > 0), F.array(open_tail)).otherwise(F.array().cast("array<long>")),
-    )
-    first = F.col("upto") - F.col("carry")
-    rows = stitched.select("path", "ended", first.alias("first"), F.posexplode(lengths).alias("i", "n_tokens"))
-    within = Window.partitionBy("path", "ended").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("first") + F.coalesce(F.sum(F.col("n_tokens") + 1).over(within), F.lit(0))
-    return rows.select("path", (F.col("ended") + F.col("i")).alias("doc_ord"), "n_tokens", start.alias("start"))
+                at = np.flatnonzero(np.frombuffer(raw[: len(raw) // p.width * p.width], f"<u{p.width}") == p.eod) + block * p.block_tokens
+                row = [[name], [block], [length // p.width], [len(at)], [int(at[-1]) if len(at) else None]]
+                types = [pa.string(), *[pa.int64()] * 4]
+                places = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(row, types)], places], names=["path", "block", "total", "seps", "last", "at"])
+
+    scanned = materialize(blocks.mapInArrow(scan, "path string, block long, total long, seps long, last long, at array<long>"), "blocks")
+    slim = scanned.select("path", "block", "seps", "last").withColumn("group", F.floor(F.col("block") / p.group))
+
+    def before(w) -> dict:
+        """Separators before, and the place of the last one before, in the order of a window."""
+        w = w.rowsBetween(Window.unboundedPreceding, -1)
+        return {"ended": F.coalesce(F.sum("seps").over(w), F.lit(0)), "open": F.max("last").over(w)}
+
+    groups = slim.groupBy("path", "group").agg(F.sum("seps").alias("seps"), F.max("last").alias("last"))
+    groups = groups.select("path", "group", *[c.alias(f"g_{n}") for n, c in before(Window.partitionBy("path").orderBy("group")).items()])
+    inside = slim.select("path", "group", "block", *[c.alias(n) for n, c in before(Window.partitionBy("path", "group").orderBy("block")).items()])
+    placed = inside.hint("merge").join(groups, ["path", "group"])
+    placed = placed.select("path", "block", (F.col("ended") + F.col("g_ended")).alias("ended"), (F.coalesce("open", "g_open", F.lit(-1)) + 1).alias("first"))
+    x = scanned.hint("merge").join(placed, ["path", "block"])  # first: where the document open at the block's begin began
+    starts = F.concat(F.array("first"), F.transform("at", lambda i: i + 1))
+    final = (F.col("block") + 1) * p.block_tokens >= F.col("total")
+    unended = F.when(final & (F.element_at(starts, -1) < F.col("total")), F.array("total")).otherwise(F.array().cast("array<long>"))
+    pairs = F.arrays_zip(starts.alias("start"), F.concat("at", unended).alias("stop"))
+    rows = x.select("path", "ended", F.posexplode(pairs).alias("i", "doc")).where("doc.stop IS NOT NULL")
+    return rows.select("path", (F.col("ended") + F.col("i")).alias("doc_ord"), (F.col("doc.stop") - F.col("doc.start")).alias("n_tokens"), F.col("doc.start").alias("start"))
 
 
 def named_counts(written: DataFrame, counts: DataFrame) -> DataFrame:
@@ -126,7 +130,7 @@ def named_counts(written: DataFrame, counts: DataFrame) -> DataFrame:
     Files that no row names do not count; a row whose document the scan has not found raises.
     """
     found = counts.select(F.element_at(F.split("path", "/"), -1).alias("file"), "doc_ord", "n_tokens")
-    met = written.join(found, ["file", "doc_ord"], "left")
+    met = written.join(found.hint("merge"), ["file", "doc_ord"], "left")  # neither side has a bound
     wrong = F.raise_error(F.lit("a token file lacks a document"))
     return met.select("doc_id", F.when(F.col("n_tokens").isNull(), wrong.cast("long")).otherwise(F.col("n_tokens")).alias("n_tokens"))
 
