@@ -5,9 +5,12 @@ Statistics of the whole text (never its id, language or source) are standardised
 and solved once; pool-adjacent-violators turns the ridge scores into probabilities of label 1.
 
 Fitting uses at most ``max_train`` labelled rows, drawn by a hash of their id, in ``parts`` tasks.
-Edge cases: null and empty texts have the statistics of a text without words and are scored; without
-labelled rows every score is 0.5; if they lack a class, all texts are predicted good; labels that repeat an id count once, as the smallest; a labelled
-id of several texts is fitted by one of them; rows with equal or null ids are scored each for itself.
+Edge cases: null and empty texts have the statistics of a text without words and are scored; very long
+texts are measured as a whole; without labelled rows every score is 0.5; if they lack a class, all
+texts are predicted good; labels that repeat an id count once, as the smallest; a labelled id of
+several texts is fitted by the one of the least statistics; equal ridge scores are calibrated alike;
+rows with equal or null ids are scored each for itself; an empty table gives an empty result; an input
+column named like a result is replaced (``lattiq.llm.common.apart`` keeps all).
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from lattiq.llm.common import append_columns, texts_of
 @dataclass(frozen=True)
 class QualityParams:
     max_train: int = 50_000
-    parts: int = 16
+    parts: int = 16  # tasks that fit, and sums (0.5 MB each at 256 features) that the driver adds
     features: int = 256
     scale: float = 4.0  # kernel width, in standard deviations
     ridge: float = 1e-2
@@ -146,17 +149,22 @@ def fit(stats: DataFrame, labels: DataFrame, p: QualityParams = QualityParams())
             a, b = a + z.T @ z, b + z.T @ y
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())], names=["a", "b"])
 
-    parts = rows.mapInArrow(sums, "a binary, b binary").collect()  # one row of fixed size for each of ``parts`` tasks
+    few = rows.coalesce(p.parts)  # however many partitions the shuffle gave, so many sums of fixed size come to the driver at most
+    parts = few.mapInArrow(sums, "a binary, b binary").collect()
     a = sum(np.frombuffer(r.a).reshape(p.features + 1, -1) for r in parts)
     b = sum(np.frombuffer(r.b) for r in parts)
     weights = np.linalg.solve(a + p.ridge * np.eye(len(b)), b)
 
-    def raw(column: pa.Array) -> list:
-        return [pa.array(model.features(np.array(column.to_pylist(), float).reshape(-1, N_STATS)) @ weights, pa.float64())]
+    def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = model.features(np.array(batch.column(0).to_pylist(), float).reshape(-1, N_STATS)) @ weights
+            y = batch.column(1).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array([z.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], names=["raw", "y"])
 
-    pairs = append_columns(rows, "stats", raw, [T.StructField("raw", T.DoubleType())]).select("raw", "y").toPandas()
+    pairs = few.mapInArrow(raw, "raw binary, y binary").collect()  # 16 bytes for each of max_train rows at most
+    z, y = (np.concatenate([np.frombuffer(r[i]) for r in pairs]) for i in range(2))
     rows.unpersist()
-    return QualityModel(model.mean, model.sd, freq, phase, weights, isotonic(pairs.raw.to_numpy(), pairs.y.to_numpy()), got.classes > 1)
+    return QualityModel(model.mean, model.sd, freq, phase, weights, isotonic(z, y), got.classes > 1)
 
 
 FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]

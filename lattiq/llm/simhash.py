@@ -5,8 +5,10 @@ bits, whenever the sum of (t_i + 1) is t + 1. Correlated bits go into one partit
 programming picks the number of partitions and their unequal thresholds (-1: not probed) from
 estimated probe and candidate counts. Probes meet on (partition, value) and candidates are verified.
 
-Edge cases: null and empty texts have fingerprint zero and link like any other; rows with equal,
-repeated or null doc_ids each keep their own row; an empty table gives an empty result.
+Edge cases: null and empty texts have fingerprint zero and link like any other; very long texts are
+fingerprinted whole, in chunks of shingles; a bit set in exactly half the hashes is 0; rows with equal,
+repeated or null doc_ids each keep their own row (a group without any id has a null component_id); of
+other columns only ``deduplicate`` takes note, and keeps them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -207,30 +209,31 @@ def deduplicate(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFram
     a table of fixed size (2^17 rows at most, so it may be broadcast). Rows whose bit is clear stay;
     only the others are joined with the ids. The more ids go, the more rows take the join, and the
     result is the same. If several rows of a group have its smallest id, or none has an id, the one
-    with the least columns stays; rows that share an id but lie in different groups are not related.
+    with the least text stays, then that of the least columns (as JSON); rows that share an id but lie
+    in different groups are not related. Columns of any name and type come through untouched.
     """
     rows, by_fp = classes_of(docs, p)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # while here, so that no column meets a name used below
+    inner, id_, text = docs.toDF(*names), names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
     verdict = rows.where("doc_id IS NOT NULL").join(by_fp, "fp").groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("stay"), F.count("*").alias("n"))
     odd = materialize(verdict.where("stay <> 1 OR n <> 1"), "dropped")  # ids of which not just one row comes and stays
-    slot, bit = _slot(F.col("doc_id"))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
-    bits = odd.select(slot.alias("__slot"), one.alias("one")).groupBy("__slot").agg(F.bit_or("one").alias("__bits"))
-    known = docs.where("doc_id IS NOT NULL")
-    told = known.join(F.broadcast(bits), slot == F.col("__slot"), "left")
-    mark = F.call_function("shiftright", F.col("__bits"), bit).bitwiseAND(F.lit(1).cast("long")) == 1
+    slot, bit = _slot(F.col(id_))
+    from_id, in_id = _slot(F.col("doc_id"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), in_id)
+    bits = odd.select(from_id.alias("slot"), one.alias("one")).groupBy("slot").agg(F.bit_or("one").alias("bits"))
+    told = inner.where(F.col(id_).isNotNull()).join(F.broadcast(bits), slot == F.col("slot"), "left")
+    mark = F.call_function("shiftright", F.col("bits"), bit).bitwiseAND(F.lit(1).cast("long")) == 1
     hit = F.coalesce(mark, F.lit(False))
-    sure = told.where(~hit).select(*docs.columns)
-    unsure = told.where(hit).select(*docs.columns)
-    out = sure.unionByName(unsure.join(odd.select("doc_id"), "doc_id", "left_anti").select(*docs.columns))
-    again = odd.where("stay > 0").select("doc_id")
-    least = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")
+    sure, unsure = told.where(~hit).select(*names), told.where(hit).select(*names)
+    out = sure.unionByName(unsure.join(odd.select(F.col("doc_id").alias(id_)), id_, "left_anti").select(*names))
+    least = F.min_by(F.struct(*names), F.struct(text, F.to_json(F.struct(*names)))).alias("row")
+    again = odd.where("stay > 0").select(F.col("doc_id").alias(id_))
+    nameless = by_fp.where("component_id IS NULL").select("fp", "root")
     if not again.isEmpty():  # an id of several rows
-        held = unsure.join(again, "doc_id", "left_semi")
-        marked = with_fingerprints(held.select(*docs.columns), p, out="__fp").join(by_fp.select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), "component_id"), "__fp")
-        stays = marked.where(F.col("doc_id") == marked["component_id"])
-        out = out.unionByName(stays.groupBy("__root").agg(F.min(F.struct(*[stays[c] for c in docs.columns])).alias("row")).select("row.*"))
-    nameless = by_fp.where("component_id IS NULL").select(F.col("fp").alias("__fp"), F.col("root").alias("__root"))
+        marked = with_fingerprints(unsure.join(again, id_, "left_semi").select(*names), p, text).join(by_fp, "fp")
+        stays = marked.where(F.col(id_) == F.col("component_id"))
+        out = out.unionByName(stays.groupBy("root").agg(least).select("row.*"))
     if not nameless.isEmpty():
-        marked = with_fingerprints(docs.where("doc_id IS NULL"), p, out="__fp").join(nameless, "__fp")
-        out = out.unionByName(marked.groupBy("__root").agg(least).select("row.*"))
-    return out
+        marked = with_fingerprints(inner.where(F.col(id_).isNull()), p, text).join(nameless, "fp")
+        out = out.unionByName(marked.groupBy("root").agg(least).select("row.*"))
+    return out.toDF(*docs.columns)

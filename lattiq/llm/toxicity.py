@@ -6,12 +6,16 @@ and the logarithm of its rate, over the whole text. The label table says toxic o
 training text gets grade 1, 2 or 3 by the rate of telling words in it (terciles). The result is the
 expected grade, and a text is rejected if grade 0 has a probability below one half.
 
-Fitting uses at most ``max_train`` labelled rows, drawn by a hash of their id; everything else
-covers all rows. Edge cases: null and empty texts have no words and get the base rate; without
-labels, or with one class only, no word is selected, all texts get the base rate and none is called
-toxic; rows with equal
-or null ids are scored each for itself; labels that repeat an id count once, as the largest; a
-labelled id of several texts counts each one's words and is fitted by one of them.
+Fitting uses at most ``max_train`` labelled ids, drawn by a hash, with one text each. Their texts are
+written to the shared folder once, and all passes of the fit read that table; the driver gets the word
+counts that may be selected and each text's few features, packed. Scoring covers all rows.
+
+Edge cases: null and empty texts have no words and get the base rate; very long texts are counted as
+a whole; without labels, or with one class only, no word is selected, all texts get the base rate and
+none is called toxic; rows with equal or null ids are scored each for itself; labels that repeat an id
+count once, as the largest; a labelled id of several texts is fitted by the least of them; of words
+that tell alike the longer, then the smaller in bytes, comes first; an empty table gives an empty
+result; an input column named like a result is replaced (``lattiq.llm.common.apart`` keeps all).
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattiq.llm.common import append_columns, texts_of
+from lattiq.shared import materialize
 
 #: Bytes: A-Z to a-z; ASCII other than letters and digits to a blank.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -59,22 +64,44 @@ def items(counts: Counter) -> set[bytes]:
 
 
 class Vocabulary:
+    remembered = 1 << 14  # words whose features are kept at hand
+
     def __init__(self, words: tuple[bytes, ...]) -> None:
         self.words = {w: i for i, w in enumerate(words) if w[:1] != b" "}
         self.starts = [(n, {w[1:]: i for i, w in enumerate(words) if w[:1] == b" " and len(w) == n + 1}) for n in _BEGINNINGS]
         self.starts = [x for x in self.starts if x[1]]
+        self.at_hand: dict[bytes, tuple[int, ...]] = {}
+
+    def items_of(self, word: bytes) -> tuple[int, ...]:
+        whole = (self.words[word],) if word in self.words else ()
+        return whole + tuple(known[word[:n]] for n, known in self.starts if word[:n] in known)
 
     def vector(self, text: bytes) -> list[tuple[int, float]]:
-        """(feature, value): three features for each item that occurs."""
-        counts, seen = tally(text), Counter()
-        for w in counts.keys() & self.words.keys():
-            seen[self.words[w]] += counts[w]
-        for n, known in self.starts:
-            for w in counts:
-                if w[:n] in known:
-                    seen[known[w[:n]]] += counts[w]
+        """(feature, value): up to three features for each item that occurs."""
+        counts, seen, at_hand = tally(text), Counter(), self.at_hand
+        for w, n in counts.items():
+            if (found := at_hand.get(w)) is None:
+                if len(at_hand) >= self.remembered:
+                    at_hand.clear()
+                at_hand[w] = found = self.items_of(w)
+            for i in found:
+                seen[i] += n
         total = max(1, counts.total())
-        return [x for i in sorted(seen) for x in ((3 * i, 1.0), (3 * i + 1, float(seen[i] > 1)), (3 * i + 2, math.log1p(100 * seen[i] / total)))]
+        return [x for i in sorted(seen) for x in ((3 * i, 1.0), (3 * i + 1, float(seen[i] > 1)), (3 * i + 2, math.log1p(100 * seen[i] / total))) if x[1]]
+
+
+class SparseRows:
+    """A matrix of (row, column, value) entries."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, shape: tuple[int, int]) -> None:
+        self.row, self.column, self.value, self.shape = row, column, value, shape
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.column], self.shape[0])
+
+    @property
+    def T(self) -> SparseRows:
+        return SparseRows(self.column, self.row, self.value, self.shape[::-1])
 
 
 @dataclass(frozen=True)
@@ -88,7 +115,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(np.array(self.thresholds)[None, :] - s[:, None], -700, 700)))
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, p: ToxicityParams) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray | SparseRows, y: np.ndarray, p: ToxicityParams) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds that minimise the penalised negative log likelihood (Adam, full batch)."""
     n, v, k = len(y), x.shape[1], p.grades
     share = (np.array([(y < g).sum() for g in range(1, k)]) + 0.5 * np.arange(1, k) / k) / (n + 0.5)
@@ -114,27 +141,29 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, p: ToxicityParams) -> tuple[np.nda
     return params[:v], params[v] + np.concatenate([[0], np.cumsum(np.exp(params[v + 1 :]))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> OrdinalModel:
-    """Learn from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``."""
-    drawn = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
-    drawn = drawn.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(p.max_train)  # so many ids at most are sent out
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "y", "doc_id")
+def _counted(batches: Iterator[pa.RecordBatch], flush: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """(word, b, a): in how many clean and toxic texts of a task; more than ``flush`` words are given out early."""
+    seen = [Counter(), Counter()]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = [Counter(), Counter()]
-            for text, y in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
-                seen[y].update(items(tally(text)) | {b""})
-            words = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([seen[0][w] for w in words], pa.int64()), pa.array([seen[1][w] for w in words], pa.int64())], names=["word", "b", "a"])
+    def made() -> pa.RecordBatch:
+        words = list(seen[0].keys() | seen[1].keys())
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([seen[0][w] for w in words], pa.int64()), pa.array([seen[1][w] for w in words], pa.int64())], names=["word", "b", "a"])
 
-    counts = rows.mapInArrow(count, "word binary, b long, a long").groupBy("word").agg(F.sum("b").alias("b"), F.sum("a").alias("a")).where(F.col("a") + F.col("b") >= p.least_rows)
+    for batch in batches:
+        for text, y in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
+            seen[y].update(items(tally(text)) | {b""})
+            if len(seen[0]) + len(seen[1]) > flush:
+                yield made()
+                seen = [Counter(), Counter()]
+    yield made()
+
+
+def _select(counts: DataFrame, p: ToxicityParams) -> tuple[list, int, int]:
+    """The rows (word, b, a) of the words that are features, and the numbers of clean and toxic texts."""
     total = counts.where(F.octet_length("word") == 0).first()
     n0, n1 = (total.b, total.a) if total else (0, 0)
-    base = math.log((n1 + 0.5) / (n0 + 0.5))
-    flat = OrdinalModel((), (), tuple(-base + i for i in range(p.grades - 1)))
     if not n0 or not n1:
-        return flat
+        return [], n0, n1
     a, b, n = F.col("a"), F.col("b"), n0 + n1
     part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
     cells = [(a, (a + b) * n1 / n), (b, (a + b) * n0 / n), (n1 - a, (n - a - b) * n1 / n), (n0 - b, (n - a - b) * n0 / n)]
@@ -145,22 +174,36 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
         if len(chosen) < p.vocabulary and not any(w.startswith(stem) for w in spans.get((r.a, r.b), ())):  # else it marks the same texts
             chosen.append(r)
             spans.setdefault((r.a, r.b), []).append(stem)
+    return chosen, n0, n1
+
+
+def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> OrdinalModel:
+    """Learn from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``."""
+    drawn = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
+    drawn = drawn.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(p.max_train)  # so many ids at most are sent out
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = materialize(rows.select("text", "y", F.col("doc_id").cast("string").alias("name")), "drawn")
+    counts = rows.select("text", "y").mapInArrow(_counted, "word binary, b long, a long").groupBy("word").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
+    chosen, n0, n1 = _select(materialize(counts.where(F.col("a") + F.col("b") >= p.least_rows), "words"), p)
+    base = math.log((n1 + 0.5) / (n0 + 0.5))
     if not chosen:
-        return flat
+        return OrdinalModel((), (), tuple(-base + i for i in range(p.grades - 1)))
     words = tuple(bytes(r.word) for r in chosen)
     known, telling = Vocabulary(words), np.array([r.a * n0 > r.b * n1 for r in chosen])
 
-    def mark(column: pa.Array) -> list:
-        vectors = [known.vector(t) for t in texts_of(column)]
-        return [pa.array([[i for i, _ in v] for v in vectors], pa.list_(pa.int32())), pa.array([[x for _, x in v] for v in vectors], pa.list_(pa.float64()))]
-
-    fields = [T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("value", T.ArrayType(T.DoubleType()))]
-    marked = append_columns(rows, "text", mark, fields).groupBy("doc_id").agg(F.min(F.struct("y", "at", "value")).alias("r"))
-    marked = [r.r for r in sorted(marked.collect(), key=lambda r: str(r.doc_id))]  # max_train rows at most, one an id
-    x, toxic = np.zeros((len(marked), 3 * len(words))), np.array([r.y for r in marked])
-    for i, r in enumerate(marked):
-        x[i, r.at] = r.value
-    strength = x[:, 2::3] @ telling
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = [known.vector(t) for t in texts_of(batch.column(0))]
+            at = [np.array([i for i, _ in v], "<u2").tobytes() for v in vectors]
+            value = [np.array([x for _, x in v], "<f8").tobytes() for v in vectors]
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(at, pa.binary()), pa.array(value, pa.binary())], names=["name", "y", "at", "value"])
+
+    got = rows.mapInArrow(mark, "name string, y int, at binary, value binary").toArrow().sort_by("name")  # max_train rows at most
+    toxic, at = got["y"].to_numpy(), [np.frombuffer(x, "<u2") for x in got["at"].to_pylist()]
+    x = SparseRows(np.repeat(np.arange(len(at)), [len(i) for i in at]), np.concatenate(at).astype(np.int64), np.frombuffer(b"".join(got["value"].to_pylist()), "<f8"), (len(at), 3 * len(words)))
+    rates = np.zeros(3 * len(words))
+    rates[2::3] = telling
+    strength = x @ rates
     cuts = np.quantile(strength[toxic == 1], [(g + 1) / (p.grades - 1) for g in range(p.grades - 2)])
     y = np.where(toxic == 1, 1 + (strength[:, None] > cuts[None, :]).sum(axis=1), 0)
     w, t = fit_ordinal(x, y, p)

@@ -45,9 +45,11 @@ def test_fingerprint_is_the_plain_one():
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(100)]
     star = [(1000, 1000 + i) for i in range(1, 300)]
-    rows = common.components(spark.createDataFrame(chain + star + [(7, 7)], "a long, b long")).collect()
-    roots = {r.node: r.root for r in rows}
-    assert len({roots[i] for i in range(101)}) == 1 and len({roots[i] for i in range(1000, 1300)}) == 1 and roots[0] != roots[1000]
+    for one_task in (0, 20, common.ONE_TASK_EDGES):
+        rows = common.components(spark.createDataFrame(chain + star + [(7, 7)], "a long, b long").repartition(3), one_task).collect()
+        roots = {r.node: r.root for r in rows}
+        assert len(rows) == len(roots) == 401
+        assert len({roots[i] for i in range(101)}) == 1 and len({roots[i] for i in range(1000, 1300)}) == 1 and roots[0] != roots[1000]
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -133,6 +135,8 @@ def test_embeddings_against_brute_force(spark):
     got = sorted(embeddings.near_duplicates(df, embeddings.EmbeddingParams(block=16)).collect())
     wide = embeddings.EmbeddingParams(fill=2.0**-22)  # bands of over 24 bits
     assert wide.shape(100)[0] > 24 and sorted(embeddings.near_duplicates(df, wide).collect()) == got
+    for tiles in (embeddings.EmbeddingParams(small=4, tile=8, block=20), embeddings.EmbeddingParams(small=1, tile=512)):
+        assert sorted(embeddings.near_duplicates(df, tiles).collect()) == got
     assert [(r.vec_id, r.n_links, r.component_id, r.kept) for r in got] == [(i, degree[i], want[i], want[i] == i) for i in range(len(rows))]
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
