@@ -82,8 +82,43 @@ def test_a_large_benchmark_is_judged_in_blocks(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "d"))
     whole, cut = (decontam.judge(docs, bench, decontam.DecontamParams(block_bytes=n)) for n in (1 << 20, 200))
     assert whole.columns == cut.columns
-    slim = [c for c in whole.columns if c not in ("longest_item", "longest_at")]  # of equally long matches either may be named
-    assert sorted(map(str, whole.select(*slim).collect())) == sorted(map(str, cut.select(*slim).collect()))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, cut.collect()))
+
+
+def test_decontamination_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5, 6, 7)], "doc_id long, text string, __row int, row int, ROW_ int")
+    bench = spark.createDataFrame([(0, "a b"), (1, "c d e f g h")], "item_id long, text string")
+    for n in (1 << 20, 3):
+        got = decontam.judge(docs, bench, decontam.DecontamParams(block_bytes=n)).first()
+        assert (got["__row"], got["row"], got["ROW_"], got.n_hit, got.longest_item) == (5, 6, 7, 2, "0")
+
+
+def test_many_equal_items_are_searched_once(spark):
+    names = sorted(str(i) for i in range(3000))
+    bench = decontam.Benchmark([(n, b"word") for n in names] + [("x", b"a word"), ("y", b"b b")], decontam.DecontamParams())
+    assert len(bench.at) == 3 and len(bench.suffixes) == 5
+    got = decontam.scan_shard([b"word " * 4000, b"a word", b"b b b"], bench)
+    assert [(r["n_hit"], len(r["items"]), r["longest"], r["longest_item"], r["longest_at"]) for r in got] == [(4000, 3000, 1, "0", 0), (2, 3001, 2, "x", 0), (3, 1, 2, "y", 0)]
+
+
+def test_the_longest_match_names_the_smallest_item_first(spark):
+    rng = random.Random(21)
+    make = lambda n: " ".join(rng.choice("ab") for _ in range(n))
+    bench = [(str(i), make(rng.randrange(1, 30))) for i in range(40)]
+    held = decontam.Benchmark([(n, t.encode()) for n, t in bench], decontam.DecontamParams(window=5))
+    for text in [make(rng.randrange(60)) for _ in range(40)]:
+        words, best = text.split(), (0,)
+        for name, item in bench:
+            w = item.split()
+            for i in range(len(w)):
+                for j in range(len(words)):
+                    k = 0
+                    while i + k < len(w) and j + k < len(words) and w[i + k] == words[j + k]:
+                        k += 1
+                    if k >= min(5, len(w)) and (best == (0,) or (-k, name, j) < best):
+                        best = (-k, name, j)
+        got = decontam.scan_shard([text.encode()], held)[0]
+        assert (got["longest"], got["longest_item"], got["longest_at"]) == ((-best[0], *best[1:]) if len(best) > 1 else (0, None, None))
 
 
 def test_mixing_meets_every_budget(spark):
@@ -91,7 +126,7 @@ def test_mixing_meets_every_budget(spark):
     sources = ["a"] * 300 + ["b"] * 20 + ["c"] * 60 + [None] * 9 + [""] * 3 + ["é"] * 5
     rows = [(i if i % 7 else 7, " ".join("w" * rng.randrange(40)), s, 0, "x") for i, s in enumerate(sources)] + [(900, None, "z", 0, ""), (901, " \t", "z", 0, "")]
     docs = spark.createDataFrame(rows, DOCS)
-    got = mixing.mix(docs, mixing.MixParams(rows_a_range=16)).collect()
+    got = mixing.mix(docs, mixing.MixParams(range_bits=2)).collect()
     assert len(got) == len(rows)
     assert all(0 <= r.taken <= 2 * r["size"] for r in got)
     by = {}
@@ -102,7 +137,7 @@ def test_mixing_meets_every_budget(spark):
         assert sum(r.taken for r in rs) == int(rs[0].target)
     total = sum(r["size"] for r in got)
     assert abs(sum(rs[0].target for rs in by.values()) - 1.5 * total) < 1e-6
-    again = mixing.mix(docs.repartition(5), mixing.MixParams(rows_a_range=1000)).collect()
+    again = mixing.mix(docs.repartition(5), mixing.MixParams()).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert mixing.mix(docs.limit(0)).count() == 0
 
@@ -113,7 +148,7 @@ def test_the_mixture_holds_the_words_taken(spark):
     make = lambda n: "".join(gap() * rng.randrange(2) + f"wé{rng.randrange(99)}" + gap() for _ in range(n))
     sources = ["a"] * 90 + ["b"] * 11 + ["c"] * 30 + [None] * 9 + [""] * 3
     rows = [(i if i % 7 else 7, make(rng.randrange(30)), s, 0, "x") for i, s in enumerate(sources)] + [(900, None, "z", 0, ""), (901, " \t", "z", 0, ""), (None, make(2500), "b", 0, "")]
-    docs, p = spark.createDataFrame(rows, DOCS).repartition(3), mixing.MixParams(rows_a_range=16)
+    docs, p = spark.createDataFrame(rows, DOCS).repartition(3), mixing.MixParams(range_bits=2)
     got = mixing.with_mixture(docs, p).collect()
     digest = lambda r: str([r[c] for c in mixing.DIGEST])
     assert sorted(map(digest, got)) == sorted(map(digest, mixing.mix(docs, p).collect()))
@@ -147,7 +182,7 @@ def test_token_files_against_a_plain_scan(spark, tmp_path, block):
         flat = [x for d in docs for x in [*d, eod]] + open_end[name]
         (tmp_path / f"{name}.bin").write_bytes(np.array(flat, "<u2").tobytes())
     (tmp_path / "empty.bin").write_bytes(b"")
-    got = tokencount.token_counts(spark, str(tmp_path), tokencount.TokenFileParams(eod=eod, block_tokens=block)).collect()
+    got = tokencount.token_counts(spark, str(tmp_path), tokencount.TokenFileParams(eod=eod, block_tokens=block, group=3)).collect()
     for name, docs in files.items():
         want, at = [], 0
         for d in docs + ([open_end[name]] if open_end[name] else []):
