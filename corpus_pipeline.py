@@ -9,27 +9,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lattiq.llm import decontam, mixing, quality, simhash, toxicity
+from lattiq.llm.common import apart
 from lattiq.llm.queries import table
 from lattiq.shared import materialize
 
+READ = ("doc_id", "text")
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("NOT toxic").select(*docs.columns)
+    return apart(docs, READ, lambda x: toxicity.score(x, model).where("NOT toxic"))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
-    model = quality.fit(quality.with_statistics(quality.labelled(docs, labels)), labels)
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    model = quality.fit(quality.with_statistics(quality.labelled(docs.select(*READ), labels)), labels)
+    return apart(docs, READ, lambda x: quality.score(x, model).where("predicted = 1"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicate(docs).select(*docs.columns)
+    return simhash.deduplicate(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontam.judge(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(*docs.columns)
+    return apart(docs, READ, lambda x: decontam.judge(x, table(spark, sf_dir, "benchmark")).where("NOT contaminated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
