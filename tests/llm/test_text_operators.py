@@ -4,7 +4,9 @@ import hashlib
 import random
 import re
 import textwrap
+import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -253,15 +255,37 @@ def test_url_rules(spark):
     assert urlfilter.judge_urls(rows.limit(0)).count() == 0
 
 
-def test_url_model_holds_out_names():
-    p, rows = urlfilter.UrlParams(), urlfilter.labelled_urls()
-    weights, base = urlfilter.fit(rows, p)
-    right = sum((sum(weights[b] for b in urlfilter.features(*urlfilter.split_url(u), p)) + base > 0) == bool(y) for u, y in rows)
-    assert right / len(rows) > 0.98
-    for url, y in (("http://www.cheap-pills-now.example.com/en/5", 1), ("https://blog.free-bets.example.org/de/77", 1), ("http://www.gardens.example.org/en/1", 0)):
-        assert (sum(weights[b] for b in urlfilter.features(*urlfilter.split_url(url), p)) + base > 0) == bool(y)
-    with pytest.raises(ValueError):
-        urlfilter.fit(rows, urlfilter.UrlParams(max_train=3))
+def _judge(rows):
+    weights, base = urlfilter.fit(urlfilter.drawn(rows, urlfilter.UrlParams()))
+    return lambda url: sum(weights[b] for b in urlfilter.features(*urlfilter.split_url(url), urlfilter.UrlParams())) + base > 0
+
+
+def test_url_model_on_held_out_names():
+    rows = urlfilter.labelled_urls()
+    host = lambda u: urlfilter.split_url(u)[0]
+    held = {n for n, _ in urlfilter.names() if zlib.crc32(n.encode()) % 4 == 0}
+    test = [(u, y) for u, y in rows if any(part in held for part in host(u).split("."))]
+    blocks = _judge(sorted(set(rows) - set(test)))
+    caught, taken, bad = sum(blocks(u) for u, y in test if y), sum(blocks(u) for u, y in test if not y), sum(y for _, y in test)
+    assert caught / bad > 0.85 and caught / (caught + taken) > 0.95 and 100 < bad < len(test) - 100
+
+
+def test_url_model_on_names_of_other_making():
+    blocks = _judge(urlfilter.labelled_urls())
+    bad = "poker-online.example.com malware.example.com phishing-login.ru pornhub.com viagra-shop.biz sexycams.io onlinecasinos24.com quickloans.co.uk"
+    fine = "github.com/a/b www.nytimes.com/2020/a.html en.wikipedia.org/wiki/Cat stackoverflow.com/questions/1 docs.python.org/3/ www.bbc.co.uk/news therapy.example.com arxiv.org/abs/1"
+    assert [u for u in bad.split() if not blocks(f"http://{u}")] == [] and [u for u in fine.split() if blocks(f"https://{u}")] == []
+
+
+def test_url_model_learns_from_a_table(spark):
+    train = spark.createDataFrame([(f"http://{'vile' if i % 2 else 'good'}{i}.example.com/", i % 2) for i in range(60)] + [(None, 1), ("http://x.y/", None)], "url string, label int")
+    pages = spark.createDataFrame([(1, "http://vile.example.com/"), (2, "http://goods.example.com/"), (2, "http://goods.example.com/"), (3, None), (4, "http://" + "vile" * 5000)], "page_id long, url string")
+    got = [r.verdict for r in urlfilter.judge_urls(pages, train).collect()]
+    assert got[:3] == ["block", "allow", "allow"] and got[4] == "block"
+    one = [r.verdict for r in urlfilter.judge_urls(pages, train.where("label = 1")).collect()]
+    none = [r.verdict for r in urlfilter.judge_urls(pages, train.limit(0)).collect()]
+    assert set(one) == {"block"} and set(none) == {"allow"}
+    assert len(urlfilter.drawn(train, urlfilter.UrlParams(max_train=7))) == 7
 
 
 def test_licences(spark):
@@ -278,6 +302,24 @@ def test_licences(spark):
     assert not scan(licenses.LicenseParams()) and [x[0] for x in scan(wide)] == ["GPL-3.0-or-later"]
 
 
+def test_the_licence_sql_holds_rules_of_several_sentences(spark):
+    known, rng = licenses.SENTENCES, random.Random(17)
+    texts = ["\n".join(known[n] for n in names) for _, names in licenses.RULES]
+    pool = [*known.values(), "Other words.", "1.", "*"]
+    texts += ["\n".join(rng.choice(pool) for _ in range(rng.randrange(12))) for _ in range(300)] + [" ".join(known[n] for n in rng.choice(licenses.RULES)[1]) for _ in range(40)]
+    texts += ["1. " + known["bsd_grant"] + "\n1. " + known["bsd_source"] + "\n2. " + known["bsd_binary"] + "\n3. " + known["bsd_name"], None, "", "x " * 50_000 + ". All rights reserved."]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    want = sorted(c.execute(licenses.oracle()).fetchall())
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string")
+    got = licenses.scan_licenses(docs)
+    assert sorted({tuple(r) for r in got.select("doc_id", "n_matches", "licences").collect()}) == want
+    assert [got.where(f"doc_id = {i}").first().licences for i in range(len(licenses.RULES))] == [r[0] for r in licenses.RULES]
+    assert got.where("doc_id = 0").count() == 2 and licenses.scan_licenses(docs.limit(0)).count() == 0
+    assert want[-4][2] == "BSD-3-Clause" and want[-1][2] == "proprietary"
+
+
 @pytest.mark.parametrize("prefix", ["", "# ", " * ", "// ", "; ", "    "])
 @pytest.mark.parametrize("width", [40, 72])
 def test_licences_of_wrapped_texts(prefix, width):
