@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,16 +61,20 @@ def phrase_parts(c: Column) -> Column:
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.trim(F.lower(c))))
 
 
-#: Terms and patterns that are no findings (own lists).
-NOISE = ("patient", "patients", "treatment", "therapy", "study", "diagnosis", "unknown", "other", "n/a", "none")
-NOISE_PATTERNS = (r"^\d+$", r"^[^a-z]+$", r"\b(?:mg|ml|kg)\b", r"^(?:the|a|an)$", r"https?:", r"\bet al\b", r"^table\b", r"^figure\b", r"[{}<>]", r"\d{4,}")
+#: Terms that are no findings (fixed values), and patterns of our own; both are parameters.
+NOISE = (
+    "history of present illness", "patient education", "differential diagnosis", "clinical features", "physical examination", "history taking",
+    "past medical history", "family history", "social history", "review of systems", "vital signs", "general appearance", "no known", "none", "n/a", "unknown",
+    "comparative anatomy", "comparative physiology", "male predominance", "female predominance", "clinical presentation", "clinical course", "clinical manifestation",
+)
+NOISE_PATTERNS = (r"^\d+$", r"^[^a-z]+$", r"\b(?:mg|ml|kg)\b", r"^(?:the|a|an)$", r"^(?:patients?|treatment|therapy|study|diagnosis|other)$", r"https?:", r"\bet al\b", r"^table\b", r"^figure\b", r"[{}<>]", r"\d{4,}")
 
 
-def is_noise(c: Column) -> Column:
-    """Blacklisted, shorter than 3 or longer than 50, over 6 words, of a noise pattern, or under half letters."""
+def is_noise(c: Column, terms: Sequence[str] = NOISE, patterns: Sequence[str] = NOISE_PATTERNS) -> Column:
+    """Listed, shorter than 3 or longer than 50, over 6 words, of a noise pattern, or under half letters."""
     t = F.trim(F.lower(c))
-    bad = t.isin(*NOISE) | ~F.length(t).between(3, 50) | (F.size(F.split(t, r"\s+")) > 6)
-    for p in NOISE_PATTERNS:
+    bad = t.isin(*terms) | ~F.length(t).between(3, 50) | (F.size(F.split(t, r"\s+")) > 6)
+    for p in patterns:
         bad = bad | t.rlike(p)
     return F.coalesce(bad | (F.length(F.regexp_replace(t, r"[^\p{L}]", "")) < 0.5 * F.length(t)), F.lit(True))
 

@@ -45,7 +45,7 @@ def attribute_aware(cases: DataFrame, edges: DataFrame, idf: DataFrame, alpha: f
     """(case, d, score): (alpha + (1 - alpha) align) ln(1 + n) idf of the edge with most mentions for each finding.
 
     cases: (case, p, values); edges: (d, p, n_mentions, dist)."""
-    best = edges.groupBy("d", "p").agg(F.max("n_mentions").alias("n"), F.max_by("dist", "n_mentions").alias("dist"))
+    best = edges.groupBy("d", "p").agg(F.max("n_mentions").alias("n"), F.max_by("dist", F.struct(F.col("n_mentions"), F.to_json("dist").alias("_j"))).alias("dist"))
     x = cases.join(best, "p").join(idf, "p", "left")
     s = (alpha + (1 - alpha) * alignment(F.col("values"), F.col("dist"))) * F.log1p("n") * F.coalesce("idf", F.lit(1.0))
     return x.groupBy("case", "d").agg(F.sum(s).alias("score"))

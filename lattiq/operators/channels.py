@@ -95,40 +95,29 @@ def oracle_lookahead(state: DataFrame, first: DataFrame, truth: DataFrame, edges
     """(case, q, value) of each candidate: the best share after it and ``depth`` more questions.
 
     The simulation answers from the case's true findings, so this is an upper bound, not a strategy to deploy.
-    rollouts 0: the questions that most diseases share; else the mean of so many hash-drawn orders. The edges
-    must be few enough to sit beside one case; a case is one group."""
-    table = edges.select("d", "p").distinct()
-    if table.count() > 2_000_000:
-        raise ValueError("too many edges to simulate beside one case")
-    by_d: dict = {}
-    for r in table.collect():
-        by_d.setdefault(r.d, set()).add(r.p)
-    held = edges.sparkSession.sparkContext.broadcast(by_d)
-
-    def best(yes: set, no: set) -> float:
-        raw = [c * c / (c + len(f & no) + 1) for f in held.value.values() if (c := len(f & yes))]
-        return max(raw) / sum(raw) if raw else 0.0
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        import random
-
-        real = set(pdf[pdf.kind == "true"].p)
-        yes, no = set(pdf[pdf.kind == "yes"].p), set(pdf[pdf.kind == "no"].p)
-        rows = []
-        for q in sorted(pdf[pdf.kind == "first"].p):
-            pool = sorted({p for f in held.value.values() if f & yes for p in f} - yes - no - {q})
-            runs = []
-            for r in range(max(1, rollouts)):
-                order = random.Random(f"{seed}:{pdf.case.iloc[0]}:{q}:{r}").sample(pool, min(depth, len(pool))) if rollouts else sorted(pool, key=lambda p: (-sum(p in f for f in held.value.values()), p))[:depth]
-                asked = {q, *order}
-                runs.append(best(yes | (asked & real), no | (asked - real)))
-            rows.append((pdf.case.iloc[0], q, sum(runs) / len(runs)))
-        return pd.DataFrame(rows, columns=["case", "q", "value"])
-
-    tag = lambda df, k: df.select("case", F.col("p"), F.lit(k).alias("kind"))
-    rows = tag(state.where("yes"), "yes").unionByName(tag(state.where("NOT yes"), "no")).unionByName(tag(truth, "true")).unionByName(tag(first, "first"))
-    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.groupBy("case").applyInPandas(one, f"case {kind['case']}, q {kind['p']}, value double")
+    rollouts 0: the questions that most diseases share; else the mean of so many hash-drawn orders. All
+    simulations of all cases are one plan; the work grows with candidates, runs and the diseases in reach."""
+    e = materialize(edges.select("d", "p").distinct(), "edges")
+    known = materialize(state.select("case", "p", "yes").distinct(), "state")
+    reach = known.where("yes").join(e, "p").select("case", "d").distinct()
+    pool = reach.join(e, "d").select("case", "p").distinct().join(known.select("case", "p"), ["case", "p"], "left_anti")
+    runs = first.select("case", F.col("p").alias("q")).distinct().withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(max(1, rollouts) - 1))))
+    met = runs.join(pool, "case").where("p <> q")
+    if rollouts:
+        order = F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), "case", "q", "run", "p")).alias("o"), F.col("p"))
+    else:
+        met = met.join(e.groupBy("p").agg(F.count("*").alias("shared")), "p")
+        order = F.struct((-F.col("shared")).alias("o"), F.col("p"))
+    asked = met.withColumn("_r", F.row_number().over(ranking.by("case", "q", "run").orderBy(order))).where(F.col("_r") <= depth).select("case", "q", "run", "p")
+    asked = asked.unionByName(runs.select("case", "q", "run", F.col("q").alias("p")))
+    told = asked.join(truth.select("case", "p").distinct().withColumn("_t", F.lit(True)), ["case", "p"], "left").withColumn("yes", F.coalesce("_t", F.lit(False)))
+    told = told.join(known.select("case", "p").withColumn("_k", F.lit(True)), ["case", "p"], "left").where("_k IS NULL").drop("_k", "_t")
+    old = known.join(e, "p").groupBy("case", "d").agg(F.count_if("yes").alias("c"), F.count_if(~F.col("yes")).alias("x"))
+    new = told.join(e, "p").groupBy("case", "q", "run", "d").agg(F.count_if("yes").alias("c"), F.count_if(~F.col("yes")).alias("x"))
+    n = runs.join(old, "case").unionByName(new).groupBy("case", "q", "run", "d").agg(F.sum("c").alias("c"), F.sum("x").alias("x")).where("c > 0")
+    raw = F.col("c") * F.col("c") / (F.col("c") + F.col("x") + 1)
+    best = n.groupBy("case", "q", "run").agg((F.max(raw) / F.sum(raw)).alias("best"))
+    return runs.join(best, ["case", "q", "run"], "left").groupBy("case", "q").agg(F.avg(F.coalesce("best", F.lit(0.0))).alias("value"))
 
 
 def logistic_classifier(cases: DataFrame, truth: DataFrame, buckets: int = 1 << 12, rounds: int = 20):

@@ -221,14 +221,69 @@ def select_seeds(names: DataFrame, types: DataFrame, sabs: Sequence[str], core:
     return sets.withColumn("focused", two | rare_hit | (F.size("sabs") >= 3))
 
 
-def cascade_join(left: DataFrame, right: DataFrame, normal: tuple[Column, Column]) -> DataFrame:
-    """left (name) to right (key, code): exact, else normalised, else the shortest key that contains the name or is in it."""
-    one = left.join(right.select(F.col("key").alias("name"), F.col("code").alias("c1")).dropDuplicates(["name"]), "name", "left")
-    two = right.select(normal[1].alias("_k"), "code").groupBy("_k").agg(F.min("code").alias("c2"))
-    out = one.withColumn("_k", normal[0]).join(two, "_k", "left").drop("_k")
-    rest = out.where("c1 IS NULL AND c2 IS NULL").select("name").distinct()
-    words = lambda df, c, n: df.select("*", F.explode(F.array_distinct(F.split(F.lower(c), r"\W+"))).alias(n)).where(F.length(n) > 0)
-    # whoever contains the other's whole words shares one of them, so an equi-join on words finds all such pairs
-    pairs = words(rest, F.col("name"), "w").join(words(right, F.col("key"), "w"), "w").where(F.lower("key").contains(F.lower("name")) | F.lower("name").contains(F.lower("key")))
-    three = pairs.groupBy("name").agg(F.min_by("code", F.struct(F.length("key"), "key")).alias("c3"))
-    return out.join(three, "name", "left").select(*left.columns, F.coalesce("c1", "c2", "c3").alias("code"), F.when(F.col("c1").isNotNull(), "exact").when(F.col("c2").isNotNull(), "normal").when(F.col("c3").isNotNull(), "partial").alias("tier"))
+def cascade_join(left: DataFrame, right: DataFrame, normal: Column, least_name: int = 9, least_key: int = 5, least_ratio: float = 0.5) -> DataFrame:
+    """left (name) to right (key, code): exact in lower case, else the name by ``normal``, else the partial match.
+
+    A partial match is one inside the other, for names and keys of a least length; the ratio of their lengths
+    must exceed ``least_ratio``, the largest wins, then the smaller key. Of equal keys the smallest code counts."""
+    low = lambda c: F.trim(F.lower(c))
+    index = right.groupBy(low("key").alias("_k")).agg(F.min("code").alias("code")).where("_k IS NOT NULL")
+    names = left.select("name").distinct().select("name", low("name").alias("_low"), normal.alias("_norm"))
+    one = names.join(index.toDF("_low", "c1"), "_low", "left").join(index.toDF("_norm", "c2"), "_norm", "left")
+    rest = one.where((F.length("_low") >= least_name) & F.col("c1").isNull() & F.col("c2").isNull()).select("name", F.col("_low").alias("_a"))
+    pairs = _contained(rest.select("name", "_a"), index.where(F.length("_k") >= least_key), least_ratio)
+    three = pairs.groupBy("name").agg(F.min_by("code", F.struct((-F.col("ratio")).alias("r"), F.col("_k"))).alias("c3"))
+    out = one.join(three, "name", "left").select("name", F.coalesce("c1", "c2", "c3").alias("code"), F.when(F.col("c1").isNotNull(), "exact").when(F.col("c2").isNotNull(), "normal").when(F.col("c3").isNotNull(), "partial").alias("tier"))
+    return left.join(out, "name", "left").select(*left.columns, "code", "tier")
+
+
+def _contained(names: DataFrame, keys: DataFrame, ratio: float) -> DataFrame:
+    """(name, _k, code, ratio) of pairs of names (name, _a) and keys (_k, code) of which one lies in the other and is over ``ratio`` of it.
+
+    The longer text, of n characters, is cut at the multiples of g, a power of two under ratio n / 2. The shorter is
+    longer than 2 g, so it holds a whole piece of the longer. It gives all its runs of that length, for each length that
+    a longer partner may have (two or three powers of two), so pairs meet on a piece and are then verified."""
+    size = lambda n: f"cast(pow(2, floor(log2(greatest(1, ceil({n} * {ratio} / 2) - 1)))) as int)"
+    x = names.select(F.struct("name", F.lit(None).cast(keys.schema["code"].dataType).alias("code"), F.lit(True).alias("left")).alias("o"), F.col("_a").alias("s"))
+    y = keys.select(F.struct(F.lit(None).cast("string").alias("name"), "code", F.lit(False).alias("left")).alias("o"), F.col("_k").alias("s"))
+    every = x.unionByName(y).withColumn("n", F.length("s"))
+    grid = every.withColumn("g", F.expr(size("n"))).withColumn("at", F.explode(F.expr("sequence(1, n - g + 1, g)"))).select("o", "s", "n", "g", F.expr("substring(s, at, g)").alias("run"))
+    lengths = F.expr(f"array_distinct(transform(sequence(n, cast(ceil(n / {ratio}) as int)), m -> {size('m')}))")
+    runs = every.withColumn("g", F.explode(lengths)).where("g <= n").withColumn("at", F.explode(F.expr("sequence(1, n - g + 1)"))).select("o", "s", "n", "g", F.expr("substring(s, at, g)").alias("run")).distinct()
+    a, b = grid.alias("a"), runs.alias("b")
+    met = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.run") == F.col("b.run")) & (F.col("a.o.left") != F.col("b.o.left")))
+    met = met.where((F.col("a.n") >= F.col("b.n")) & F.col("a.s").contains(F.col("b.s")) & (F.col("b.n") > ratio * F.col("a.n")))
+    pick = lambda f: F.when(F.col("a.o.left"), f("a", "b")).otherwise(f("b", "a"))
+    return met.select(pick(lambda u, v: F.col(f"{u}.o.name")).alias("name"), pick(lambda u, v: F.col(f"{v}.s")).alias("_k"), pick(lambda u, v: F.col(f"{v}.o.code")).alias("code"), (F.col("b.n") / F.col("a.n")).alias("ratio")).distinct()
+
+
+def icd_join(left: DataFrame, right: DataFrame, corrections: dict[str, str] | None = None) -> DataFrame:
+    """left (x, icd) with code and tier: right (icd, code, ord) by the normalised code, else by what stands before its point.
+
+    Codes are upper case without outer blanks; corrections replace them first; of equal codes the first row of right counts."""
+    norm = lambda c: F.upper(F.trim(c))
+    index = right.groupBy(norm("icd").alias("_i")).agg(F.min_by("code", "ord").alias("code")).where("_i IS NOT NULL")
+    fixed = norm("icd")
+    for a, b in (corrections or {}).items():
+        fixed = F.when(norm("icd") == a, b).otherwise(fixed)
+    x = left.withColumn("_own", fixed).withColumn("_up", F.split("_own", r"\.")[0])
+    x = x.join(index.toDF("_own", "c1"), "_own", "left").join(index.toDF("_up", "c2"), "_up", "left")
+    return x.select(*left.columns, F.coalesce("c1", "c2").alias("code"), F.when(F.col("c1").isNotNull(), "exact").when(F.col("c2").isNotNull(), "parent").alias("tier"))
+
+
+def expand_cases(cases: DataFrame, parents: DataFrame, synonyms: DataFrame | None = None, children: DataFrame | None = None, depth: int = 2) -> DataFrame:
+    """(case, p) with the findings' parents up to ``depth`` levels, and the synonyms (and children) of all of these levels.
+
+    parents, synonyms, children: rows (x, y). Synonyms of findings at the last level reached count too, but are
+    not expanded themselves; children are those of the levels below the last."""
+    out = front = cases.select("case", "p").distinct()
+    for _ in range(depth):
+        up = front.join(parents.toDF("p", "y"), "p").select("case", F.col("y").alias("p")).distinct()
+        new = up.join(out, ["case", "p"], "left_anti")
+        more = new
+        if synonyms is not None:
+            more = more.unionByName(front.unionByName(new).join(synonyms.toDF("p", "y"), "p").select("case", F.col("y").alias("p")))
+        if children is not None:
+            more = more.unionByName(front.join(children.toDF("p", "y"), "p").select("case", F.col("y").alias("p")))
+        out, front = out.unionByName(more).distinct(), new
+    return out

@@ -2,89 +2,75 @@
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_AUTOMATON = 2_000_000  # characters of names that one automaton may hold on a task
 
 
-def match_dictionary(docs: DataFrame, names: DataFrame, least: int = 4) -> DataFrame:
+def match_dictionary(docs: DataFrame, names: DataFrame, least: int = 4, most: int = MAX_AUTOMATON) -> DataFrame:
     """(doc_id, name, code, start) of every dictionary name in a text, any case, between characters that are no letters.
 
-    An Aho-Corasick automaton of the names goes to the tasks; its size is checked first, and a larger
-    dictionary takes match_by_words. Of equal names the last code in order wins; shorter names are left out."""
+    Automata of the names go to the tasks. A dictionary of over ``most`` characters is cut into blocks by a
+    hash of the name, each a pass over the documents: names are found one by one, overlapping or not, so the
+    passes together give what one would. Of equal names the last code in order wins; shorter names are left
+    out; rows with equal or null ids are searched each for itself."""
     rows = names.where(F.length("name") >= least).groupBy(F.lower("name").alias("name")).agg(F.max("code").alias("code"))
-    if (rows.agg(F.sum(F.length("name")).alias("n")).first().n or 0) > MAX_AUTOMATON:
-        return match_by_words(docs, names, least)
-    table = {r.name: r.code for r in rows.collect()}
-    held = docs.sparkSession.sparkContext.broadcast(table)
-    kind, code = docs.schema["doc_id"].dataType.simpleString(), names.schema["code"].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = automaton(list(held.value))
-        for pdf in frames:
-            out = [(i, n, held.value[n], at) for i, t in zip(pdf.doc_id, pdf.text) if t for at, n in find(t.lower())]
-            yield pd.DataFrame(out, columns=["doc_id", "name", "code", "start"])
-
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, name string, code {code}, start long")
-
-
-def automaton(words: list[str]) -> Callable[[str], Iterator[tuple[int, str]]]:
-    """Finder of (start, word) for all whole-word occurrences."""
-    step: list[dict[str, int]] = [{}]
-    ends: list[list[str]] = [[]]
-    for w in words:
-        at = 0
-        for ch in w:
-            if ch not in step[at]:
-                step[at][ch] = len(step)
-                step.append({})
-                ends.append([])
-            at = step[at][ch]
-        ends[at].append(w)
-    fail, queue = [0] * len(step), deque(step[0].values())
-    while queue:
-        at = queue.popleft()
-        for ch, to in step[at].items():
-            back = fail[at]
-            while back and ch not in step[back]:
-                back = fail[back]
-            fail[to] = step[back].get(ch, 0) if step[back].get(ch, 0) != to else 0
-            ends[to] = ends[to] + ends[fail[to]]
-            queue.append(to)
-
-    def find(text: str) -> Iterator[tuple[int, str]]:
-        at = 0
-        for i, ch in enumerate(text):
-            while at and ch not in step[at]:
-                at = fail[at]
-            at = step[at].get(ch, 0)
-            for w in ends[at]:
-                a = i - len(w) + 1
-                if (a == 0 or not text[a - 1].isalpha()) and (i + 1 == len(text) or not text[i + 1].isalpha()):
-                    yield a, w
+    blocks = -(-(rows.agg(F.sum(F.length("name")).alias("n")).first().n or 0) // most) or 1
+    low = docs.select("doc_id", F.lower("text").alias("text"))
+    shape = T.StructType([docs.schema["doc_id"], T.StructField("name", T.StringType()), names.schema["code"], T.StructField("start", T.LongType())])
+    out = None
+    for b in range(blocks):
+        own = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b)
+        part = low.mapInArrow(_matcher(docs, own.toArrow()), shape)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _matcher(docs: DataFrame, table: pa.Table):
+    held = docs.sparkSession.sparkContext.broadcast(table.combine_chunks())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, codes = held.value.column("name").to_pylist(), held.value.column("code").combine_chunks()
+        find = automaton(tuple(names))
+        for batch in batches:
+            doc, name, at = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for start, k in find(text) if text else ():
+                    doc.append(i), name.append(k), at.append(start)
+            which = pa.array(name, pa.int64())
+            columns = [batch.column(0).take(pa.array(doc, pa.int64())), pa.array([names[k] for k in name], pa.string()), codes.take(which) if len(names) else codes, pa.array(at, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "name", "code", "start"])
+
+    return run
+
+
+@lru_cache(maxsize=1)
+def automaton(words: tuple[str, ...]) -> Callable[[str], Iterator[tuple[int, int]]]:
+    """Finder of (start, number of the word) for all whole-word occurrences."""
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    for k, w in enumerate(words):
+        machine.add_word(w, (k, len(w)))
+    machine.make_automaton()
+
+    def find(text: str) -> Iterator[tuple[int, int]]:
+        last = len(text) - 1
+        for i, (k, n) in machine.iter(text) if len(machine) else ():
+            a = i - n + 1
+            if (a == 0 or not text[a - 1].isalpha()) and (i == last or not text[i + 1].isalpha()):
+                yield a, k
 
     return find
 
 
-def match_by_words(docs: DataFrame, names: DataFrame, least: int = 4) -> DataFrame:
-    """As match_dictionary for dictionaries of any size: an equi-join on a name's first run of letters, then a check in the text."""
-    n = names.where(F.length("name") >= least).groupBy(F.lower("name").alias("name")).agg(F.max("code").alias("code"))
-    first = F.regexp_extract("name", r"(\p{L}+)", 1)
-    n = n.withColumn("word", first).withColumn("lead", F.instr("name", F.col("word")) - 1)
-    low = docs.select("doc_id", F.lower("text").alias("text"))
-    words = low.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1)))).alias("word"))
-    hit = words.join(n, "word").select("doc_id", "name", "code").join(low, "doc_id")
-    # split at the name: the places of its occurrences are the running lengths of the parts
-    parts = F.split("text", F.concat(F.lit(r"(?<!\p{L})\Q"), F.col("name"), F.lit(r"\E(?!\p{L})")))
-    at = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.aggregate(F.slice(parts, 1, k), F.lit(0).cast("long"), lambda s, x: s + F.length(x)) + (k - 1) * F.length("name"))
-    return hit.where(F.size(parts) > 1).select("doc_id", "name", "code", F.explode(at).alias("start"))
-
-
 def link_names(mentions: DataFrame, conso: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """(mention, cui): exact match on the normalised string of 3 to 80 characters; the first row of conso (str, cui, ord) wins."""
     key = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\d]+", " "))

@@ -79,12 +79,17 @@ def ranked(scores: DataFrame, digits: int = 9) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(by("case").orderBy(F.round("score", digits).desc(), "d")))
 
 
-def evaluate(scores: DataFrame, truth: DataFrame, missing: int = 50, ks: Sequence[int] = (1, 3, 5, 10)) -> DataFrame:
+def evaluate(scores: DataFrame, truth: DataFrame, missing: int = 50, ks: Sequence[int] = (1, 3, 5, 10), digits: int = 9) -> DataFrame:
     """One row: n, hit rates at k and mean reciprocal rank of truth (case, d); a truth not listed has rank ``missing``.
 
-    Cases without any score are not counted."""
-    at = F.coalesce(F.min(F.when(F.col("d") == F.col("_t"), F.col("rank"))), F.lit(missing))
-    r = ranked(scores).join(truth.select("case", F.col("d").alias("_t")), "case").groupBy("case", "_t").agg(at.alias("rank"))
+    Ranks are those of ``ranked``: one more than the number of better rows of the case, so nothing is sorted. Cases
+    without any score are not counted."""
+    own = F.round("score", digits)
+    true = scores.join(truth.distinct(), ["case", "d"], "left_semi").select("case", F.col("d").alias("_t"), own.alias("_s"))
+    goal = truth.select("case", F.col("d").alias("_t")).distinct().join(true, ["case", "_t"], "left")
+    met = scores.select("case", "d", own.alias("score")).join(goal, "case")
+    better = F.count_if((F.col("score") > F.col("_s")) | ((F.col("score") == F.col("_s")) & (F.col("d") < F.col("_t"))))
+    r = met.groupBy("case", "_t", "_s").agg(better.alias("_n")).withColumn("rank", F.when(F.col("_s").isNull(), missing).otherwise(F.col("_n") + 1))
     hits = [F.avg((F.col("rank") <= k).cast("double")).alias(f"at_{k}") for k in ks]
     return r.agg(F.count("*").alias("n"), *hits, F.avg(1 / F.col("rank")).alias("mrr"))
 

@@ -28,23 +28,16 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, whole: bool = False):
-    """whole: the SQL holds a slice of the edges; the same over all of them is registered as <name>_whole, without SQL."""
-
-    def named(f, name, **kw):
+def query(sql: str | None = None):
+    def add(f):
         @wraps(f)
         def run(s, sf):
             if f.__name__ not in SHARED:
-                return f(s, sf, **kw)
+                return f(s, sf)
             with B.shared_mentions():
-                return f(s, sf, **kw)
-
-        QUERIES[name] = run
+                return f(s, sf)
 
-    def add(f):
-        named(f, f.__name__)
-        if whole:
-            named(f, f"{f.__name__}_whole", whole=True)
+        QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = sql
         return f
@@ -264,11 +257,10 @@ def min_max_channel(s, sf):
 
 @query(f"WITH {B.P}{B.C}{B.COS} SELECT \"case\", d, round(CASE WHEN stddev_pop(score) OVER w > 1e-12 THEN (score - avg(score) OVER w) / stddev_pop(score) OVER w ELSE 0 END, 5) AS score FROM cs WINDOW w AS (PARTITION BY \"case\")")
 def z_score_channel(s, sf):
-    x = ranking.cosine(B.cases(s, sf), B.profile(s, sf), ranking.profile_idf(B.profile(s, sf))).select("case", "d", "score")
+    x = _cos(s, sf)[2].select("case", "d", "score")
     w = Window.partitionBy("case")
-    z = ranking.z_scores(x, population=True)
-    flat = x.select("case", "d", (F.stddev_pop("score").over(w) <= 1e-12).alias("flat"))
-    return z.join(flat, ["case", "d"]).select("case", "d", F.round(F.when(F.col("flat"), 0.0).otherwise(F.col("score")), 5).alias("score"))
+    z = ranking.z_scores(x.withColumn("flat", F.stddev_pop("score").over(w) <= 1e-12), population=True)
+    return z.select("case", "d", F.round(F.when(F.col("flat"), 0.0).otherwise(F.col("score")), 5).alias("score"))
 
 
 _NB = """, kb AS (SELECT d, sum(ln(1 - least(greatest(w, 0.001), 0.999))) AS base, count(*) AS k FROM pf GROUP BY d), vv AS (SELECT count(DISTINCT p) AS vn FROM pf), cv AS (SELECT * FROM c WHERE p IN (SELECT p FROM pf)), cvn AS (SELECT "case", count(*) AS n FROM cv GROUP BY "case"),
@@ -575,27 +567,27 @@ def _supplier_state(s, sf):
     return _supplier_facts(s, sf).where("p < 'Brand#14'")
 
 
-SUP = f"""WITH {B.M}, be AS (SELECT DISTINCT d, p_brand AS p FROM m WHERE p_size > 45), st AS (SELECT l_suppkey AS "case", p_brand AS p, max(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END) = 1 AS yes FROM m WHERE p_brand < 'Brand#14' GROUP BY ALL), al AS (SELECT DISTINCT "case", d FROM st JOIN be USING (p) WHERE yes)"""
+SUP = f"""WITH {B.M}, be AS (SELECT DISTINCT d, p_brand AS p FROM m), st AS (SELECT l_suppkey AS "case", p_brand AS p, max(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END) = 1 AS yes FROM m WHERE p_brand < 'Brand#14' GROUP BY ALL), al AS (SELECT DISTINCT "case", d FROM st JOIN be USING (p) WHERE yes)"""
 
 
-def _brand_edges(s, sf, whole=False):
+def _brand_edges(s, sf):
     m = B.mentions(s, sf)
-    return (m if whole else m.where("p_size > 45")).select("d", F.col("p_brand").alias("p")).distinct()
+    return m.select("d", F.col("p_brand").alias("p")).distinct()
 
 
-@query(f"{SUP} SELECT \"case\", p, count(DISTINCT d) AS n FROM al JOIN be USING (d) WHERE (\"case\", p) NOT IN (SELECT (\"case\", p) FROM st) GROUP BY ALL", whole=True)
-def two_hop_candidates(s, sf, whole=False):
-    return dialogue.candidates(_supplier_state(s, sf), _brand_edges(s, sf, whole))
+@query(f"{SUP} SELECT \"case\", p, count(DISTINCT d) AS n FROM al JOIN be USING (d) WHERE (\"case\", p) NOT IN (SELECT (\"case\", p) FROM st) GROUP BY ALL")
+def two_hop_candidates(s, sf):
+    return dialogue.candidates(_supplier_state(s, sf), _brand_edges(s, sf))
 
 
-@query(f"{SUP}, dn AS (SELECT \"case\", d FROM st JOIN be USING (p) WHERE NOT yes GROUP BY ALL HAVING count(*) > 1) SELECT \"case\", p, count(DISTINCT d) AS n FROM al JOIN be USING (d) WHERE (\"case\", p) NOT IN (SELECT (\"case\", p) FROM st) AND (\"case\", d) NOT IN (SELECT (\"case\", d) FROM dn) AND p <> 'Brand#20' GROUP BY ALL", whole=True)
-def denied_limit_candidates(s, sf, whole=False):
-    return dialogue.candidates(_supplier_state(s, sf), _brand_edges(s, sf, whole), 1, s.createDataFrame([("Brand#20",)], "p string"))
+@query(f"{SUP}, dn AS (SELECT \"case\", d FROM st JOIN be USING (p) WHERE NOT yes GROUP BY ALL HAVING count(*) > 1) SELECT \"case\", p, count(DISTINCT d) AS n FROM al JOIN be USING (d) WHERE (\"case\", p) NOT IN (SELECT (\"case\", p) FROM st) AND (\"case\", d) NOT IN (SELECT (\"case\", d) FROM dn) AND p <> 'Brand#20' GROUP BY ALL")
+def denied_limit_candidates(s, sf):
+    return dialogue.candidates(_supplier_state(s, sf), _brand_edges(s, sf), 1, s.createDataFrame([("Brand#20",)], "p string"))
 
 
-@query(f"{SUP}, cd AS (SELECT \"case\", p, count(DISTINCT d) AS n FROM al JOIN be USING (d) WHERE (\"case\", p) NOT IN (SELECT (\"case\", p) FROM st) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY \"case\" ORDER BY n DESC, p) AS rank FROM cd) SELECT \"case\", p, n, rank FROM r WHERE rank <= 3", whole=True)
-def greedy_selection(s, sf, whole=False):
-    return dialogue.pick(dialogue.candidates(_supplier_state(s, sf), _brand_edges(s, sf, whole)), 3)
+@query(f"{SUP}, cd AS (SELECT \"case\", p, count(DISTINCT d) AS n FROM al JOIN be USING (d) WHERE (\"case\", p) NOT IN (SELECT (\"case\", p) FROM st) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY \"case\" ORDER BY n DESC, p) AS rank FROM cd) SELECT \"case\", p, n, rank FROM r WHERE rank <= 3")
+def greedy_selection(s, sf):
+    return dialogue.pick(dialogue.candidates(_supplier_state(s, sf), _brand_edges(s, sf)), 3)
 
 
 _H = lambda n: f"sum(CASE WHEN {n} > 0 THEN -{n} * log2({n}) ELSE 0 END)"
@@ -605,17 +597,17 @@ s AS (SELECT "case", q, has, c / (c + x + 1.0) * c AS s0, (c + has) / (c + has +
 g AS (SELECT "case", q, {_H('s0')} AS h0, {_H('s1')} AS h1, {_H('s2')} AS h2, max(s1) AS m1, max(s2) AS m2, least(0.9, greatest(0.1, sum(s0 * has))) AS yes FROM n GROUP BY ALL)"""
 
 
-@query(f"{GAIN} SELECT \"case\", q, round(h0, 6) AS h0, round(yes, 6) AS yes, round(h0 - yes * h1 - (1 - yes) * h2, 6) AS ig_expected, round(h0 - least(h1, h2), 6) AS ig_max, round(-abs(yes - 0.5), 6) AS ig_binary_split, round(least(m1, m2), 6) AS minimax_score, round(-greatest(h1, h2), 6) AS minimax_entropy FROM g", whole=True)
-def information_gain(s, sf, whole=False):
-    st, e = materialize(_supplier_state(s, sf), "state"), materialize(_brand_edges(s, sf, whole), "edges")
+@query(f"{GAIN} SELECT \"case\", q, round(h0, 6) AS h0, round(yes, 6) AS yes, round(h0 - yes * h1 - (1 - yes) * h2, 6) AS ig_expected, round(h0 - least(h1, h2), 6) AS ig_max, round(-abs(yes - 0.5), 6) AS ig_binary_split, round(least(m1, m2), 6) AS minimax_score, round(-greatest(h1, h2), 6) AS minimax_entropy FROM g")
+def information_gain(s, sf):
+    st, e = materialize(_supplier_state(s, sf), "state"), materialize(_brand_edges(s, sf), "edges")
     g = dialogue.expected_gain(st, dialogue.candidates(st, e), e)
     cols = ("h0", "yes", "ig_expected", "ig_max", "ig_binary_split", "minimax_score", "minimax_entropy")
     return rounded(g, *cols).select("case", "q", *cols)
 
 
-@query(f"{SUP}, cd AS (SELECT \"case\", p, count(DISTINCT d) AS n FROM al JOIN be USING (d) WHERE (\"case\", p) NOT IN (SELECT (\"case\", p) FROM st) GROUP BY ALL), cf AS (SELECT \"case\", d, count(*) AS n FROM st JOIN be USING (p) WHERE yes GROUP BY ALL), x AS (SELECT cd.\"case\", cd.p, be.d, coalesce(cf.n, 0) + 1 AS confirmed FROM cd JOIN be USING (p) LEFT JOIN cf ON cf.\"case\" = cd.\"case\" AND cf.d = be.d) SELECT \"case\", p, d, confirmed FROM (SELECT *, row_number() OVER (PARTITION BY \"case\", p ORDER BY confirmed DESC, d) AS r FROM x) WHERE r <= 3", whole=True)
-def related_diseases(s, sf, whole=False):
-    st, e = materialize(_supplier_state(s, sf), "state"), materialize(_brand_edges(s, sf, whole), "edges")
+@query(f"{SUP}, cd AS (SELECT \"case\", p, count(DISTINCT d) AS n FROM al JOIN be USING (d) WHERE (\"case\", p) NOT IN (SELECT (\"case\", p) FROM st) GROUP BY ALL), cf AS (SELECT \"case\", d, count(*) AS n FROM st JOIN be USING (p) WHERE yes GROUP BY ALL), x AS (SELECT cd.\"case\", cd.p, be.d, coalesce(cf.n, 0) + 1 AS confirmed FROM cd JOIN be USING (p) LEFT JOIN cf ON cf.\"case\" = cd.\"case\" AND cf.d = be.d) SELECT \"case\", p, d, confirmed FROM (SELECT *, row_number() OVER (PARTITION BY \"case\", p ORDER BY confirmed DESC, d) AS r FROM x) WHERE r <= 3")
+def related_diseases(s, sf):
+    st, e = materialize(_supplier_state(s, sf), "state"), materialize(_brand_edges(s, sf), "edges")
     return dialogue.related_diseases(dialogue.candidates(st, e), st, e)
 
 
@@ -724,47 +716,47 @@ def reference_baselines(s, sf):
 def question_rounds(s, sf):
     true = materialize(_supplier_facts(s, sf).where("yes").select("case", "p"), "facts")
     chief = true.groupBy("case").agg(F.min("p").alias("p"))
-    return dialogue.run_rounds(true, chief, materialize(_brand_edges(s, sf, whole=True), "edges"), 3)
+    return dialogue.run_rounds(true, chief, materialize(_brand_edges(s, sf), "edges"), 3)
 
 
 # ---------------------------------------------------------------- graph
 
-BRP = """ed AS (SELECT d, p_brand AS p, CAST(count(*) AS DOUBLE) AS w FROM m WHERE p_size > 40 GROUP BY ALL), un AS (SELECT d AS x, p AS y, w FROM ed UNION ALL SELECT p, d, w FROM ed)"""
+BRP = """ed AS (SELECT d, p_brand AS p, CAST(count(*) AS DOUBLE) AS w FROM m GROUP BY ALL), un AS (SELECT d AS x, p AS y, w FROM ed UNION ALL SELECT p, d, w FROM ed)"""
 
 
-def _graph(s, sf, whole=False):
+def _graph(s, sf):
     m = B.mentions(s, sf)
-    e = (m if whole else m.where("p_size > 40")).groupBy("d", F.col("p_brand").alias("p")).agg(F.count("*").cast("double").alias("w"))
+    e = m.groupBy("d", F.col("p_brand").alias("p")).agg(F.count("*").cast("double").alias("w"))
     return materialize(graph.undirected(e), "graph")
 
 
-_PPR = f"WITH RECURSIVE {B.M}, {BRP}, tp AS (SELECT x, y, w / sum(w) OVER (PARTITION BY x) AS share FROM un), sd AS (SELECT DISTINCT d AS c, d AS x, 1.0::DOUBLE AS mass FROM ed WHERE d LIKE 'BUILDING:%'), l0 AS (SELECT * FROM sd)" + "".join(
-    f", l{i + 1} AS (SELECT c, x, sum(mass) AS mass FROM (SELECT c, y AS x, 0.85 * mass * share AS mass FROM l{i} JOIN tp USING (x) UNION ALL SELECT c, x, 0.15 * mass FROM sd) GROUP BY c, x)" for i in range(6)
+_PPR = f"WITH RECURSIVE {B.M}, {BRP}, tp AS (SELECT x, y, w / sum(w) OVER (PARTITION BY x) AS share FROM un), sd AS (SELECT DISTINCT d AS c, d AS x, 1.0::DOUBLE AS mass FROM ed), l0 AS (SELECT * FROM sd)" + "".join(
+    f", l{i + 1} AS (SELECT c, x, sum(mass) AS mass FROM (SELECT c, y AS x, 0.85 * mass * share AS mass FROM l{i} JOIN tp USING (x) UNION ALL SELECT c, x, 0.15 * mass FROM sd) GROUP BY c, x)" for i in range(15)
 )
 
 
-@query(f"{_PPR} SELECT c AS \"case\", x, round(mass, 6) AS mass FROM l6".replace("WITH RECURSIVE", "WITH"), whole=True)
-def personalised_pagerank(s, sf, whole=False):
-    g = _graph(s, sf, whole)
-    seeds = g.where("x LIKE '%:%'" if whole else "x LIKE 'BUILDING:%'").select(F.col("x").alias("case"), "x").distinct()
-    return rounded(graph.personalised_pagerank(g, seeds) if whole else graph.personalised_pagerank(g, seeds, 0.15, 6, 3), "mass")
+@query(f"{_PPR} SELECT c AS \"case\", x, round(mass, 6) AS mass FROM l15".replace("WITH RECURSIVE", "WITH"))
+def personalised_pagerank(s, sf):
+    g = _graph(s, sf)
+    seeds = g.where("x LIKE '%:%'").select(F.col("x").alias("case"), "x").distinct()
+    return rounded(graph.personalised_pagerank(g, seeds), "mass")
 
 
-@query(f"WITH {B.M}, {BRP}, dg AS (SELECT y, count(*) AS k FROM un GROUP BY y) SELECT a.x AS a, b.x AS b, count(*) AS cn, round(sum(1 / ln(k + 2.0)), 6) AS aa, round(sum(1.0 / k), 6) AS ra FROM un a JOIN un b ON a.y = b.y AND a.x < b.x JOIN dg ON dg.y = a.y GROUP BY a.x, b.x", whole=True)
-def link_prediction(s, sf, whole=False):
-    return rounded(graph.link_prediction(_graph(s, sf, whole)), "aa", "ra")
+@query(f"WITH {B.M}, {BRP}, dg AS (SELECT y, count(*) AS k FROM un GROUP BY y) SELECT a.x AS a, b.x AS b, count(*) AS cn, round(sum(1 / ln(k + 2.0)), 6) AS aa, round(sum(1.0 / k), 6) AS ra FROM un a JOIN un b ON a.y = b.y AND a.x < b.x JOIN dg ON dg.y = a.y GROUP BY a.x, b.x")
+def link_prediction(s, sf):
+    return rounded(graph.link_prediction(_graph(s, sf)), "aa", "ra")
 
 
 @query()
 def fast_projection(s, sf):
-    return graph.fast_projection(_graph(s, sf, whole=True)).withColumn("vec", F.transform("vec", lambda v: F.round(v, 6)))
+    return graph.fast_projection(_graph(s, sf)).withColumn("vec", F.transform("vec", lambda v: F.round(v, 6)))
 
 
-@query(f"WITH {B.M}, {BRP}, s0 AS (SELECT DISTINCT d AS root, d AS x, 0 AS depth FROM ed WHERE d LIKE 'MACHINERY:%'), s1 AS (SELECT * FROM s0 UNION ALL SELECT root, y, 1 FROM s0 JOIN un USING (x)), s2 AS (SELECT root, x, min(depth) AS depth FROM (SELECT * FROM s1 UNION ALL SELECT root, y, 2 FROM s1 JOIN un USING (x) WHERE depth = 1) GROUP BY ALL) SELECT root, x, depth FROM s2", whole=True)
-def bfs_layers(s, sf, whole=False):
-    g = _graph(s, sf, whole)
-    roots = g.where("x LIKE '%:%'" if whole else "x LIKE 'MACHINERY:%'").select(F.col("x").alias("root")).distinct()
-    return graph.bfs(g, roots) if whole else graph.bfs(g, roots, 2)
+@query(f"WITH {B.M}, {BRP}, s0 AS (SELECT DISTINCT d AS root, d AS x, 0 AS depth FROM ed ), s1 AS (SELECT * FROM s0 UNION ALL SELECT root, y, 1 FROM s0 JOIN un USING (x)), s2 AS (SELECT root, x, min(depth) AS depth FROM (SELECT * FROM s1 UNION ALL SELECT root, y, 2 FROM s1 JOIN un USING (x) WHERE depth = 1) GROUP BY ALL), s3 AS (SELECT root, x, min(depth) AS depth FROM (SELECT * FROM s2 UNION ALL SELECT root, y, 3 FROM s2 JOIN un USING (x) WHERE depth = 2) GROUP BY ALL) SELECT root, x, depth FROM s3")
+def bfs_layers(s, sf):
+    g = _graph(s, sf)
+    roots = g.where("x LIKE '%:%'").select(F.col("x").alias("root")).distinct()
+    return graph.bfs(g, roots)
 
 
 @query(f"WITH {B.E} SELECT d, p, round(ln(1 + freq) / sqrt(n_sources + 1) * w, 6) AS w FROM e")
@@ -903,22 +895,22 @@ def attribute_applicability(s, sf):
     return rounded(attributes.applicability(x, ("type", "name")), "applicable", "entropy")
 
 
-ATT = f"""WITH {B.M}, dr AS (SELECT DISTINCT d, p_brand AS p, 'type' AS attribute, p_type AS value FROM m WHERE p_size > 45), ci AS (SELECT p, attribute, value, ln((n + 1.0) / (count(DISTINCT d) + 1.0)) + 1 AS idf FROM dr, (SELECT count(DISTINCT d) AS n FROM dr) GROUP BY p, attribute, value, n)"""
+ATT = f"""WITH {B.M}, dr AS (SELECT DISTINCT d, p_brand AS p, 'type' AS attribute, p_type AS value FROM m), ci AS (SELECT p, attribute, value, ln((n + 1.0) / (count(DISTINCT d) + 1.0)) + 1 AS idf FROM dr, (SELECT count(DISTINCT d) AS n FROM dr) GROUP BY p, attribute, value, n)"""
 
 
-def _attribute_rows(s, sf, whole=False):
+def _attribute_rows(s, sf):
     m = B.mentions(s, sf)
-    return (m if whole else m.where("p_size > 45")).select("d", F.col("p_brand").alias("p"), F.lit("type").alias("attribute"), F.col("p_type").alias("value")).distinct()
+    return m.select("d", F.col("p_brand").alias("p"), F.lit("type").alias("attribute"), F.col("p_type").alias("value")).distinct()
 
 
-@query(f"{ATT} SELECT p, attribute, value, round(idf, 6) AS idf FROM ci", whole=True)
-def combination_idf(s, sf, whole=False):
-    return rounded(attributes.combination_idf(_attribute_rows(s, sf, whole)), "idf")
+@query(f"{ATT} SELECT p, attribute, value, round(idf, 6) AS idf FROM ci")
+def combination_idf(s, sf):
+    return rounded(attributes.combination_idf(_attribute_rows(s, sf)), "idf")
 
 
-@query(f"{ATT}, cr AS (SELECT DISTINCT \"case\", p_brand AS p, 'type' AS attribute, p_type AS value FROM m), b AS (SELECT \"case\", d, 1.0 AS x FROM (SELECT DISTINCT \"case\", p FROM cr) JOIN (SELECT DISTINCT d, p FROM dr) USING (p) UNION ALL SELECT \"case\", d, 0.5 * idf FROM cr JOIN dr USING (p, attribute, value) JOIN ci USING (p, attribute, value)) SELECT \"case\", d, round(sum(x), 6) AS score FROM b GROUP BY ALL", whole=True)
-def bound_attributes(s, sf, whole=False):
-    dr = materialize(_attribute_rows(s, sf, whole), "rows")
+@query(f"{ATT}, cr AS (SELECT DISTINCT \"case\", p_brand AS p, 'type' AS attribute, p_type AS value FROM m), b AS (SELECT \"case\", d, 1.0 AS x FROM (SELECT DISTINCT \"case\", p FROM cr) JOIN (SELECT DISTINCT d, p FROM dr) USING (p) UNION ALL SELECT \"case\", d, 0.5 * idf FROM cr JOIN dr USING (p, attribute, value) JOIN ci USING (p, attribute, value)) SELECT \"case\", d, round(sum(x), 6) AS score FROM b GROUP BY ALL")
+def bound_attributes(s, sf):
+    dr = materialize(_attribute_rows(s, sf), "rows")
     cr = B.mentions(s, sf).select("case", F.col("p_brand").alias("p"), F.lit("type").alias("attribute"), F.col("p_type").alias("value")).distinct()
     return rounded(attributes.bound_score(cr, dr, attributes.combination_idf(dr)), "score")
 
@@ -929,11 +921,11 @@ def value_weighted_vector(s, sf):
     return rounded(attributes.value_weighted(x), "v")
 
 
-@query(f"""WITH {B.M}, ed AS (SELECT d, p_brand AS p, p_type, count(*) AS n FROM m WHERE p_size > 40 GROUP BY ALL), tt AS (SELECT d, p, sum(n) AS t FROM ed GROUP BY ALL), cv AS (SELECT DISTINCT "case", p_brand AS p, p_type AS v FROM m), al AS (SELECT "case", d, p, ln(1 + t) * (0.5 + 0.5 * avg(coalesce(n / t, 0))) AS x FROM cv JOIN tt USING (p) LEFT JOIN ed ON ed.d = tt.d AND ed.p = cv.p AND ed.p_type = v GROUP BY "case", tt.d, cv.p, t ORDER BY ALL)
-SELECT "case", d, round(sum(x), 6) AS score FROM al GROUP BY ALL""".replace('SELECT "case", d, p, ln(1 + t)', 'SELECT "case", tt.d, cv.p, ln(1 + t)').replace(" ORDER BY ALL", ""), whole=True)
-def attribute_aware_scores(s, sf, whole=False):
+@query(f"""WITH {B.M}, ed AS (SELECT d, p_brand AS p, p_type, count(*) AS n FROM m GROUP BY ALL), tt AS (SELECT d, p, sum(n) AS t FROM ed GROUP BY ALL), cv AS (SELECT DISTINCT "case", p_brand AS p, p_type AS v FROM m), al AS (SELECT "case", d, p, ln(1 + t) * (0.5 + 0.5 * avg(coalesce(n / t, 0))) AS x FROM cv JOIN tt USING (p) LEFT JOIN ed ON ed.d = tt.d AND ed.p = cv.p AND ed.p_type = v GROUP BY "case", tt.d, cv.p, t ORDER BY ALL)
+SELECT "case", d, round(sum(x), 6) AS score FROM al GROUP BY ALL""".replace('SELECT "case", d, p, ln(1 + t)', 'SELECT "case", tt.d, cv.p, ln(1 + t)').replace(" ORDER BY ALL", ""))
+def attribute_aware_scores(s, sf):
     m = B.mentions(s, sf)
-    n = (m if whole else m.where("p_size > 40")).groupBy("d", F.col("p_brand").alias("p"), "p_type").agg(F.count("*").alias("n"))
+    n = m.groupBy("d", F.col("p_brand").alias("p"), "p_type").agg(F.count("*").alias("n"))
     e = n.groupBy("d", "p").agg(F.sum("n").alias("n_mentions"), F.map_from_entries(F.collect_list(F.struct("p_type", "n"))).alias("k"))
     e = e.withColumn("dist", F.transform_values("k", lambda _, v: v / F.col("n_mentions")))
     cv = m.groupBy("case", F.col("p_brand").alias("p")).agg(F.collect_set("p_type").alias("values"))
@@ -963,7 +955,7 @@ def normalise_phrases(s, sf):
 @query()
 def lemma_phrases(s, sf):
     w = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")
-    return t(s, sf, "documents").where("lang = 'en'").select(w).where("word <> ''").distinct().select("word", X.lemma(F.col("word")).alias("lemma"))
+    return t(s, sf, "documents").select(w).where("word <> ''").distinct().select("word", X.lemma(F.col("word")).alias("lemma"))
 
 
 @query()
@@ -1015,9 +1007,15 @@ def dictionary_match(s, sf):
     return _dictionary(s, sf, linking.match_dictionary)
 
 
-@query(ORACLES["dictionary_match"])
-def dictionary_match_by_words(s, sf):
-    return _dictionary(s, sf, linking.match_by_words)
+#: Names without letters, overlapping themselves and of other scripts, beside the items' first sentences.
+HARD = (("1234", -1), ("aa aa", -2), ("the the", -3), ("2024", -4), ("été", -5), ("e the", -6))
+
+
+@query(ORACLES["dictionary_match"].replace("GROUP BY 2)", "GROUP BY 2 UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({c}, '{n}')" for n, c in HARD) + "))").replace("string_split(lower(text), name) AS f FROM", "lower(text) AS t FROM")
+       .split("y AS (")[0].rstrip().rstrip(",") + r""", p AS (SELECT *, unnest(range(1, CAST(length(t) - length(name) + 2 AS BIGINT))) AS i FROM x)
+SELECT doc_id, code, name, count(*) AS n FROM p WHERE substr(t, i, length(name)) = name AND (i = 1 OR NOT regexp_matches(substr(t, i - 1, 1), '\p{L}')) AND (i + length(name) > length(t) OR NOT regexp_matches(substr(t, i + length(name), 1), '\p{L}')) GROUP BY ALL""")
+def dictionary_match_in_blocks(s, sf):
+    return _dictionary(s, sf, lambda d, n: linking.match_dictionary(d, n.unionByName(s.createDataFrame(list(HARD), "name string, code long")), most=200))
 
 
 def _dictionary(s, sf, match):
@@ -1036,11 +1034,41 @@ def html_sections(s, sf):
     return readers.html_sections(t(s, sf, "pages")).select("page_id", "ord", "section", F.length("text").alias("chars"))
 
 
-@query("SELECT n_name AS name, r_regionkey AS code, 'partial' AS tier FROM (SELECT DISTINCT 'nation_' || n_nationkey || ' land' AS n_name, n_regionkey AS r_regionkey FROM nation) ORDER BY 1")
+NAMES = """l AS (SELECT n_name AS name FROM nation UNION ALL SELECT n_name || ' (old)' FROM nation UNION ALL SELECT lower(n_name) || ' land' FROM nation UNION ALL SELECT 'x' || n_name || 'y' FROM nation UNION ALL SELECT 'zz ' || n_nationkey || ' of none' FROM nation UNION ALL SELECT DISTINCT p_name FROM part),
+k AS (SELECT k, min(code) AS code FROM (SELECT lower(n_name) AS k, n_regionkey AS code FROM nation UNION ALL SELECT DISTINCT p_name || ' kind', p_size % 7 FROM part) GROUP BY k)"""
+
+
+@query(f"""WITH {NAMES}, n AS (SELECT DISTINCT name, trim(lower(name)) AS a, trim(regexp_replace(lower(name), '\\s*\\([^)]*\\)\\s*', ' ', 'g')) AS b FROM l),
+j AS (SELECT name, arg_min(code, (-least(length(a), length(k)) / CAST(greatest(length(a), length(k)) AS DOUBLE), k)) AS code FROM n, k WHERE length(a) >= 9 AND length(k) >= 5 AND (contains(a, k) OR contains(k, a)) AND 2 * least(length(a), length(k)) > greatest(length(a), length(k)) GROUP BY name)
+SELECT l.name, coalesce(x.code, y.code, j.code) AS code, CASE WHEN x.k IS NOT NULL THEN 'exact' WHEN y.k IS NOT NULL THEN 'normal' WHEN j.code IS NOT NULL THEN 'partial' END AS tier
+FROM l JOIN n USING (name) LEFT JOIN k x ON x.k = n.a LEFT JOIN k y ON y.k = n.b LEFT JOIN j USING (name)""")
 def name_cascade(s, sf):
-    left = t(s, sf, "nation").select(F.concat(F.lit("nation_"), F.col("n_nationkey").cast("string"), F.lit(" land")).alias("name"))
-    right = t(s, sf, "nation").select(F.col("n_name").alias("key"), F.col("n_regionkey").alias("code"))
-    return evidence.cascade_join(left, right, (F.lower("name"), F.lower("key")))
+    n, p = t(s, sf, "nation"), t(s, sf, "part")
+    forms = [F.col("n_name"), F.concat("n_name", F.lit(" (old)")), F.concat(F.lower("n_name"), F.lit(" land")), F.concat(F.lit("x"), "n_name", F.lit("y")), F.concat(F.lit("zz "), F.col("n_nationkey").cast("string"), F.lit(" of none"))]
+    left = n.select(F.explode(F.array(*forms)).alias("name")).unionByName(p.select(F.col("p_name").alias("name")).distinct())
+    right = n.select(F.col("n_name").alias("key"), F.col("n_regionkey").alias("code")).unionByName(p.select(F.concat("p_name", F.lit(" kind")).alias("key"), (F.col("p_size") % 7).alias("code")).distinct())
+    return evidence.cascade_join(left, right, F.trim(F.regexp_replace(F.lower("name"), r"\s*\([^)]*\)\s*", " ")))
+
+
+@query("""WITH l AS (SELECT p_partkey, CASE WHEN p_size = 7 THEN 'odd' ELSE ' ' || lower(p_type) || '.' || (p_size % 3) END AS icd FROM part), i AS (SELECT p_type || CASE WHEN p_size % 2 = 0 THEN '.1' ELSE '' END AS icd, p_brand AS code, p_partkey AS ord FROM part WHERE p_size % 5 = 0),
+x AS (SELECT upper(trim(icd)) AS icd, arg_min(code, ord) AS code FROM i GROUP BY 1), f AS (SELECT p_partkey, l.icd, CASE WHEN upper(trim(l.icd)) = 'ODD' THEN 'PROMO' ELSE upper(trim(l.icd)) END AS own FROM l)
+SELECT p_partkey, f.icd, coalesce(a.code, b.code) AS code, CASE WHEN a.code IS NOT NULL THEN 'exact' WHEN b.code IS NOT NULL THEN 'parent' END AS tier FROM f LEFT JOIN x a ON a.icd = own LEFT JOIN x b ON b.icd = split_part(own, '.', 1)""")
+def icd_cascade(s, sf):
+    p = t(s, sf, "part")
+    left = p.select("p_partkey", F.when(F.col("p_size") == 7, "odd").otherwise(F.concat(F.lit(" "), F.lower("p_type"), F.lit("."), (F.col("p_size") % 3).cast("string"))).alias("icd"))
+    right = p.where("p_size % 5 = 0").select(F.concat("p_type", F.when(F.col("p_size") % 2 == 0, ".1").otherwise("")).alias("icd"), F.col("p_brand").alias("code"), F.col("p_partkey").alias("ord"))
+    return evidence.icd_join(left, right, {"ODD": "PROMO"})
+
+
+@query(f"""WITH {HI}, c AS (SELECT c_custkey AS "case", c_mktsegment || ':' || c_nationkey AS p FROM customer UNION SELECT c_custkey, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey), sy AS (SELECT r_name AS x, 'SYN_' || r_name AS y FROM region UNION SELECT n_name, lower(n_name) FROM nation),
+u1 AS (SELECT "case", parent AS p FROM c JOIN pa ON x = p EXCEPT SELECT "case", p FROM c), s1 AS (SELECT "case", y AS p FROM (SELECT * FROM c UNION SELECT * FROM u1) JOIN sy ON x = p), o1 AS (SELECT * FROM c UNION SELECT * FROM u1 UNION SELECT * FROM s1),
+u2 AS (SELECT "case", parent AS p FROM u1 JOIN pa ON x = p EXCEPT SELECT "case", p FROM o1), s2 AS (SELECT "case", y AS p FROM (SELECT * FROM u1 UNION SELECT * FROM u2) JOIN sy ON x = p) SELECT * FROM o1 UNION SELECT * FROM u2 UNION SELECT * FROM s2""")
+def expanded_cases(s, sf):
+    c, n = t(s, sf, "customer"), t(s, sf, "nation")
+    cases = c.select(F.col("c_custkey").alias("case"), F.concat("c_mktsegment", F.lit(":"), F.col("c_nationkey").cast("string")).alias("p"))
+    cases = cases.union(c.join(n, F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", "n_name"))
+    syn = t(s, sf, "region").select(F.col("r_name").alias("x"), F.concat(F.lit("SYN_"), "r_name").alias("y")).union(n.select("n_name", F.lower("n_name")))
+    return evidence.expand_cases(cases, _parents(s, sf), syn)
 
 
 @query("SELECT p_partkey, p_name AS mention, (SELECT min(p_partkey) FROM part q WHERE lower(q.p_name) = lower(part.p_name)) AS cui FROM part")

@@ -23,10 +23,11 @@ def py_list(c: Column, schema: str = "array<string>") -> Column:
 def read_patients(spark: SparkSession, path: str, severity: DataFrame | None = None, level: int | None = None, first: int | None = None) -> DataFrame:
     """Patients in file order (ord): severity (pathology, severity) filters, then the first so many kept rows.
 
-    The order is that of the file's rows; a file set is taken in order of its names."""
+    ord (file, block, row) orders rows by their file's name, then by their place in it."""
     names = ["AGE", "DIFFERENTIAL_DIAGNOSIS", "SEX", "PATHOLOGY", "EVIDENCES", "INITIAL_EVIDENCE"]
     shape = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    df = spark.read.csv(path, header=True, schema=shape, quote='"', escape='"', enforceSchema=False).withColumn("_at", F.monotonically_increasing_id())
+    df = spark.read.csv(path, header=True, schema=shape, quote='"', escape='"', enforceSchema=False)
+    df = df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("_at"))
     pairs = F.transform(py_list(F.col("DIFFERENTIAL_DIAGNOSIS"), "array<array<string>>"), lambda x: F.struct(x[0].alias("name"), x[1].cast("double").alias("prob")))
     out = df.select("_at", F.col("AGE").cast("int").alias("age"), F.col("SEX").alias("sex"), F.col("PATHOLOGY").alias("pathology"), py_list(F.col("EVIDENCES")).alias("evidences"), F.col("INITIAL_EVIDENCE").alias("initial_evidence"), pairs.alias("differential"))
     if severity is not None and level is not None:

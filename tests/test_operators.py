@@ -82,8 +82,17 @@ def test_automaton_boundaries(spark):
     docs = spark.createDataFrame([(1, "Pain in painting, PAIN."), (2, "belly pain; Bellyache"), (3, None)], "doc_id long, text string")
     names = spark.createDataFrame([("pain", "C1"), ("belly pain", "C2"), ("Pain", "C0"), ("ab", "C3")], "name string, code string")
     want = [(1, "pain", "C1", 0), (1, "pain", "C1", 18), (2, "belly pain", "C2", 0), (2, "pain", "C1", 6)]
-    for match in (linking.match_dictionary, linking.match_by_words):
-        assert sorted(tuple(r) for r in match(docs, names).collect()) == want
+    for most in (1, 10, 1000):
+        assert sorted(tuple(r) for r in linking.match_dictionary(docs, names, most=most).collect()) == want
+
+
+def test_hard_names_are_found_whatever_the_size(spark):
+    docs = spark.createDataFrame([(1, "in 1234 aa aa aa"), (1, "aa aa"), (None, "1234"), (2, "x1234, 12345"), (2, "")], "doc_id long, text string")
+    names = spark.createDataFrame([("1234", 1), ("aa aa", 2), ("aa aa aa", 3), ("", 4), (None, 5)], "name string, code int")
+    want = sorted([("1", "1234", 1, 3), ("1", "aa aa", 2, 8), ("1", "aa aa", 2, 11), ("1", "aa aa aa", 3, 8), ("1", "aa aa", 2, 0), ("None", "1234", 1, 0), ("2", "1234", 1, 7)])
+    for most in (3, 9, 1000):
+        assert sorted((str(r.doc_id), r.name, r.code, r.start) for r in linking.match_dictionary(docs, names, most=most).collect()) == want
+    assert linking.match_dictionary(docs, names.limit(0)).count() == 0 and linking.match_dictionary(docs.limit(0), names).count() == 0
 
 
 def test_platt_improves_the_loss(spark):

@@ -23,6 +23,14 @@ def test_patients_in_file_order(spark, tmp_path):
     assert [(r.base, r.value) for r in readers.explode_evidence(kept.limit(1)).collect()] == [("E_1", None), ("E_2", "V_@_3")]
 
 
+def test_patients_of_several_files_in_order_of_their_names(spark, tmp_path):
+    head = "AGE,DIFFERENTIAL_DIAGNOSIS,SEX,PATHOLOGY,EVIDENCES,INITIAL_EVIDENCE\n"
+    for name, ages in (("a", [7]), ("b", range(20, 420)), ("c", [8])):
+        (tmp_path / f"{name}.csv").write_text(head + "".join(f'{i},"[]",M,x,"[]",E_1\n' for i in ages))
+    assert [r.age for r in readers.read_patients(spark, str(tmp_path), first=3).orderBy("ord").collect()] == [7, 20, 21]
+    assert [r.age for r in readers.read_patients(spark, str(tmp_path)).orderBy("ord").collect()] == [7, *range(20, 420), 8]
+
+
 def test_coded_json(spark, tmp_path):
     (tmp_path / "e.json").write_text(json.dumps({"E1": {"question_en": "q?", "data_type": "B"}, "E2": {"question_en": None}}))
     got = {r.code: r.data_type for r in readers.read_coded_json(spark, str(tmp_path / "e.json"), "question_en: string, data_type: string").collect()}

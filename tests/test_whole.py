@@ -1,4 +1,4 @@
-"""Queries over all edges, where the registered SQL holds a slice: against the SQL without the slice, and brute force."""
+"""Queries over all edges and mentions against brute force."""
 
 import math
 
@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 from test_queries import SF, TABLES, same
 
 from lattiq.plans import bindings as B
-from lattiq.plans.queries import ORACLES, QUERIES
-
-DIALOGUE = ["two_hop_candidates", "denied_limit_candidates", "greedy_selection", "information_gain", "related_diseases", "combination_idf", "bound_attributes", "attribute_aware_scores"]
-
+from lattiq.plans.queries import QUERIES
 
 @pytest.fixture(scope="module")
 def duck():
@@ -27,19 +24,6 @@ def rows_of(df):
     return sorted(map(repr, (tuple(same(x) for x in r) for r in df.select(*cols).collect())))
 
 
-def sql_rows(duck, sql):
-    got = duck.execute(sql)
-    names = [d[0] for d in got.description]
-    return sorted(map(repr, (tuple(same(r[names.index(c)]) for c in sorted(names)) for r in got.fetchall())))
-
-
-@pytest.mark.parametrize("name", DIALOGUE)
-def test_dialogue_and_attributes_see_all_edges(spark, duck, name):
-    sql = ORACLES[name].replace(" WHERE p_size > 45", "").replace(" WHERE p_size > 40", "")
-    assert "p_size >" not in sql and sql != ORACLES[name]
-    assert rows_of(QUERIES[f"{name}_whole"](spark, SF)) == sql_rows(duck, sql)
-
-
 def test_question_rounds_are_answered_from_all_facts(spark, duck):
     facts = duck.execute(f"WITH {B.M} SELECT l_suppkey, p_brand FROM m WHERE l_returnflag <> 'R' GROUP BY ALL").fetchall()
     edges = set(duck.execute(f"WITH {B.M} SELECT DISTINCT d, p_brand FROM m").fetchall())
@@ -78,7 +62,7 @@ def test_pagerank_walks_15_rounds_from_every_disease(spark, plain):
     mass = seeds
     for _ in range(15):
         mass = 0.85 * mass @ (w / w.sum(axis=1, keepdims=True)) + 0.15 * seeds
-    got = QUERIES["personalised_pagerank_whole"](spark, SF).collect()
+    got = QUERIES["personalised_pagerank"](spark, SF).collect()
     assert {(r.case, r.x) for r in got} == {(names[i], names[j]) for i, j in zip(*np.nonzero(mass))}
     assert all(abs(r.mass - mass[names.index(r.case), names.index(r.x)]) < 2e-6 for r in got)
 
@@ -91,7 +75,7 @@ def test_link_prediction_counts_all_neighbours(spark, plain):
         for j in range(i + 1, len(names)):
             if len(both := np.flatnonzero(near[i] & near[j])):
                 want[names[i], names[j]] = (len(both), sum(1 / math.log(k[y] + 2) for y in both), sum(1 / k[y] for y in both))
-    got = {(r.a, r.b): (r.cn, r.aa, r.ra) for r in QUERIES["link_prediction_whole"](spark, SF).collect()}
+    got = {(r.a, r.b): (r.cn, r.aa, r.ra) for r in QUERIES["link_prediction"](spark, SF).collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[x], want[x], atol=2e-6) for x in want)
 
 
@@ -104,7 +88,7 @@ def test_layers_of_every_disease_to_depth_three(spark, plain):
             front = [int(j) for j in np.flatnonzero((w[front] > 0).any(axis=0)) if j not in depth] if front else []
             depth |= dict.fromkeys(front, k)
         want |= {(names[root], names[x], k) for x, k in depth.items()}
-    got = [(r.root, r.x, r.depth) for r in QUERIES["bfs_layers_whole"](spark, SF).collect()]
+    got = [(r.root, r.x, r.depth) for r in QUERIES["bfs_layers"](spark, SF).collect()]
     assert len(got) == len(want) and set(got) == want
 
 
