@@ -23,10 +23,14 @@ def normalise_phrase(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[\(\[][^\)\]]*[\)\]]", " "), r"\s+", " "))
 
 
+#: Suffixes in the order in which they are tried, and what takes their place (fixed values).
+SUFFIXES = (("ies", "y"), ("sses", "ss"), ("ing", ""), ("ed", ""), ("es", ""), ("s", ""))
+
+
 def lemma(c: Column) -> Column:
     """Strip one English suffix, tried in fixed order, keeping a stem of at least 3 letters."""
     out = c
-    for suffix, put in reversed((("ies", "y"), ("sses", "ss"), ("ing", ""), ("ed", ""), ("es", ""), ("s", ""))):
+    for suffix, put in reversed(SUFFIXES):
         stem = F.length(c) - len(suffix) + len(put) >= 3
         fits = c.endswith(suffix) & stem & (~c.endswith("ss") if suffix == "s" else F.lit(True))
         out = F.when(fits, F.concat(F.substr(c, F.lit(1), F.length(c) - len(suffix)), F.lit(put))).otherwise(out)

@@ -33,6 +33,12 @@ def pick(cands: DataFrame, k: int = 1, score: Column | None = None) -> DataFrame
     return cands.withColumn("rank", F.row_number().over(Window.partitionBy("case").orderBy(s.desc(), "p"))).where(F.col("rank") <= k)
 
 
+def random_question(cands: DataFrame, seed: int = 42) -> DataFrame:
+    """One candidate (case, p) of each case, drawn by a hash: the baseline that asks at random."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("case").cast("string"), F.col("p").cast("string")))
+    return cands.groupBy("case").agg(F.min_by("p", F.struct(h.alias("h"), F.col("p"))).alias("p"))
+
+
 def expected_gain(state: DataFrame, cands: DataFrame, edges: DataFrame, limit: int = 7, formula: str = "v15") -> DataFrame:
     """For the first candidates: entropy now, entropies and best shares after yes and after no, and the strategies' scores.
 
@@ -109,7 +115,12 @@ STOP_FAMILIES = ("min_il", "confidence", "entropy", "info_gain", "rank_stability
 
 
 def stop_step(traj: DataFrame, family: str, a: float, b: float = 0) -> DataFrame:
-    """(case, stop): first step at which a rule of a family holds, else the last step.
+    """(case, stop): first step at which a rule of a family holds, else the last step; see ``stop_steps``."""
+    return stop_steps(traj, [(family, a, b)]).select("case", "stop")
+
+
+def stop_steps(traj: DataFrame, settings: list[tuple[str, float, float]]) -> DataFrame:
+    """(case, family, a, b, stop) of all settings, in one pass over the trajectories.
 
     traj: (case, step, top, top1, gap, entropy, asked, strong): strong is the number of candidates over the
     narrowing score. Parameters: min_il (a: least step), confidence (a), entropy (a), info_gain (a, twice in a
@@ -117,17 +128,19 @@ def stop_step(traj: DataFrame, family: str, a: float, b: float = 0) -> DataFrame
     score, b: steps), next_question (a: relative fall)."""
     w = Window.partitionBy("case").orderBy("step")
     fall = F.lag("entropy").over(w) - F.col("entropy")
-    run = lambda ok, n: (F.count("*").over(w.rowsBetween(-(int(n) - 1), 0)) == int(n)) & (F.min(ok.cast("int")).over(w.rowsBetween(-(int(n) - 1), 0)) == 1)
-    same = lambda n: (F.count("*").over(w.rowsBetween(-(int(n) - 1), 0)) == int(n)) & (F.min("top").over(w.rowsBetween(-(int(n) - 1), 0)) == F.max("top").over(w.rowsBetween(-(int(n) - 1), 0)))
-    x = traj.withColumn("_fall", fall)
+    frame = lambda n: w.rowsBetween(-(int(n) - 1), 0)
+    run = lambda ok, n: (F.count("*").over(frame(n)) == int(n)) & (F.min(ok.cast("int")).over(frame(n)) == 1)
+    same = lambda n: (F.count("*").over(frame(n)) == int(n)) & (F.min("top").over(frame(n)) == F.max("top").over(frame(n)))
     rules = {
-        "min_il": lambda: (F.col("step") >= a) & ((F.col("top1") >= 0.30) | (F.col("gap") >= 0.005)), "confidence": lambda: F.col("top1") >= a, "entropy": lambda: F.col("entropy") < a,
-        "info_gain": lambda: run(F.coalesce(F.col("_fall") < a, F.lit(False)), 2), "rank_stability": lambda: same(a), "coverage": lambda: F.col("asked") / 10 >= a,
-        "narrowing": lambda: F.col("strong") <= a, "steady": lambda: same(b) & run(F.col("top1") >= a, b),
-        "next_question": lambda: (F.col("step") >= 3) & F.coalesce(F.col("_fall") / F.nullif(F.col("_fall") + F.col("entropy"), F.lit(0.0)) < a, F.lit(False)),
+        "min_il": lambda a, b: (F.col("step") >= a) & ((F.col("top1") >= 0.30) | (F.col("gap") >= 0.005)), "confidence": lambda a, b: F.col("top1") >= a, "entropy": lambda a, b: F.col("entropy") < a,
+        "info_gain": lambda a, b: run(F.coalesce(F.col("_fall") < a, F.lit(False)), 2), "rank_stability": lambda a, b: same(a), "coverage": lambda a, b: F.col("asked") / 10 >= a,
+        "narrowing": lambda a, b: F.col("strong") <= a, "steady": lambda a, b: same(b) & run(F.col("top1") >= a, b),
+        "next_question": lambda a, b: (F.col("step") >= 3) & F.coalesce(F.col("_fall") / F.nullif(F.col("_fall") + F.col("entropy"), F.lit(0.0)) < a, F.lit(False)),
     }
-    marked = x.withColumn("_stop", rules[family]())
-    return marked.groupBy("case").agg(F.coalesce(F.min(F.when(F.col("_stop"), F.col("step"))), F.max("step")).alias("stop"))
+    marked = traj.withColumn("_fall", fall).select("case", "step", *[rules[f](a, b).alias(f"_r{i}") for i, (f, a, b) in enumerate(settings)])
+    stops = marked.groupBy("case").agg(*[F.coalesce(F.min(F.when(F.col(f"_r{i}"), F.col("step"))), F.max("step")).alias(f"_r{i}") for i in range(len(settings))])
+    each = [F.struct(F.lit(f).alias("family"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"), F.col(f"_r{i}").alias("stop")) for i, (f, a, b) in enumerate(settings)]
+    return stops.select("case", F.explode(F.array(*each)).alias("x")).select("case", "x.*")
 
 
 def hit_curve(traj: DataFrame) -> DataFrame:

@@ -38,6 +38,19 @@ def merge_sources(mentions: DataFrame, weights: tuple[float, ...] = (0.4, 0.3, 0
     return merged.crossJoin(F.broadcast(top)).withColumn("score", sum(w * x for w, x in zip(weights, parts))).drop("top", "top_book")
 
 
+def dual_merge(mentions: DataFrame, textbooks: Sequence[str], articles: Sequence[str]) -> DataFrame:
+    """(d, p, sources, n_textbook, n_article, textbook_score, article_score, textbook_only, article_only) from mentions (d, p, source).
+
+    The two kinds of source keep scores of their own: the share of textbooks, and the logarithm of the articles'
+    mentions over that of the largest; the flags tell pairs that one kind alone has."""
+    book, art = F.col("source").isin(*textbooks), F.col("source").isin(*articles)
+    x = mentions.where(book | art).groupBy("d", "p").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.count_distinct(F.when(book, F.col("source"))).alias("n_textbook"), F.count_if(art).alias("n_article"))
+    top = x.agg(F.greatest(F.max("n_article"), F.lit(1)).alias("top"))
+    flags = {"textbook_only": (F.col("n_textbook") > 0) & (F.col("n_article") == 0), "article_only": (F.col("n_textbook") == 0) & (F.col("n_article") > 0)}
+    scores = {"textbook_score": F.col("n_textbook") / len(textbooks), "article_score": F.log1p("n_article") / F.log1p("top")}
+    return x.crossJoin(F.broadcast(top)).withColumns(scores | flags).drop("top")
+
+
 def union_mode(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("d", "p")) -> DataFrame:
     """Old edges stay; of the new ones only pairs not yet there come in."""
     return old.unionByName(new.join(old.select(*keys).distinct(), list(keys), "left_anti"))

@@ -14,6 +14,14 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(d.alias("x"), p.alias("y"), "w").union(edges.select(p.alias("x"), d.alias("y"), "w")).groupBy("x", "y").agg(F.sum("w").alias("w"))
 
 
+def with_cooccurrence(edges: DataFrame, pairs: DataFrame, factor: float) -> DataFrame:
+    """(x, y, w) with the pairs (a, b, n) added both ways, at ``factor`` times their count."""
+    a, b = F.col("a").cast("string"), F.col("b").cast("string")
+    w = (F.col("n") * factor).cast("double").alias("w")
+    more = pairs.select(a.alias("x"), b.alias("y"), w).union(pairs.select(b.alias("x"), a.alias("y"), w))
+    return edges.unionByName(more).groupBy("x", "y").agg(F.sum("w").alias("w"))
+
+
 def personalised_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, rounds: int = 15, every: int = 5) -> DataFrame:
     """(case, x, mass) of all cases at once: mass flows along (x, y, w) by weight share, alpha restarts at seeds (case, x)."""
     out = edges.groupBy("x").agg(F.sum("w").alias("total"))

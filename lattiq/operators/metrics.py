@@ -137,3 +137,21 @@ def fill_rates(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 def confusion(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     n = rows.groupBy(truth, predicted).agg(F.count("*").alias("n"))
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(truth)))
+
+
+def bundle(cases: DataFrame) -> DataFrame:
+    """One row from (case, asked, right): n, hit rate at 1, mean and largest number of questions."""
+    return cases.agg(F.count("*").alias("n"), F.avg(F.col("right").cast("double")).alias("at_1"), F.avg("asked").alias("mean_questions"), F.max("asked").alias("most_questions"))
+
+
+def accuracy_by(cases: DataFrame, group: str) -> DataFrame:
+    """(group, n, hits, accuracy) from rows (group, right)."""
+    return cases.groupBy(group).agg(F.count("*").alias("n"), F.count_if("right").alias("hits"), F.avg(F.col("right").cast("double")).alias("accuracy"))
+
+
+def lexical_match(predicted: DataFrame, gold: DataFrame) -> DataFrame:
+    """(precision, recall) of distinct strings (x), equal after lower case and trimming."""
+    p, g = (df.select(F.trim(F.lower("x")).alias("x")).where("x <> ''").distinct() for df in (predicted, gold))
+    both = p.withColumn("p", F.lit(1)).join(g.withColumn("g", F.lit(1)), "x", "full")
+    hit = F.count_if(F.col("p").isNotNull() & F.col("g").isNotNull())
+    return both.agg((hit / F.nullif(F.count("p"), F.lit(0))).alias("precision"), (hit / F.nullif(F.count("g"), F.lit(0))).alias("recall"))

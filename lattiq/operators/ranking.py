@@ -279,3 +279,14 @@ def subset_ablation(contributions: DataFrame, channels: Sequence[str], truth: Da
     total = contributions.join(F.broadcast(table), "channel").groupBy("subset", "case", "d").agg(F.round(F.sum("x"), 9).alias("score"))
     best = total.groupBy("subset", "case").agg(F.min_by("d", F.struct((-F.col("score")).alias("s"), F.col("d"))).alias("top"))
     return best.join(truth, "case").groupBy("subset").agg(F.avg((F.col("top") == F.col("d")).cast("double")).alias("at_1"), F.count("*").alias("n"))
+
+
+def leave_one_out(contributions: DataFrame, channels: Sequence[str], truth: DataFrame) -> DataFrame:
+    """(left_out, at_1, change, n): the hit rate at 1 without each channel, and with all ("none")."""
+    sets = [("none", list(channels)), *[(c, [x for x in channels if x != c]) for c in channels]]
+    table = contributions.sparkSession.createDataFrame([(name, c) for name, cs in sets for c in cs], "left_out string, channel string")
+    total = contributions.join(F.broadcast(table), "channel").groupBy("left_out", "case", "d").agg(F.round(F.sum("x"), 9).alias("score"))
+    best = total.groupBy("left_out", "case").agg(F.min_by("d", F.struct((-F.col("score")).alias("s"), F.col("d"))).alias("top"))
+    hits = best.join(truth, "case").groupBy("left_out").agg(F.avg((F.col("top") == F.col("d")).cast("double")).alias("at_1"), F.count("*").alias("n"))
+    base = hits.where("left_out = 'none'").select(F.col("at_1").alias("_all"))
+    return hits.crossJoin(F.broadcast(base)).select("left_out", "at_1", (F.round("at_1", 6) - F.round("_all", 6)).alias("change"), "n")

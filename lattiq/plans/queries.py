@@ -21,7 +21,7 @@ SHARED = {
     "cosine_scores", "cosine_evaluation", "negative_evidence", "negative_evidence_idf", "negative_self_aware", "finding_counts", "count_score_family", "corrected_score_family", "clamped_score_family",
     "normalised_scores", "top_k_diagnoses", "score_cutoffs", "min_match_filter", "tied_diagnoses", "weighted_edge_scores", "min_max_channel", "z_score_channel", "kg_naive_bayes", "channel_ensemble", "zero_shot_bayes",
     "supervised_nb_counts", "few_shot_profile", "rerank_shortlist", "confuser_rerank", "question_aware_stack", "two_hop_candidates", "denied_limit_candidates", "greedy_selection", "information_gain", "related_diseases",
-    "reference_baselines", "question_rounds", "differential_macro", "bound_attributes", "attribute_aware_scores",
+    "reference_baselines", "question_rounds", "random_inquiry", "differential_macro", "bound_attributes", "attribute_aware_scores",
 }
 
 QUERIES: dict = {}
@@ -337,13 +337,19 @@ tt AS (SELECT "case", first(d ORDER BY n DESC, d) AS d FROM (SELECT l_suppkey AS
 SELECT subset, round(avg(CAST(top = tt.d AS INT)), 6) AS at_1, count(*) AS n FROM tp JOIN tt USING ("case") GROUP BY subset"""
 
 
-@query(ABLATION)
-def subset_ablation(s, sf):
+def channel_parts(s, sf):
+    """Contributions (case, d, channel, x) of the suppliers' brands, types and names, and the suppliers' truth."""
     m = materialize(B.mentions(s, sf).select("l_suppkey", "d", "p_brand", "p_type", "p_name"), "mentions")
     ch = m.select("l_suppkey", "d", F.explode(F.array(*[F.struct(F.lit(k).alias("channel"), F.col(f"p_{k}").alias("v")) for k in ("brand", "type", "name")])).alias("x")).select("l_suppkey", "d", "x.*")
     dc = ch.groupBy("d", "channel", "v").agg(F.log1p(F.count("*")).alias("w"))
     co = ch.select(F.col("l_suppkey").alias("case"), "channel", "v").distinct().join(dc, ["channel", "v"]).groupBy("case", "d", "channel").agg(F.sum("w").alias("x"))
     tt = m.groupBy(F.col("l_suppkey").alias("case"), "d").agg(F.count("*").alias("n")).groupBy("case").agg(F.min_by("d", F.struct((-F.col("n")).alias("n"), F.col("d"))).alias("d"))
+    return co, tt
+
+
+@query(ABLATION)
+def subset_ablation(s, sf):
+    co, tt = channel_parts(s, sf)
     return rounded(ranking.subset_ablation(materialize(co, "channels"), ("brand", "name", "type"), tt), "at_1")
 
 
@@ -712,7 +718,12 @@ def reference_baselines(s, sf):
     return dialogue.baselines(B.cases(s, sf), B.truth(s, sf), B.edges(s, sf))
 
 
-@query()
+_ASK = """, a{k} AS (SELECT DISTINCT "case", d FROM s{k} JOIN be USING (p) WHERE yes), c{k} AS (SELECT "case", p, count(*) AS n FROM a{k} JOIN be USING (d) WHERE ("case", p) NOT IN (SELECT ("case", p) FROM s{k}) GROUP BY ALL),
+q{k} AS (SELECT "case", arg_min(p, (-n, p)) AS p FROM c{k} GROUP BY "case"), s{n} AS (SELECT * FROM s{k} UNION ALL SELECT "case", p, ("case", p) IN (SELECT ("case", p) FROM ft) FROM q{k})"""
+
+
+@query(f"""WITH {B.M}, be AS (SELECT DISTINCT d, p_brand AS p FROM m), ft AS (SELECT l_suppkey AS "case", p_brand AS p FROM m WHERE l_returnflag <> 'R' GROUP BY ALL), s0 AS (SELECT "case", min(p) AS p, true AS yes FROM ft GROUP BY "case")"""
+       + "".join(_ASK.format(k=k, n=k + 1) for k in range(3)) + ' SELECT "case", p, yes FROM s3')
 def question_rounds(s, sf):
     true = materialize(_supplier_facts(s, sf).where("yes").select("case", "p"), "facts")
     chief = true.groupBy("case").agg(F.min("p").alias("p"))
@@ -952,13 +963,18 @@ def normalise_phrases(s, sf):
     return t(s, sf, "part").select("p_partkey", X.normalise_phrase(F.concat("p_name", F.lit(" ("), "p_type", F.lit(")  "), "p_brand")).alias("phrase"))
 
 
-@query()
+_LEMMA = "CASE " + " ".join(f"WHEN ends_with(w, '{a}') AND length(w) - {len(a) - len(b)} >= 3{' AND NOT ends_with(w, ' + repr('ss') + ')' if a == 's' else ''} THEN left(w, length(w) - {len(a)}) || '{b}'" for a, b in X.SUFFIXES) + " ELSE w END"
+
+
+@query(rf"SELECT w AS word, {_LEMMA} AS lemma FROM (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\p{{L}}]+')) AS w FROM documents) WHERE w <> ''")
 def lemma_phrases(s, sf):
     w = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")
     return t(s, sf, "documents").select(w).where("word <> ''").distinct().select("word", X.lemma(F.col("word")).alias("lemma"))
 
 
-@query()
+@query(rf"""WITH l AS (SELECT doc_id, trim(lower(unnest(string_split(text, chr(10))))) AS t FROM documents)
+SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE t IN ({", ".join(f"'{x}'" for x in X.NOISE)}) OR NOT length(t) BETWEEN 3 AND 50 OR len(regexp_split_to_array(t, '\s+')) > 6
+  OR {" OR ".join(f"regexp_matches(t, '{x}')" for x in X.NOISE_PATTERNS)} OR length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) < 0.5 * length(t)) AS n_noise FROM l GROUP BY doc_id""")
 def noise_terms(s, sf):
     line = F.explode(F.split("text", "\n")).alias("line")
     return t(s, sf, "documents").select("doc_id", line).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(X.is_noise(F.col("line"))).alias("n_noise"))
@@ -994,7 +1010,7 @@ def json_and_picks(s, sf):
     return t(s, sf, "events").select("event_id", k.cast("int").alias("k"), X.parse_pick(F.concat(F.lit("PICK: "), k)).alias("pick"))
 
 
-@query()
+@query("SELECT p_partkey, [p_brand, p_type] AS items FROM part")
 def salvaged_json(s, sf):
     v = F.concat(F.lit("<think>[1]</think>```json\n["), F.concat(F.lit('"'), "p_brand", F.lit('", "'), "p_type", F.lit('"')), F.lit("]\n```"))
     return t(s, sf, "part").select("p_partkey", X.salvage_json(v).alias("items"))
@@ -1029,7 +1045,20 @@ def page_headings(s, sf):
     return t(s, sf, "pages").select("page_id", h).groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.length("s")).alias("chars"))
 
 
-@query()
+def _clean(c: str) -> str:
+    """SQL for a part of a page as plain text."""
+    out = f"regexp_replace({c}, '(?s)<[^>]*>', ' ', 'g')"
+    for a, b in readers.ENTITIES:
+        out = f"replace({out}, '{a}', {'chr(39)' if b == chr(39) else repr(b)})"
+    return rf"trim(regexp_replace({out}, '\s+', ' ', 'g'))"
+
+
+HTML = rf"""WITH b AS (SELECT page_id, string_split(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<nav\b.*?</nav>|<footer\b.*?</footer>|<!--.*?-->', ' ', 'g'), '(?i)(<h[12][ >])', chr(1) || '\1', 'g'), chr(1)) AS ps FROM pages),
+p AS (SELECT page_id, unnest(ps) AS part, generate_subscripts(ps, 1) - 1 AS ord FROM b), x AS (SELECT page_id, ord, {_clean("regexp_extract(part, '(?is)^<h[12][^>]*>(.*?)</h[12]>', 1)")} AS section, {_clean("regexp_replace(part, '(?is)^<h[12][^>]*>.*?</h[12]>', '')")} AS body FROM p WHERE ord > 0)
+SELECT page_id, ord, section, length(body) AS chars FROM x WHERE length(body) >= 100"""
+
+
+@query(HTML)
 def html_sections(s, sf):
     return readers.html_sections(t(s, sf, "pages")).select("page_id", "ord", "section", F.length("text").alias("chars"))
 
@@ -1157,3 +1186,6 @@ def external_edge_families(s, sf):
     li = t(s, sf, "lineitem")
     x = reports.external_edges({f"{k}-family": li.where(F.col("l_returnflag") == k).select(F.col("l_suppkey").alias("d"), F.col("l_partkey").alias("p")) for k in ("A", "N", "R")})
     return x.withColumns({"sources": F.array_join("sources", ","), "n": F.col("n").cast("long")})
+
+
+from lattiq.plans import more_queries, source_queries  # noqa: E402, F401 (they register their own)

@@ -85,7 +85,7 @@ def wiki_sections(pages: DataFrame, allow: list[str], least: int = 100) -> DataF
     """(page_id, ord, section, text) of '== Heading ==' parts whose heading holds an allowed word and whose text is long enough."""
     parts = pages.select("page_id", F.posexplode(F.split("text", r"(?m)^(?===+[^=\n]+==+\s*$)")).alias("ord", "part"))
     name = F.trim(F.regexp_extract("part", r"^==+([^=\n]+)==+", 1))
-    body = F.trim(F.regexp_replace("part", r"^==+[^=\n]+==+\s*", ""))
+    body = F.regexp_replace(F.regexp_replace("part", r"^==+[^=\n]+==+\s*", ""), r"\s+$", "")
     ok = F.lit(False)
     for a in allow:
         ok = ok | F.lower(name).contains(a)

@@ -6,6 +6,7 @@ import gzip
 import io
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -58,7 +59,8 @@ def read_tasks(tasks: DataFrame) -> DataFrame:
 
 def archive_lines(spark: SparkSession, path: str, suffix: str, sab_column: int, sabs: list[str]) -> DataFrame:
     """(file, line) of pipe-delimited members of zip archives whose name ends in ``suffix``, gzipped or not,
-    with a source among ``sabs``. An archive is one task; members are read line by line."""
+    with a source among ``sabs``. An archive is one task (and one value, so under 2 GB); members are read line by
+    line and given out in batches."""
     keep = set(sabs)
 
     def lines(zf: zipfile.ZipFile, name: str) -> Iterator[str]:
@@ -75,8 +77,9 @@ def archive_lines(spark: SparkSession, path: str, suffix: str, sab_column: int,
                 with zipfile.ZipFile(io.BytesIO(content)) as zf:
                     for name in zf.namelist():
                         if name.endswith((suffix, suffix + ".gz")):
-                            found = list(lines(zf, name))
-                            yield pd.DataFrame({"file": [name] * len(found), "line": found})
+                            rest = lines(zf, name)
+                            while found := list(islice(rest, 10_000)):
+                                yield pd.DataFrame({"file": [name] * len(found), "line": found})
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "file string, line string")
 

@@ -249,3 +249,79 @@ def test_reports(spark, tmp_path):
     np.save(tmp_path / "m.npy", np.array([[1.0, 2.0], [3.0, 4.0]]))
     m = reports.read_score_matrix(spark, spark.read.format("binaryFile").load(str(tmp_path / "m.npy")), ["x", "y"])
     assert [(r.case, r.d, r.score) for r in m.orderBy("case", "d").collect()] == [(0, "x", 1.0), (0, "y", 2.0), (1, "x", 3.0), (1, "y", 4.0)]
+
+
+def test_the_name_cascade_against_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    make = lambda a, b: "".join(rng.choice("ab ") for _ in range(rng.randrange(a, b))).strip() or "a"
+    keys = [(make(1, 40), rng.randrange(9)) for _ in range(150)]
+    names = sorted({make(1, 40) for _ in range(60)} | {k[:-1] + "b" for k, _ in keys[:20]} | {k[0] + "x" for k in keys[20:30]} | {f"b{k[0]}" for k in keys[30:40]})
+    table = {}
+    for k, c in keys:
+        table[k] = min(c, table.get(k, 99))
+    want = {}
+    for n in names:
+        norm = n.replace("x", "")
+        if n in table or norm in table:
+            want[n] = (table[n], "exact") if n in table else (table[norm], "normal")
+            continue
+        near = [(-min(len(n), len(k)) / max(len(n), len(k)), k) for k in table if len(n) >= 9 and len(k) >= 5 and (k in n or n in k) and 2 * min(len(n), len(k)) > max(len(n), len(k))]
+        want[n] = (table[min(near)[1]], "partial") if near else (None, None)
+    left = spark.createDataFrame([(n,) for n in names] + [(None,), (names[0],)], "name string")
+    got = evidence.cascade_join(left, spark.createDataFrame(keys + [(None, 1)], "key string, code int"), F.regexp_replace("name", "x", "")).collect()
+    assert len(got) == len(names) + 2 and {r.name: (r.code, r.tier) for r in got if r.name} == want
+    assert len({t for _, t in want.values()}) == 4
+
+
+def test_codes_fall_back_to_their_parents(spark):
+    left = spark.createDataFrame([(1, " j93.0"), (2, "SLE"), (3, "Z9"), (4, None), (5, "J93.1")], "x int, icd string")
+    right = spark.createDataFrame([("J93", "C1", 2), ("j93 ", "C0", 1), ("M32", "C2", 3), ("J93.1", "C3", 4)], "icd string, code string, ord int")
+    got = {r.x: (r.code, r.tier) for r in evidence.icd_join(left, right, {"SLE": "M32"}).collect()}
+    assert got == {1: ("C0", "parent"), 2: ("C2", "exact"), 3: (None, None), 4: (None, None), 5: ("C3", "exact")}
+
+
+def test_cases_expand_by_parents_synonyms_and_children(spark):
+    pairs = lambda *p: spark.createDataFrame(list(p), "x string, y string")
+    cases = spark.createDataFrame([("k", "a")], "case string, p string")
+    up, syn, down = pairs(("a", "b"), ("b", "c"), ("c", "d")), pairs(("a", "a2"), ("c", "c2"), ("c2", "no")), pairs(("a", "a0"), ("c", "c0"))
+    found = lambda *x, **kw: {r.p for r in evidence.expand_cases(cases, up, *x, **kw).collect()}
+    assert found() == {"a", "b", "c"} and found(depth=1) == {"a", "b"}
+    assert found(syn) == {"a", "b", "c", "a2", "c2"} and found(syn, down) == {"a", "b", "c", "a2", "c2", "a0"}
+
+
+def test_lookahead_against_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    edges = {(f"d{i}", p) for i in range(6) for p in "abcdefgh" if rng.random() < 0.5}
+    state, true, first = {"a": True, "b": False}, set("acg"), ["c", "d", "e"]
+    by_d = {}
+    for d, p in edges:
+        by_d.setdefault(d, set()).add(p)
+    want = {}
+    for q in first:
+        pool = {p for f in by_d.values() if "a" in f for p in f} - set(state) - {q}
+        asked = {q, *sorted(pool, key=lambda p: (-sum(p in f for f in by_d.values()), p))[:2]}
+        yes, no = {"a"} | (asked & true), {"b"} | (asked - true)
+        raw = [len(f & yes) ** 2 / (len(f & yes) + len(f & no) + 1) for f in by_d.values() if f & yes]
+        want[q] = max(raw) / sum(raw)
+    rows = lambda xs, shape: spark.createDataFrame(xs, shape)
+    got = channels.oracle_lookahead(rows([("k", p, y) for p, y in state.items()], "case string, p string, yes boolean"), rows([("k", q) for q in first], "case string, p string"), rows([("k", p) for p in sorted(true)], "case string, p string"), rows(sorted(edges), "d string, p string"), depth=2).collect()
+    assert {r.q: round(r.value, 9) for r in got} == {q: round(v, 9) for q, v in want.items()}
+
+
+def test_binomial_p_values():
+    from lattiq.functions import stats
+
+    assert abs(stats._two_sided(8, 10, 0.5) - 0.109375) < 1e-12 and abs(stats._two_sided(0, 5, 0.2) - 0.59) < 0.01 and stats._two_sided(5, 10, 0.5) == pytest.approx(1)
+    assert stats._two_sided(0, 0, 0.3) == 1.0 and stats._two_sided(3, 3, 1.0) == 1.0 and stats._two_sided(1, 3, 0.0) == 0.0
+
+
+def test_the_entry_imports_without_the_corpus_part():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and 'edge_weights' in q and not any(n.startswith('op') and n[2].isdigit() for n in q)"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, timeout=120).returncode == 0
