@@ -6,7 +6,10 @@ it expands to. The template marks turns; control strings inside texts and roles
 backslash, and every backslash is doubled, so parsing gives back the exact texts.
 
 Edge cases: null text is empty; a null role is empty; an unknown part type raises; rows of one turn
-are ordered by role, then text; a conversation without rows has no output; an empty table is empty.
+are ordered by role, then parts, and repeated rows are turns of their own; a null turn comes first; rows
+without a conv_id are one conversation; very long texts are formatted whole (a conversation is one row of
+the output and must fit a task); a conversation without rows has no output; columns other than conv_id,
+turn, role and text (or parts) are not read, so names cannot clash; an empty table is empty.
 """
 
 from __future__ import annotations

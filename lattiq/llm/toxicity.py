@@ -64,13 +64,12 @@ def items(counts: Counter) -> set[bytes]:
 
 
 class Vocabulary:
-    remembered = 1 << 14  # words whose features are kept at hand
-
     def __init__(self, words: tuple[bytes, ...]) -> None:
         self.words = {w: i for i, w in enumerate(words) if w[:1] != b" "}
         self.starts = [(n, {w[1:]: i for i, w in enumerate(words) if w[:1] == b" " and len(w) == n + 1}) for n in _BEGINNINGS]
         self.starts = [x for x in self.starts if x[1]]
-        self.at_hand: dict[bytes, tuple[int, ...]] = {}
+        least = min(_BEGINNINGS)
+        self.least, self.gate = least, frozenset(w.lstrip(b" ")[:least] for w in words)  # how a word with features begins
 
     def items_of(self, word: bytes) -> tuple[int, ...]:
         whole = (self.words[word],) if word in self.words else ()
@@ -78,15 +77,11 @@ class Vocabulary:
 
     def vector(self, text: bytes) -> list[tuple[int, float]]:
         """(feature, value): up to three features for each item that occurs."""
-        counts, seen, at_hand = tally(text), Counter(), self.at_hand
-        for w, n in counts.items():
-            if (found := at_hand.get(w)) is None:
-                if len(at_hand) >= self.remembered:
-                    at_hand.clear()
-                at_hand[w] = found = self.items_of(w)
-            for i in found:
+        words, least, gate, seen = text.translate(_WORDS).split(), self.least, self.gate, Counter()
+        for w, n in Counter([w for w in words if w[:least] in gate]).items():
+            for i in self.items_of(w):
                 seen[i] += n
-        total = max(1, counts.total())
+        total = max(1, len(words))
         return [x for i in sorted(seen) for x in ((3 * i, 1.0), (3 * i + 1, float(seen[i] > 1)), (3 * i + 2, math.log1p(100 * seen[i] / total))) if x[1]]
 
 

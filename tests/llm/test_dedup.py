@@ -147,3 +147,47 @@ def test_recall_right_at_the_threshold():
         bits, bands = p.shape(n)
         agree = 1 - np.arccos(p.threshold) / np.pi
         assert (1 - agree**bits) ** bands <= p.miss * 1.01
+
+
+def test_deduplicate_keeps_columns_of_any_name_and_type(spark):
+    shape = "doc_id long, component_id string, __bits int, slot int, fp string, root string, c0 int, m map<string,int>, row int, text string"
+    text, other = "one two three four five six seven", "quite some other words that stand here alone"
+    rows = [(5, "x", 1, 2, "f", "r", 7, {"a": 1}, 3, text), (3, "y", 1, 2, "f", "r", 8, {"a": 2}, 3, text), (3, "y", 1, 2, "f", "r", 8, {"a": 2}, 3, text), (3, "z", 1, 2, "f", "r", 9, None, 3, other)]
+    rows += [(None, "n", 0, 0, "f", "r", 1, {"b": 1}, 3, "no id at all in these words"), (None, "n", 0, 0, "f", "r", 1, {"b": 1}, 3, "no id at all in these words"), (None, "n", 0, 0, "f", "r", 2, {}, 3, text)]
+    docs = spark.createDataFrame(rows, shape)
+    kept = simhash.deduplicate(docs)
+    assert kept.schema.simpleString() == docs.schema.simpleString()
+    got = sorted(((r.doc_id, r.component_id, r.c0, r.m) for r in kept.collect()), key=str)
+    assert got == sorted([(3, "y", 8, {"a": 2}), (3, "z", 9, None), (None, "n", 1, {"b": 1})], key=str)
+
+
+def test_measured_recall_of_bands():
+    """Pairs right at and above the threshold that share no band, for the shape of a million classes."""
+    rng, p = np.random.default_rng(9), embeddings.EmbeddingParams()
+    bits, n = p.shape(10**6)
+    bands = embeddings.Bands(p, bits, n)
+    for cosine, least in ((0.95, 0.99), (0.97, 0.999)):
+        a = rng.normal(size=(3000, 64))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b = rng.normal(size=a.shape)
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b = cosine * a + np.sqrt(1 - cosine**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        ka, kb = (bands.keys(bands.code(x)[0], 64) for x in (a, b))
+        assert (ka == kb).any(axis=1).mean() >= least
+
+
+def test_estimates_are_unbiased_and_bounded():
+    rng, p = np.random.default_rng(10), embeddings.EmbeddingParams()
+    bits, n = p.shape(1000)
+    bands = embeddings.Bands(p, bits, n)
+    a = rng.normal(size=(4000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.95 * a + np.sqrt(1 - 0.95**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    sign = np.unpackbits(bands.code(a)[0], axis=1)[:, :64] * 2.0 - 1
+    turned = bands.code(a)[1]
+    factor = np.abs(turned).sum(axis=1) / 8
+    guess = (sign / 8 * bands.code(b)[1]).sum(axis=1) / factor
+    slack = p.sigmas * np.sqrt((1 - factor**2) / 63) / factor
+    assert abs(guess.mean() - 0.95) < 0.005 and (guess + slack >= 0.95).mean() > 0.9995

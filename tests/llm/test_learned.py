@@ -114,3 +114,83 @@ def test_pipeline_on_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_scores_are_those_of_a_plain_reading_of_the_models(spark):
+    """A frozen model of each kind, applied in plain Python to every text."""
+    import math
+    import re
+
+    docs, labels = queries.table(spark, SF, "documents").select("doc_id", "text"), queries.table(spark, SF, "labels")
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for r in docs.collect():
+        words = re.findall(b"[a-z0-9\x80-\xff]+", (r.text or "").translate({c: c + 32 for c in range(65, 91)}).encode())
+        s = 0.0
+        for i, name in enumerate(model.words):
+            n = sum(w.startswith(name[1:]) if name[:1] == b" " else w == name for w in words)
+            s += sum(model.weights[3 * i + k] * x for k, x in enumerate((1.0, float(n > 1), math.log1p(100 * n / len(words)))) if n)
+        above = [1 / (1 + math.exp(t - s)) for t in model.thresholds]
+        assert abs(got[r.doc_id].severity - sum(above)) < 1e-9 and got[r.doc_id].toxic == (above[0] >= 0.5)
+    stats = quality.with_statistics(docs)
+    m = quality.fit(stats, labels)
+    scored = {r.doc_id: r.score for r in quality.score(stats, m, column="stats").collect()}
+    for r in stats.collect():
+        z = [min(6, max(-6, (x - a) / b)) for x, a, b in zip(r.stats, m.mean, m.sd)]
+        raw = m.weights[-1] + sum(w * math.sqrt(2 / len(m.phase)) * math.cos(sum(a * b for a, b in zip(z, m.freq[:, k])) + m.phase[k]) for k, w in enumerate(m.weights[:-1]))
+        x, y = m.knots
+        k = int(np.searchsorted(x, raw))
+        want = y[0] if k == 0 else y[-1] if k == len(x) else y[k - 1] + (y[k] - y[k - 1]) * (raw - x[k - 1]) / (x[k] - x[k - 1])
+        assert abs(scored[r.doc_id] - min(1, max(0, want))) < 1e-6
+
+
+def test_pipeline_stages_return_columns_of_any_name(spark):
+    shape = "doc_id long, text string, toxic string, score string, severity int, predicted int, n_words int, items int, component_id string, stats int, source string, m map<string,int>"
+    plain = [r.text for r in queries.table(spark, SF, "documents").where("lang = 'en'").orderBy("doc_id").limit(60).collect()]
+    rows = [(i if i % 9 else None, t, "no", "high", 1, 2, 3, 4, "c", 5, "s", {"a": i}) for i, t in enumerate([*plain, None, "", plain[0], plain[0], "word " * 200_000])]
+    docs = spark.createDataFrame(rows + [rows[1]], shape)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.schema.simpleString() == docs.schema.simpleString(), name
+        kept = got.collect()
+        assert {(r.toxic, r.score, r.severity, r.predicted, r.n_words, r["items"], r.component_id, r.stats) for r in kept} <= {("no", "high", 1, 2, 3, 4, "c", 5)}
+        assert {str(r) for r in kept} <= {str(r) for r in docs.collect()} and kept
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows) + 1
+
+
+def plain_pipeline(docs, labels, bench, spark):
+    """The stages in plain Python, but for the two models, which are fitted on each stage's input: ids kept, and words taken."""
+    from test_dedup import classes_of, plain_fingerprint
+    from test_text_operators import plain_judge
+
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, source string")
+    bad = {r.doc_id for r in toxicity.score(frame(docs), toxicity.fit(frame(docs), labels)).where("toxic").collect()}
+    docs = [d for d in docs if d[0] not in bad]
+    model = quality.fit(quality.with_statistics(frame(docs)), labels)
+    good = {r.doc_id for r in quality.score(frame(docs), model).where("score >= 0.7").collect()}
+    docs = sorted(d for d in docs if d[0] in good)
+    fps = [plain_fingerprint(d[1]) for d in docs]
+    roots = classes_of(len(docs), [(i, j) for i in range(len(docs)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2])
+    docs = [d for i, d in enumerate(docs) if roots[i] == i]
+    out = []
+    for d in docs:
+        n, hit, _, _ = plain_judge(d[1], bench)
+        if not (hit and 20 * hit >= n):
+            out.append(d)
+    return out
+
+
+def test_pipeline_against_brute_force(spark):
+    rows = [(r.doc_id, r.text, r.source) for r in queries.table(spark, "/root/testdata/sf0.001", "documents").collect()]
+    bench = [(str(r.item_id), r.text) for r in queries.table(spark, "/root/testdata/sf0.001", "benchmark").collect()]
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    want = plain_pipeline(rows, queries.table(spark, "/root/testdata/sf0.001", "labels"), bench, spark)
+    assert sorted(r.doc_id for r in got) == [d[0] for d in want]
+    from lattiq.llm import mixing
+
+    sizes = {}
+    for i, text, source in want:
+        sizes.setdefault(source, []).append(len([w for w in text.translate({c: 32 for c in (9, 10, 11, 12, 13)}).split(" ") if w]))
+    names = sorted(sizes)
+    for name, goal in zip(names, mixing.targets([sum(sizes[n]) for n in names])):
+        assert sum(r.taken for r in got if r.source == name) == int(goal)

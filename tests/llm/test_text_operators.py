@@ -348,3 +348,30 @@ def test_unwrapped_texts_keep_their_places():
         flat = licenses.unwrap(text)
         assert len(flat) == len(text) and all(f in (c, " ") for f, c in zip(flat, text))
     assert licenses.unwrap("one\ntwo.\n\n# x\n#\n# y") == "one two.\n\n  x\n \n  y"
+
+
+def test_mixing_counts_off_rows_alike(spark):
+    """A hot id, a hot text and repeated rows: the cut falls among rows of equal id and size."""
+    rows = [(7, "w " * 5, "a", 0, "x")] * 300 + [(7, f"{i} " * 5, "a", 0, "x") for i in range(100)] + [(i, "w w w", "b", 0, "x") for i in range(10)] + [(None, "x " * 3, "c", 0, "")] * 50
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    for got in (mixing.mix(docs).collect(), mixing.with_mixture(docs).collect()):
+        assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r["size"] for r in got)
+        for source in "abc":
+            mine = [r for r in got if r.source == source]
+            assert sum(r.taken for r in mine) == int(mine[0].target)
+    assert all(sum(len(m.text.split()) for m in r.mixture) == r.taken for r in mixing.with_mixture(docs).collect())
+
+
+def test_mixing_of_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "word " * 300_000, "a", 0, ""), (2, "b c", "b", 0, "")], DOCS)
+    got = {r.doc_id: r for r in mixing.with_mixture(docs).collect()}
+    assert got[1]["size"] == 300_000 and sum(len(m.text.split()) for m in got[1].mixture) == got[1].taken == int(got[1].target)
+
+
+def test_chats_with_repeats_nulls_and_other_columns(spark):
+    shape = "conv_id long, turn long, role string, text string, parts string, formatted string"
+    rows = [(1, None, "user", "late", "p", "f"), (1, 0, "user", "a", "p", "f"), (1, 0, "user", "a", "p", "f"), (None, 0, "assistant", "x" * 100_000, "p", "f"), (None, 1, None, None, "p", "f")]
+    out = {r.conv_id: r for r in chat.digests(chat.format_chats(chat.text_parts(spark.createDataFrame(rows, shape)))).collect()}
+    assert (out[1].n_turns, out[1].loss_chars) == (3, 0) and (out[None].n_turns, out[None].loss_chars) == (2, 100_000)
+    assert out[1].turns_sha256 == hashlib.sha256(b"user\nlate\nuser\na\nuser\na\n").hexdigest()
+    assert out[None].loss_sha256 == hashlib.sha256(b"x" * 100_000).hexdigest()
