@@ -82,14 +82,14 @@ def ranked(scores: DataFrame, digits: int = 9) -> DataFrame:
 def evaluate(scores: DataFrame, truth: DataFrame, missing: int = 50, ks: Sequence[int] = (1, 3, 5, 10), digits: int = 9) -> DataFrame:
     """One row: n, hit rates at k and mean reciprocal rank of truth (case, d); a truth not listed has rank ``missing``.
 
-    Ranks are those of ``ranked``: one more than the number of better rows of the case, so nothing is sorted. Cases
-    without any score are not counted."""
-    own = F.round("score", digits)
-    true = scores.join(truth.distinct(), ["case", "d"], "left_semi").select("case", F.col("d").alias("_t"), own.alias("_s"))
-    goal = truth.select("case", F.col("d").alias("_t")).distinct().join(true, ["case", "_t"], "left")
-    met = scores.select("case", "d", own.alias("score")).join(goal, "case")
-    better = F.count_if((F.col("score") > F.col("_s")) | ((F.col("score") == F.col("_s")) & (F.col("d") < F.col("_t"))))
-    r = met.groupBy("case", "_t", "_s").agg(better.alias("_n")).withColumn("rank", F.when(F.col("_s").isNull(), missing).otherwise(F.col("_n") + 1))
+    Ranks are those of ``ranked``: one more than the number of better rows of the case, counted in the case's list,
+    so nothing is sorted and the scores are computed once. Cases without any score are not counted."""
+    row = F.struct(F.round("score", digits).alias("s"), F.col("d"))
+    lists = scores.groupBy("case").agg(F.collect_list(row).alias("_all"))
+    x = lists.join(truth.select("case", F.col("d").alias("_t")).distinct(), "case")
+    x = x.withColumn("_own", F.array_max(F.transform(F.filter("_all", lambda v: v["d"] == F.col("_t")), lambda v: v["s"])))
+    better = F.size(F.filter("_all", lambda v: (v["s"] > F.col("_own")) | ((v["s"] == F.col("_own")) & (v["d"] < F.col("_t")))))
+    r = x.select(F.when(F.col("_own").isNull(), missing).otherwise(better + 1).alias("rank"))
     hits = [F.avg((F.col("rank") <= k).cast("double")).alias(f"at_{k}") for k in ks]
     return r.agg(F.count("*").alias("n"), *hits, F.avg(1 / F.col("rank")).alias("mrr"))
 
