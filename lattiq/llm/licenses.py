@@ -82,7 +82,7 @@ SENTENCES = {
     "cc0_waive": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
     "cc0_without": "This software is distributed without any warranty.",
     "cc0_notice": "Licensed under CC0 1.0.",
-    "wtfpl": "You just DO WHAT THE FUCK YOU WANT TO.",
+    "wtfpl": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",
     "cc_by_4": "Licensed under CC BY 4.0.",
     "cc_by_sa_4": "Licensed under CC BY-SA 4.0.",
     "cc_by_nc_4": "Licensed under CC BY-NC 4.0.",
@@ -199,7 +199,7 @@ class Scanner:
         whole = [(licence, tuple(self.known[s] for n in names for s in cut[n])) for licence, names in rules]
         self.rules = sorted(whole, key=lambda r: -len(r[1]))
         self.longest = max((len(s) for s in self.known), default=0)
-        self.anchors = sorted({max(s.split(), key=len) for s in self.known})  # a text without any holds no known sentence
+        self.anchors = sorted({max((w for n in names for s in cut[n] for w in s.split()), key=len) for _, names in rules})  # a text without any matches no rule
 
     def scan(self, text: str | None) -> list[tuple[str, int, int]]:
         """(licence, start, stop) of each match, in order."""
