@@ -122,19 +122,20 @@ def stop_step(traj: DataFrame, family: str, a: float, b: float = 0) -> DataFrame
 def stop_steps(traj: DataFrame, settings: list[tuple[str, float, float]]) -> DataFrame:
     """(case, family, a, b, stop) of all settings, in one pass over the trajectories.
 
-    traj: (case, step, top, top1, gap, entropy, asked, strong): strong is the number of candidates over the
-    narrowing score. Parameters: min_il (a: least step), confidence (a), entropy (a), info_gain (a, twice in a
-    row), rank_stability (a: steps), coverage (a: share of ten questions), narrowing (a: most), steady (a:
-    score, b: steps), next_question (a: relative fall)."""
+    traj: (case, step, top, top1, gap, entropy, asked, and strong or the arrays tops and scores of the ranking).
+    Parameters: min_il (a: least step), confidence (a), entropy (a), info_gain (a, twice in a row), rank_stability
+    (a: first ranks, b: steps; b 0: the first one, a steps), coverage (a: share of ten questions), narrowing (a: most
+    candidates of score b; b 0: most of ``strong``), steady (a: score, b: steps), next_question (a: relative fall)."""
     w = Window.partitionBy("case").orderBy("step")
     fall = F.lag("entropy").over(w) - F.col("entropy")
     frame = lambda n: w.rowsBetween(-(int(n) - 1), 0)
     run = lambda ok, n: (F.count("*").over(frame(n)) == int(n)) & (F.min(ok.cast("int")).over(frame(n)) == 1)
-    same = lambda n: (F.count("*").over(frame(n)) == int(n)) & (F.min("top").over(frame(n)) == F.max("top").over(frame(n)))
+    same = lambda n, c=F.col("top"): (F.count("*").over(frame(n)) == int(n)) & (F.min(c).over(frame(n)) == F.max(c).over(frame(n)))
+    first = lambda k: F.array_join(F.slice("tops", 1, int(k)), ",", "")
     rules = {
         "min_il": lambda a, b: (F.col("step") >= a) & ((F.col("top1") >= 0.30) | (F.col("gap") >= 0.005)), "confidence": lambda a, b: F.col("top1") >= a, "entropy": lambda a, b: F.col("entropy") < a,
-        "info_gain": lambda a, b: run(F.coalesce(F.col("_fall") < a, F.lit(False)), 2), "rank_stability": lambda a, b: same(a), "coverage": lambda a, b: F.col("asked") / 10 >= a,
-        "narrowing": lambda a, b: F.col("strong") <= a, "steady": lambda a, b: same(b) & run(F.col("top1") >= a, b),
+        "info_gain": lambda a, b: run(F.coalesce(F.col("_fall") < a, F.lit(False)), 2), "rank_stability": lambda a, b: same(b, first(a)) if b else same(a), "coverage": lambda a, b: F.col("asked") / 10 >= a,
+        "narrowing": lambda a, b: (F.size(F.filter("scores", lambda x: x >= b)) if b else F.col("strong")) <= a, "steady": lambda a, b: same(b) & run(F.col("top1") >= a, b),
         "next_question": lambda a, b: (F.col("step") >= 3) & F.coalesce(F.col("_fall") / F.nullif(F.col("_fall") + F.col("entropy"), F.lit(0.0)) < a, F.lit(False)),
     }
     marked = traj.withColumn("_fall", fall).select("case", "step", *[rules[f](a, b).alias(f"_r{i}") for i, (f, a, b) in enumerate(settings)])

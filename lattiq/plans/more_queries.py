@@ -35,29 +35,31 @@ def random_inquiry(s, sf):
     return dialogue.random_question(dialogue.candidates(Q._supplier_state(s, sf), Q._brand_edges(s, sf), 1)).select("case", "p")
 
 
-#: Stop families with the grids of their parameters, as in SURVEY Q8 (a, b).
+#: The stop families with the grids of their parameters (a, b).
 GRID = (
-    [("min_il", a, 0) for a in range(1, 21)] + [("confidence", a / 100, 0) for a in range(5, 100, 5)] + [("entropy", a / 10, 0) for a in range(1, 31, 2)]
-    + [("info_gain", a / 100, 0) for a in (1, 2, 3, 5, 8, 10, 15, 20, 30, 50)] + [("rank_stability", a, 0) for a in range(2, 11)] + [("coverage", a / 10, 0) for a in range(1, 11)]
-    + [("narrowing", a, 0) for a in range(1, 11)] + [("steady", a / 20, b) for a in (1, 2, 3, 4, 6, 8) for b in (2, 3, 4, 5)] + [("next_question", a / 100, 0) for a in range(1, 11)]
+    [("min_il", a, 0) for a in range(26)] + [("confidence", a, 0) for a in (0.10, 0.20, 0.30, 0.40, 0.50, 0.60, 0.70, 0.80, 0.90, 0.95, 0.99)]
+    + [("entropy", a, 0) for a in (0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0)] + [("info_gain", a, 0) for a in (0.001, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 1.0)]
+    + [("rank_stability", a, b) for a in (1, 3, 5) for b in (2, 3, 4, 5)] + [("coverage", a, 0) for a in (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0, 1.2, 1.5)]
+    + [("narrowing", a, b) for a in (1, 2, 3, 5, 7, 10) for b in (0.01, 0.05, 0.1)] + [("steady", a, b) for a in (0.2, 0.3, 0.4, 0.5, 0.6) for b in (2, 3, 4, 5)]
+    + [("next_question", a, 0) for a in (0.01, 0.02, 0.03, 0.05, 0.07, 0.1, 0.15, 0.2, 0.25, 0.3)]
 )
 
 _W = "WINDOW w AS (PARTITION BY \"case\" ORDER BY step)"
 
 
 def _rule(family: str, a: float, b: float) -> str:
-    """SQL of one setting over z (case, step, top, top1, gap, entropy, asked, strong, fall)."""
+    """SQL of one setting over z (case, step, top, top1, gap, entropy, asked, tops, scores, fall)."""
     last = lambda n: f"OVER (PARTITION BY \"case\" ORDER BY step ROWS BETWEEN {int(n) - 1} PRECEDING AND CURRENT ROW)"
-    same = lambda n: f"count(*) {last(n)} = {int(n)} AND min(top) {last(n)} = max(top) {last(n)}"
+    same = lambda n, c="top": f"count(*) {last(n)} = {int(n)} AND min({c}) {last(n)} = max({c}) {last(n)}"
     return {
         "min_il": f"step >= {a} AND (top1 >= 0.3 OR gap >= 0.005)", "confidence": f"top1 >= {a}", "entropy": f"entropy < {a}",
-        "info_gain": f"count(*) {last(2)} = 2 AND min(CAST(coalesce(fall < {a}, false) AS INT)) {last(2)} = 1", "rank_stability": same(a),
-        "coverage": f"asked / 10 >= {a}", "narrowing": f"strong <= {a}", "steady": f"{same(b)} AND min(CAST(top1 >= {a} AS INT)) {last(b)} = 1" if b else "",
+        "info_gain": f"count(*) {last(2)} = 2 AND min(CAST(coalesce(fall < {a}, false) AS INT)) {last(2)} = 1", "rank_stability": same(b or 1, f"array_to_string(tops[1:{int(a)}], ',')"),
+        "coverage": f"asked / 10 >= {a}", "narrowing": f"len(list_filter(scores, lambda x: x >= {b})) <= {a}", "steady": f"{same(b)} AND min(CAST(top1 >= {a} AS INT)) {last(b)} = 1" if b else "",
         "next_question": f"step >= 3 AND coalesce(fall / nullif(fall + entropy, 0) < {a}, false)",
     }[family]
 
 
-STOPS = f"""WITH {Q.EV}, tr AS (SELECT "case", step, top, value / 500 AS top1, value / 500 - 0.2 AS gap, 3 - value / 200 AS entropy, step AS asked, CAST(floor(value / 50) AS INT) AS strong FROM tj),
+STOPS = f"""WITH {Q.EV}, tr AS (SELECT "case", step, top, value / 500 AS top1, value / 500 - 0.2 AS gap, 3 - value / 200 AS entropy, step AS asked, [top, CASE WHEN value > 20 THEN 'x' ELSE 'y' END, CASE WHEN value > 50 THEN 'x' ELSE 'y' END, CASE WHEN value > 5 THEN 'x' ELSE 'y' END, CASE WHEN value > 80 THEN 'x' ELSE 'y' END] AS tops, list_transform(range(1, 13), lambda k: value / (500.0 * k * k)) AS scores FROM tj),
 z AS (SELECT *, lag(entropy) OVER w - entropy AS fall FROM tr {_W}), y AS (SELECT "case", step, {", ".join(f"{_rule(*g)} AS r{i}" for i, g in enumerate(GRID))} FROM z),
 f AS (SELECT "case", {", ".join(f"coalesce(min(step) FILTER (WHERE r{i}), max(step)) AS r{i}" for i in range(len(GRID)))} FROM y GROUP BY "case")
 """ + " UNION ALL ".join(f"SELECT '{f}' AS family, CAST({a} AS DOUBLE) AS a, CAST({b} AS DOUBLE) AS b, round(avg(r{i}), 6) AS mean_stop, max(r{i}) AS last_stop FROM f" for i, (f, a, b) in enumerate(GRID))
@@ -65,7 +67,10 @@ f AS (SELECT "case", {", ".join(f"coalesce(min(step) FILTER (WHERE r{i}), max(st
 
 @query(STOPS)
 def stop_settings(s, sf):
-    x = Q._trajectory(s, sf).select("case", "step", "top", (F.col("value") / 500).alias("top1"), (F.col("value") / 500 - 0.2).alias("gap"), (3 - F.col("value") / 200).alias("entropy"), F.col("step").alias("asked"), F.floor(F.col("value") / 50).alias("strong"))
+    v = F.col("value")
+    tops = F.array("top", *[F.when(v > n, "x").otherwise("y") for n in (20, 50, 5, 80)])
+    scores = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda k: v / (F.lit(500.0) * k * k))
+    x = Q._trajectory(s, sf).select("case", "step", "top", (v / 500).alias("top1"), (v / 500 - 0.2).alias("gap"), (3 - v / 200).alias("entropy"), F.col("step").alias("asked"), tops.alias("tops"), scores.alias("scores"))
     stops = dialogue.stop_steps(x, GRID)
     return rounded(stops.groupBy("family", "a", "b").agg(F.avg("stop").alias("mean_stop"), F.max("stop").alias("last_stop")), "mean_stop")
 
