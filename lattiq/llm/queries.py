@@ -67,7 +67,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
-def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of op9 does not depend on the trained model, for its SQL."""
     return op9_url_filter(spark, sf_dir).drop("verdict")
 
@@ -76,7 +76,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_matches", "licences")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_mix_sources, op4_simhash_dedup, op5_quality, op6_decontaminate, op7_token_counts, op8_format_chats, op9_url_filter, op9_url_rules, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_mix_sources, op4_simhash_dedup, op5_quality, op6_decontaminate, op7_token_counts, op8_format_chats, op9_url_filter, url_rules, op10_license_scan)}
 
 CHAT_ORACLE = """
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -90,4 +90,4 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-ORACLES = {"op2_embedding_dedup": embeddings.ORACLE, "op3_mix_sources": mixing.ORACLE, "op6_decontaminate": decontam.ORACLE, "op8_format_chats": CHAT_ORACLE, "op9_url_rules": urlfilter.oracle(), "op10_license_scan": licenses.oracle()}
+ORACLES = {"op2_embedding_dedup": embeddings.ORACLE, "op3_mix_sources": mixing.ORACLE, "op6_decontaminate": decontam.ORACLE, "op8_format_chats": CHAT_ORACLE, "url_rules": urlfilter.oracle(), "op10_license_scan": licenses.oracle()}
