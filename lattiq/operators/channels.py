@@ -131,15 +131,37 @@ def logistic_classifier(cases: DataFrame, truth: DataFrame, buckets: int = 1 <<
     return LogisticRegression(maxIter=rounds, regParam=1e-3).fit(x), x
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = 0.9, block: int = 4096, seed: int = 3) -> DataFrame:
-    """(a, b, cosine) of all pairs of rows (id, vec) with at least that cosine, a < b, exactly.
-
-    Rows are dealt into blocks of about ``block`` by a hash, and every two blocks meet in a task: a vector is
-    sent once for each block, and the work grows with the square of the rows."""
+def _units(vectors: DataFrame) -> DataFrame:
+    """(id, u): vectors scaled to length 1; those that are null, zero or hold null or NaN components have no row."""
     dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     x = vectors.select("id", F.transform("vec", lambda v: v.cast("double")).alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL")
-    x = x.withColumn("n", F.sqrt(dot(F.col("vec"), F.col("vec")))).where("n > 0 AND NOT isnan(n)").select("id", F.transform("vec", lambda v: v / F.col("n")).alias("u"))
-    x = materialize(x, "units")
+    x = x.withColumn("n", F.sqrt(dot(F.col("vec"), F.col("vec")))).where("n > 0 AND NOT isnan(n)")
+    return x.select("id", F.transform("vec", lambda v: v / F.col("n")).alias("u"))
+
+
+def _spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of a spanning forest of the marked pairs: as many links as connect what they connect."""
+    turned, left, right = np.ascontiguousarray(near.T), near.any(axis=1), near.any(axis=0)
+    rows, cols = [np.empty(0, int)], [np.empty(0, int)]
+    for start in np.flatnonzero(left):
+        front = np.array([start]) if left[start] else np.empty(0, int)
+        left[front] = False
+        while front.size:
+            reach = near[front] & right
+            new = np.flatnonzero(reach.any(axis=0))
+            rows.append(front[reach[:, new].argmax(axis=0)]), cols.append(new)
+            right[new] = False
+            back = turned[new] & left
+            front = np.flatnonzero(back.any(axis=0))
+            rows.append(front), cols.append(new[back[:, front].argmax(axis=0)] if front.size else front)
+            left[front] = False
+    return np.concatenate(rows), np.concatenate(cols)
+
+
+def _meet(units: DataFrame, threshold: float, block: int, seed: int, forest: bool) -> DataFrame:
+    """(a, b, cosine) with a < b of rows (id, u) with at least that cosine; forest: of each two blocks, only links
+    enough to connect what they connect. Every two blocks meet in a task, so a vector is sent once for each block."""
+    x = materialize(units, "units")
     n = max(1, -(-x.count() // block))
     x = x.withColumn("own", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int"))
     left = x.select(F.col("id").alias("a"), F.col("u").alias("ua"), F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.lit(n - 1))).alias("j"))
@@ -151,7 +173,7 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.9, block: int = 4096,
         for size in set(l.ua.map(len)) & set(r.ub.map(len)) if len(l) and len(r) else ():
             p, q = l[l.ua.map(len) == size], r[r.ub.map(len) == size]
             c = np.stack(p.ua) @ np.stack(q.ub).T
-            at = np.nonzero(c >= threshold)
+            at = _spanning(c >= threshold) if forest else np.nonzero(c >= threshold)
             found.append(pd.DataFrame({"a": p.a.to_numpy()[at[0]], "b": q.b.to_numpy()[at[1]], "cosine": c[at]}))
         return pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "cosine": []})
 
@@ -159,18 +181,36 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.9, block: int = 4096,
     return met.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("cosine").alias("cosine"))
 
 
-def canonical_ids(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float = 0.9, block: int = 4096, seed: int = 3) -> DataFrame:
+    """(a, b, cosine) of all pairs of rows (id, vec) with at least that cosine, a < b, exactly.
+
+    Rows are dealt into blocks of about ``block`` by a hash, and every two blocks meet in a task: a vector is
+    sent once for each block, and the work grows with the square of the rows."""
+    return _meet(_units(vectors), threshold, block, seed, False)
+
+
+def canonical_ids(vectors: DataFrame, threshold: float = 0.9, block: int = 4096, seed: int = 3) -> DataFrame:
     """(id, canonical) for every id of rows (id, vec): the smallest id that a chain of similar pairs reaches.
 
-    Each round an id takes the least label among its neighbours, then that label's own label, until none
-    changes; an id without a usable vector stands for itself."""
-    pairs = materialize(similar_pairs(vectors, threshold).select("a", "b"), "pairs")
+    Rows of one direction are a class, named by its smallest id, and only classes are compared; each two blocks
+    of them give a spanning forest of their links, so groups of copies or near copies make no square of rows.
+    Each round a class takes the least label among its neighbours, then that label's own label, until none
+    changes; an id of several vectors links their classes, one without a usable vector stands for itself."""
+    units = materialize(_units(vectors), "units")
+    classes = materialize(units.groupBy("u").agg(F.min("id").alias("id")), "classes")
+    member = materialize(units.join(classes.withColumnRenamed("id", "rep"), "u").select("id", "rep").distinct(), "members")
+    low = member.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
+    several = member.join(low.where("low < high"), "id").select(F.col("low").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    pairs = materialize(_meet(classes, threshold, block, seed, True).select("a", "b").unionByName(several).distinct(), "pairs")
     both = materialize(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    label = materialize(vectors.where("id IS NOT NULL").select("id", F.col("id").alias("canonical")).distinct(), "labels")
+    label = materialize(classes.select("id", F.col("id").alias("canonical")).distinct(), "labels")
     while True:
         least = both.join(label.toDF("b", "near"), "b").groupBy("a").agg(F.min("near").alias("near"))
         step = materialize(label.join(least.withColumnRenamed("a", "id"), "id", "left").select("id", F.col("canonical").alias("old"), F.least("canonical", "near").alias("canonical")), "step")
         after = materialize(step.join(step.select(F.col("id").alias("canonical"), F.col("canonical").alias("next")), "canonical").select("id", "old", F.col("next").alias("canonical")), "labels")
         label = after.select("id", "canonical")
         if after.where("canonical <> old").isEmpty():
-            return label
+            break
+    found = low.join(label.toDF("low", "canonical"), "low").select("id", "canonical")
+    every = vectors.where("id IS NOT NULL").select("id").distinct()
+    return every.join(found, "id", "left").select("id", F.coalesce("canonical", "id").alias("canonical"))

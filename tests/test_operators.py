@@ -201,6 +201,34 @@ def test_similar_pairs_and_canonical_ids_are_exact(spark):
             root[a] = root[b] = min(root[a], root[b])
     assert {r.id: r.canonical for r in channels.canonical_ids(df, 0.8).collect()} == root
     assert channels.canonical_ids(df.limit(0)).count() == 0
+    assert {r.id: r.canonical for r in channels.canonical_ids(df, 0.8, block=50).collect()} == root
+
+
+def test_canonical_ids_of_copies_and_of_an_id_with_several_vectors(spark):
+    rng = np.random.default_rng(6)
+    a, b, c = np.eye(3)
+    rows = [(i, v.tolist()) for i, v in zip(range(400), [a * (1 + i % 4) for i in range(150)] + [a + rng.normal(size=3) * 1e-3 for _ in range(150)] + [b] * 100)]
+    rows += [(900, c.tolist()), (901, c.tolist()), (901, b.tolist()), (902, [0.0] * 3), (902, c.tolist()), (903, [float("nan")] * 3)]
+    got = {r.id: r.canonical for r in channels.canonical_ids(spark.createDataFrame(rows, "id long, vec array<double>"), 0.95, block=64).collect()}
+    want = {i: 0 if i < 300 else 300 for i in range(400)} | {900: 300, 901: 300, 902: 300, 903: 903}
+    assert got == want
+
+
+def test_spanning_forest_connects_what_all_links_connect():
+    rng = np.random.default_rng(1)
+    for density in (0.0, 0.01, 0.05, 0.5, 1.0):
+        near = rng.random((40, 30)) < density
+        rows, cols = channels._spanning(near)
+        assert near[rows, cols].all()
+
+        def parts(pairs):
+            root = list(range(70))
+            for i, j in list(pairs) * 70:
+                root[i] = root[30 + 10 + j] = min(root[i], root[30 + 10 + j])
+            return root
+
+        full, some = parts(zip(*np.nonzero(near))), parts(zip(rows, cols))
+        assert full == some and len(rows) == 70 - len(set(full))
 
 
 def test_model_boundary(spark):
