@@ -209,3 +209,65 @@ def annotation_round_trip(s, sf):
 
 def readers_back(s, tasks: DataFrame) -> DataFrame:
     return stores.read_tasks(s.read.text(as_text(s, tasks, "tasks")))
+
+
+#: Part k tells of disease k mod 30, of which 25 are known, and of the finding of its size, of which 40 are known; part k goes to family k mod 9.
+FAMILIES = """WITH x AS (SELECT p_partkey AS k, p_partkey % 9 AS f, p_partkey % 30 AS i, p_size AS z, p_partkey % 7 AS r FROM part), y AS (SELECT * FROM x WHERE i < 25 AND z <= 40)
+SELECT DISTINCT ['conditions', 'predications', 'relations', 'knowledge base', 'symptom network', 'statements', 'network', 'phenotype graph', 'mapping'][f + 1] AS family, 'C9' || i AS d, 'C1' || (1000 + z) AS p FROM y
+WHERE (f <> 1 OR r < 5) AND (f <> 7 OR r > 1) UNION ALL SELECT DISTINCT 'annotations', 'C9' || i, 'C1' || (1000 + z) FROM y WHERE r <> 3"""
+
+
+def _universe(s):
+    """(codes, names, terms, diseases, findings) of the families' fixture: 30 diseases and 50 findings."""
+    i, z = s.range(30).select(F.col("id").cast("string").alias("i")), s.range(1, 51).select(F.col("id").cast("string").alias("z"))
+    d, p = F.concat(F.lit("C9"), "i"), F.concat(F.lit("C1"), (F.col("z") + 1000).cast("int").cast("string"))
+    row = lambda df, scheme, code, c: df.select(F.lit(scheme).alias("scheme"), code.alias("code"), c.alias("concept"))
+    codes = row(z, "evidence", F.concat(F.lit("E_"), "z"), p)
+    for more in (row(z, "mesh", F.concat(F.lit("D1"), "z"), p), row(i, "mesh", F.concat(F.lit("D9"), "i"), d), row(z, "hpo", F.concat(F.lit("HP:"), F.lpad("z", 7, "0")), p), row(i.where("i % 2 = 0"), "doid", F.concat(F.lit("DOID:"), "i"), d)):
+        codes = codes.unionByName(more)
+    names = i.select(F.concat(F.lit("Disease no "), "i").alias("name"), d.alias("concept"))
+    terms = i.select(F.concat(F.lit("DOID:"), "i").alias("code"), F.concat(F.lit("disease NO "), "i", F.lit(" ")).alias("name"))
+    return codes, names, terms, i.where("i < 25").select(d.alias("x")), z.where("z <= 40").select(p.alias("x"))
+
+
+@query(FAMILIES)
+def external_families(s, sf):
+    from lattiq.sources import external
+
+    codes, names, terms, diseases, findings = _universe(s)
+    k = F.col("p_partkey")
+    x = t(s, sf, "part").select(k.alias("k"), (k % 9).alias("f"), (k % 30).cast("string").alias("i"), F.col("p_size").cast("string").alias("z"), (k % 7).alias("r"))
+    x = x.withColumns({"d": F.concat(F.lit("C9"), "i"), "p": F.concat(F.lit("C1"), (F.col("z") + 1000).cast("int").cast("string")), "name": F.concat(F.lit("Disease No "), "i")})
+    swap = F.col("k") % 2 == 0
+    one, two = F.when(swap, F.col("p")).otherwise(F.col("d")), F.when(swap, F.col("d")).otherwise(F.col("p"))
+    text = lambda v: F.lit(v)
+
+    def lines(f, line, name, head=None):
+        rows = x.where(F.col("f") == f if f is not None else "true").select(line.alias("value"))
+        if head:  # a header opens each file, so these small files are one
+            rows = s.createDataFrame([(head,)], "value string").unionByName(rows).coalesce(1)
+        return as_text(s, rows, name)
+
+    seven = F.when(F.col("r") > 1, "phenotype present").otherwise("phenotype absent")
+    sides = [F.when(swap, a).otherwise(b) for a, b in ((text("disease"), text("effect")), (F.col("name"), text("f")), (F.col("i"), F.col("z")), (text("effect"), text("disease")), (text("f"), F.col("name")), (F.col("z"), F.col("i")))]
+    own = F.when(F.col("k") % 4 < 2, F.col("d")).otherwise("")
+    g = x.where("f = 0").select("name", F.concat(F.lit("E_"), "z").alias("e"), swap.alias("s")).groupBy("name").agg(F.collect_set(F.when(F.col("s"), F.col("e"))).alias("a"), F.collect_set(F.when(~F.col("s"), F.col("e"))).alias("b"))
+    obj = lambda c: F.concat(F.lit("{"), F.array_join(F.transform(c, lambda v: F.concat(F.lit('"'), v, F.lit('":{}'))), ","), F.lit("}"))
+    conditions = g.agg(F.concat(F.lit("{"), F.array_join(F.collect_list(F.concat(F.lit('"'), "name", F.lit('":{"symptoms":'), obj("a"), F.lit(',"antecedents":'), obj("b"), F.lit("}"))), ","), F.lit("}")).alias("value"))  # 30 names
+    found = {
+        "conditions": external.condition_edges(s, as_text(s, conditions.coalesce(1), "conditions"), names.join(diseases, names.concept == diseases.x, "left_semi"), codes.where(F.col("scheme") == "evidence").join(findings, codes.concept == findings.x, "left_semi")),
+        "predications": external.predication_edges(s, lines(1, F.concat_ws(",", text("1"), text("2"), text("3"), F.when(F.col("r") < 5, "CAUSES").otherwise("ISA"), one, text('"a, ""b"""'), text("t"), text("1"), two, text("n"), text("t"), text("1")), "predications"), diseases, findings),
+        "relations": external.relation_edges(s, lines(2, F.concat_ws("|", one, text("a"), text("s"), text("RO"), two, *[text("")] * 12), "relations"), diseases, findings),
+        "knowledge base": external.knowledge_base_edges(s, lines(3, F.concat(F.lit("UMLS:"), one, F.lit("_x,3,UMLS:"), two, F.lit("_y")), "base"), diseases, findings),
+        "symptom network": external.symptom_network_edges(s, lines(4, F.concat_ws("\t", text("a"), text("b"), text("c"), text("d"), F.concat(F.lit("D9"), "i"), F.concat(F.lit("D1"), "z")), "network"), codes, diseases, findings),
+        "statements": external.statement_edges(s, lines(5, F.concat_ws(",", own, F.concat(F.lit("D1"), "z"), F.when(own != "", F.col("p")).otherwise(""), F.concat(F.lit("D9"), "i")), "statements", "disease_umls,symptom_mesh,symptom_umls,disease_mesh"), codes, diseases, findings),
+        "network": external.network_edges(s, lines(6, F.concat(F.lit("Disease::DOID:"), "i", F.lit("\tDpS\tSymptom::D1"), "z"), "edges"), codes, terms, names, diseases, findings),
+        "phenotype graph": external.phenotype_graph_edges(s, lines(7, F.concat_ws(",", seven, *sides), "graph", "display_relation,x_type,x_name,x_id,y_type,y_name,y_id"), codes, names, diseases, findings),
+        "mapping": external.mapping_edges(s, lines(8, F.concat_ws("|", "d", text("o"), text("n"), text("h"), "p", text("t"), text("")), "mapping", "#OMIM_CUI|MIM|name|HPO_ID|HPO_CUI|term|"), diseases, findings),
+        "annotations": external.annotation_edges(s, lines(None, F.concat_ws("\t", text("OMIM:1"), "name", F.when(F.col("r") == 3, "NOT").otherwise(""), F.concat(F.lit("HP:"), F.lpad("z", 7, "0"))), "annotated", "#comment"), codes, names, diseases, findings),
+    }
+    out = None
+    for family, edges in found.items():
+        part = edges.select(F.lit(family).alias("family"), "d", "p")
+        out = part if out is None else out.unionByName(part)
+    return out
