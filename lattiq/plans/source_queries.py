@@ -26,7 +26,7 @@ def as_text(s, lines: DataFrame, name: str) -> str:
 
 
 def as_file(s, content: bytes, name: str) -> str:
-    """The path of one small file of a given name."""
+    """The path of a folder with one small file of a given name."""
     path = fresh_path(s, "fixture")
     fs, inside = pafs.FileSystem.from_uri(path)
     fs.create_dir(inside, recursive=True)
@@ -271,3 +271,75 @@ def external_families(s, sf):
         part = edges.select(F.lit(family).alias("family"), "d", "p")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def _articles_xml(rows) -> str:
+    parts = "".join(f'<PubmedArticle><PMID>{k}</PMID><ArticleTitle>On <i>{n}</i></ArticleTitle><AbstractText Label="AIM">{n.upper()}</AbstractText><AbstractText>end {g}</AbstractText></PubmedArticle>' for k, n, g in rows)
+    return f"<Set>{parts}<PubmedArticle><PMID>0</PMID></PubmedArticle></Set>"
+
+
+@query("SELECT r_name AS query, CAST(n_nationkey AS VARCHAR) AS pmid, 'On ' || n_name AS title, 'AIM: ' || upper(n_name) || ' end ' || n_regionkey AS text FROM nation JOIN region ON r_regionkey = n_regionkey")
+def abstract_search(s, sf):
+    s.dataSource.register(crawl.AbstractSource)
+    rows = t(s, sf, "nation").join(t(s, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).orderBy("n_nationkey").collect()  # 25 rows
+    groups: dict[str, list] = {}
+    for r in rows:
+        groups.setdefault(r.r_name, []).append((str(r.n_nationkey), r.n_name, r.n_regionkey))
+    web = {}
+    for name, hits in groups.items():
+        web[crawl.address("search", db="pubmed", term=name, retmax="50", sort="relevance", retmode="json")] = json.dumps({"esearchresult": {"idlist": [h[0] for h in hits]}})
+        for k in range(0, len(hits), 2):
+            web[crawl.address("fetch", db="pubmed", id=",".join(h[0] for h in hits[k : k + 2]), retmode="xml")] = _articles_xml(hits[k : k + 2])
+    options = {"queries": json.dumps([*groups, "unknown"]), "search": "search", "fetch": "fetch", "retmax": "50", "batch": "2", "fixture": json.dumps(web)}
+    return s.read.format("abstracts").options(**options).load()
+
+
+@query("""WITH x AS (SELECT n_nationkey AS d, n_name AS term, n_nationkey % 3 AS k FROM nation)
+SELECT d, 'topic' AS kind, CASE WHEN k > 0 THEN 'ok' ELSE 'none' END AS status, CASE WHEN k > 0 THEN term END AS title, CASE WHEN k > 0 THEN sha256('<r><document>' || term || '</document></r>') END AS sha256 FROM x
+UNION ALL SELECT d, 'encyclopedia', CASE WHEN k <> 1 THEN 'ok' ELSE 'none' END, CASE WHEN k <> 1 THEN upper(term) END, CASE WHEN k <> 1 THEN sha256('{"query": {"pages": {"' || (d + 1) || '": {"pageid": ' || (d + 1) || ', "title": "' || upper(term) || '"}}}}') END FROM x
+UNION ALL SELECT d, 'book', 'ok', 'About ' || term || ' ' || i, sha256('<p>NBK' || d || '_' || i || '</p>') FROM x, (SELECT unnest([1, 2]) AS i) WHERE k <= 1 AND length(term) > 4 UNION ALL SELECT d, 'book', 'none', NULL, NULL FROM x WHERE NOT (k <= 1 AND length(term) > 4)""")
+def crawled_manifest(s, sf):
+    at = {"book": {"search": "bs", "summary": "bm", "page": "bp", "collection": "c"}, "topic": {"search": "ts"}, "encyclopedia": {"search": "es"}}
+    n = t(s, sf, "nation").orderBy("n_nationkey").collect()  # 25 rows
+    web = {}
+    for d, term in ((r.n_nationkey, r.n_name) for r in n):
+        web[crawl.address("ts", db="healthTopics", term=term, retmax=3)] = f"<r><document>{term}</document></r>" if d % 3 else "<r></r>"
+        page = {"pageid": d + 1, "title": term.upper()} if d % 3 != 1 else {"missing": ""}
+        web[crawl.address("es", action="query", format="json", titles=term, prop="extracts|info|revisions", explaintext=1, rvprop="ids|timestamp", redirects=1)] = json.dumps({"query": {"pages": {str(d + 1): page}}})
+        web[crawl.address("bs", db="books", term=f"{term}[title] AND c[book]", retmode="json")] = json.dumps({"esearchresult": {"idlist": [f"{d}1", f"{d}2", f"{d}3", f"{d}4"]}})
+        item = lambda i: {"title": f"About {term} {i}" if d % 3 <= 1 and len(term) > 4 else "Other", "chapteraccessionid": f"NBK{d}_{i}"}  # noqa: B023, E731
+        web[crawl.address("bm", db="books", id=f"{d}1,{d}2,{d}3,{d}4", retmode="json")] = json.dumps({"result": {f"{d}1": item(1), f"{d}2": item(1), f"{d}3": {"title": "Unlike"}, f"{d}4": item(2)}})
+        web |= {f"bp/NBK{d}_{i}/": f"<p>NBK{d}_{i}</p>" for i in (1, 2)}
+    targets = t(s, sf, "nation").select(F.col("n_nationkey").alias("d"), F.explode(F.array(*[F.lit(k) for k in at])).alias("kind"), F.col("n_name").alias("term"))
+    path = fresh_path(s, "manifest")
+    stores.append_new(crawl.crawl_pages(targets.where("d < 9"), at, web.get), path, ["d", "kind", "url"])  # as if it had stopped there
+    stores.append_new(crawl.crawl_pages(crawl.pending(targets, s.read.parquet(path)), at, web.get), path, ["d", "kind", "url"])
+    return s.read.parquet(path).select("d", "kind", "status", "title", "sha256")
+
+
+@query("SELECT p_partkey, p_name, p_retailprice AS price, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size END AS size FROM part")
+def row_store(s, sf):
+    import sqlite3
+    import tempfile
+
+    rows = t(s, sf, "part").select("p_partkey", "p_name", F.col("p_retailprice").cast("double"), F.when(F.col("p_size") % 3 != 0, F.col("p_size"))).toLocalIterator()
+    with tempfile.TemporaryDirectory() as own:  # the driver builds one small file and puts it into the shared folder
+        db = sqlite3.connect(f"{own}/db")
+        db.execute('CREATE TABLE "an item" (p_partkey INTEGER, p_name TEXT, price REAL, size INTEGER)')
+        db.executemany('INSERT INTO "an item" VALUES (?, ?, ?, ?)', rows)
+        db.commit(), db.close()
+        with open(f"{own}/db", "rb") as f:
+            path = as_file(s, f.read(), "items.db") + "/items.db"
+    s.dataSource.register(stores.RowStore)
+    return s.read.format("row_store").schema("p_partkey bigint, p_name string, price double, size bigint").option("path", path).option("table", "an item").option("partitions", "5").load()
+
+
+@query("""WITH w AS (SELECT n_name AS d, lower(word) AS word FROM (SELECT n_name, unnest(['the', substr(n_name, 1, 4), 'thing']) AS word FROM nation WHERE n_nationkey < 5) WHERE length(word) >= 4), x AS (SELECT * FROM documents WHERE length(text) > 200),
+h AS (SELECT n_name AS d, doc_id, 0 AS stage FROM x JOIN nation ON n_nationkey < 5 AND doc_id % 40 = n_nationkey), k AS (SELECT d, doc_id, 1 AS stage FROM x JOIN w ON regexp_matches(lower(text), '(^|[^\\p{L}])' || word || '([^\\p{L}]|$)')),
+g AS (SELECT d, doc_id, min(stage) AS stage FROM (SELECT * FROM h UNION ALL SELECT * FROM k) GROUP BY ALL)
+SELECT d, CAST(doc_id AS VARCHAR) AS pmid, stage FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY stage, md5(doc_id || ':42'), CAST(doc_id AS VARCHAR)) AS r FROM g) WHERE r <= 30""")
+def abstract_selection(s, sf):
+    n = t(s, sf, "nation").where("n_nationkey < 5")
+    store = t(s, sf, "documents").select(F.col("doc_id").cast("string").alias("pmid"), F.lit(None).cast("string").alias("title"), "text", F.array((F.col("doc_id") % 40).cast("string")).alias("mesh"))
+    words = n.select(F.col("n_name").alias("d"), F.explode(F.array(F.lit("the"), F.substring("n_name", 1, 4), F.lit("thing"))).alias("word"))
+    return stores.select_abstracts(store, n.select(F.col("n_name").alias("d"), F.col("n_nationkey").cast("string").alias("mesh")), words, 30).select("d", "pmid", "stage")

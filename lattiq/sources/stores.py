@@ -4,13 +4,23 @@ from __future__ import annotations
 
 import gzip
 import io
+import os
+import shutil
+import sqlite3
+import tempfile
+import urllib.parse
 import zipfile
 from collections.abc import Iterator
+from contextlib import closing, contextmanager
 from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from lattiq.operators.linking import match_dictionary
 
 
 def write_graph(edges: DataFrame, path: str) -> dict[str, int]:
@@ -90,3 +100,66 @@ def keyword_sample(articles: DataFrame, words: list[str], n: int, seed: int = 42
     for w in words:
         hit = hit | F.lower("text").contains(w.lower()) | F.array_contains("mesh", w)
     return articles.where(hit).orderBy(F.md5(F.concat_ws(":", "pmid", F.lit(str(seed)))), "pmid").limit(n)
+
+
+class RowStore(DataSource):
+    """``spark.read.format("row_store").schema(...)``: a table of a SQLite file by ranges of its row numbers.
+
+    Options ``path`` (any path that Spark's file systems or pyarrow know), ``table``, ``partitions``. Columns are
+    those of the schema. A file on a mounted path is opened in place, read only; another is copied by each task."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "row_store"
+
+    def reader(self, schema) -> DataSourceReader:
+        return RowReader(self.options, schema.fieldNames())
+
+
+class RowReader(DataSourceReader):
+    def __init__(self, options, columns: list[str]) -> None:
+        self.path, self.table, self.parts, self.columns = options["path"], _quoted(options["table"]), int(options.get("partitions", "16")), columns
+
+    def partitions(self) -> list[InputPartition]:
+        with _opened(self.path) as db:
+            low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {self.table}").fetchone()
+        if low is None:
+            return [InputPartition((0, 0))]
+        cuts = sorted({low + (high + 1 - low) * i // self.parts for i in range(self.parts + 1)})
+        return [InputPartition(c) for c in zip(cuts, cuts[1:])]
+
+    def read(self, partition: InputPartition):
+        with _opened(self.path) as db:
+            yield from db.execute(f"SELECT {', '.join(map(_quoted, self.columns))} FROM {self.table} WHERE rowid >= ? AND rowid < ?", partition.value)
+
+
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+@contextmanager
+def _opened(path: str):
+    fs, inside = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{urllib.parse.quote(os.path.abspath(path))}")
+    with tempfile.TemporaryDirectory() as own:
+        if fs.type_name != "local":
+            with fs.open_input_stream(inside) as source, open(f"{own}/db", "wb") as copy:
+                shutil.copyfileobj(source, copy)
+            inside = f"{own}/db"
+        with closing(sqlite3.connect(f"file:{urllib.parse.quote(inside)}?mode=ro&immutable=1", uri=True)) as db:
+            yield db
+
+
+def select_abstracts(store: DataFrame, headings: DataFrame, words: DataFrame, n: int, least: int = 200, seed: int = 42) -> DataFrame:
+    """(d, pmid, text, stage): at most n abstracts of over ``least`` characters for each disease, of store (pmid, title, text, mesh array).
+
+    Those under a heading (d, mesh) come first, then those whose title or text has a word (d, word) in any case, as a
+    whole word; in a stage a hash of the pmid draws. Words are found by one pass of an automaton over the store."""
+    x = store.where(F.length("text") > least)
+    headed = x.select("pmid", F.explode("mesh").alias("mesh")).join(headings.select("d", "mesh").distinct(), "mesh").select("d", "pmid", F.lit(0).alias("stage"))
+    w = words.select("d", F.lower("word").alias("name")).distinct()
+    both = x.select(F.col("pmid").alias("doc_id"), F.concat_ws("\n", "title", "text").alias("text"))
+    hits = match_dictionary(both, w.select("name", F.col("name").alias("code"))).select(F.col("doc_id").alias("pmid"), "name").distinct()
+    found = headed.unionByName(hits.join(w, "name").select("d", "pmid", F.lit(1).alias("stage"))).groupBy("d", "pmid").agg(F.min("stage").alias("stage"))
+    draw = F.md5(F.concat_ws(":", F.col("pmid").cast("string"), F.lit(str(seed))))
+    kept = found.withColumn("_r", F.row_number().over(Window.partitionBy("d").orderBy("stage", draw, "pmid"))).where(F.col("_r") <= n).drop("_r")
+    return x.select("pmid", "text").join(kept, "pmid").select("d", "pmid", "text", "stage")

@@ -130,3 +130,43 @@ def test_dialogue_state(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.case: r.asked for r in seen} == {"a": 2, "b": 1}
+
+
+def test_articles_as_xml_and_broken_answers():
+    xml = '<Set><PubmedArticle><PMID>1</PMID><ArticleTitle> A <i>b</i> c</ArticleTitle><AbstractText Label="AIM">x <b>y</b></AbstractText><AbstractText>z</AbstractText></PubmedArticle><PubmedArticle><PMID>2</PMID></PubmedArticle></Set>'
+    assert crawl.parse_articles(xml) == [("1", "A b c", "AIM: x y z")]
+    assert crawl.parse_articles("<broken") == crawl.parse_articles(None) == []
+    assert crawl.parse_ids('{"esearchresult": {"idlist": [1, "2"]}}') == ["1", "2"]
+    assert crawl.parse_ids("no json") == crawl.parse_ids("[]") == crawl.parse_ids(None) == []
+
+
+def test_pages_of_sites_that_fail(spark):
+    at = {"book": {"search": "s", "summary": "m", "page": "p", "collection": "c"}, "topic": {"search": "t"}, "encyclopedia": {"search": "e"}}
+    targets = spark.createDataFrame([(1, k, "heart") for k in at], "d long, kind string, term string")
+    for answer in (None, "", "<x", "{}", "[]"):
+        got = crawl.crawl_pages(targets, at, lambda url, a=answer: a).collect()
+        assert [(r.status, r.url, r.sha256) for r in got] == [("none", None, None)] * 3
+    assert crawl.pending(targets, spark.createDataFrame([(1, "topic")], "d long, kind string")).count() == 2
+
+
+def test_row_store_with_gaps_and_without_rows(spark, tmp_path):
+    import sqlite3
+
+    spark.dataSource.register(stores.RowStore)
+    db = sqlite3.connect(tmp_path / "a b.db")
+    db.execute("CREATE TABLE t (k INTEGER PRIMARY KEY, v TEXT)")
+    db.execute("CREATE TABLE none (k INTEGER, v TEXT)")
+    db.executemany("INSERT INTO t VALUES (?, ?)", [(-5, "a"), (0, None), (10**12, "z")])
+    db.commit(), db.close()
+    read = lambda table: spark.read.format("row_store").schema("k bigint, v string").option("path", str(tmp_path / "a b.db")).option("table", table).load()
+    assert sorted(map(tuple, read("t").collect())) == [(-5, "a"), (0, None), (10**12, "z")]
+    assert read("none").count() == 0
+
+
+def test_edges_either_way_round(spark):
+    from lattiq.sources import external
+
+    x = lambda *v: spark.createDataFrame([(i,) for i in v], "x string")
+    pairs = spark.createDataFrame([("p", "d"), ("d", "q"), ("b", "d"), ("d", "b"), ("p", "p"), ("z", "d"), (None, "d")], "a string, b string")
+    got = {tuple(r) for r in external.oriented(pairs, x("d", "b"), x("p", "q", "b")).collect()}
+    assert got == {("d", "p"), ("d", "q"), ("d", "b")}
