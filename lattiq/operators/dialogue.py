@@ -195,3 +195,61 @@ def run_rounds(truth: DataFrame, chief: DataFrame, edges: DataFrame, rounds: int
         answered = ask.join(facts, ["case", "p"], "left").select("case", "p", F.coalesce("_t", F.lit(False)).alias("yes"))
         state = materialize(state.unionByName(answered), f"round{i}")
     return state
+
+
+#: The variants of candidate generation: (weigh by shared findings, leave out diseases with denied findings, antecedents last).
+VARIANTS = {"cooccur": (True, True, True), "coverage_only": (False, False, True), "cooccur_no_deny_filter": (True, False, True), "coverage_no_antecedent": (False, False, False)}
+
+
+def candidates_by(variant: str, state: DataFrame, edges: DataFrame, antecedents: DataFrame, k: int = 10, denied: int = 5) -> DataFrame:
+    """(case, p, coverage, shared, rank): the k best candidates by a variant of ``VARIANTS``.
+
+    coverage: diseases in reach that have the finding; shared: confirmed findings that those diseases have between
+    them. A variant orders by coverage or by their product; some drop diseases with ``denied`` denied findings or
+    more, some put antecedents (p) last. Ties go to the smaller p."""
+    together, drop, last = VARIANTS[variant]
+    e = edges.select("d", "p").distinct()
+    hits = state.where("yes").select("case", "p").distinct().join(e, "p").select("case", "d", F.col("p").alias("_c"))
+    if drop:
+        out = state.where("NOT yes").select("case", "p").distinct().join(e, "p").groupBy("case", "d").agg(F.count("*").alias("_n")).where(F.col("_n") >= denied)
+        hits = hits.join(out, ["case", "d"], "left_anti")
+    x = hits.join(e, "d").join(state.select("case", "p").distinct(), ["case", "p"], "left_anti")
+    n = x.groupBy("case", "p").agg(F.count_distinct("d").alias("coverage"), F.count_distinct("_c").alias("shared"))
+    n = n.join(antecedents.select("p", F.lit(1).alias("_a")).distinct(), "p", "left").withColumn("_a", F.coalesce("_a", F.lit(0)) if last else F.lit(0))
+    value = F.col("coverage") * F.col("shared") if together else F.col("coverage")
+    return n.withColumn("rank", F.row_number().over(Window.partitionBy("case").orderBy("_a", value.desc(), "p"))).where(F.col("rank") <= k).select("case", "p", "coverage", "shared", "rank")
+
+
+def run_sessions(truth: DataFrame, chief: DataFrame, edges: DataFrame, most: int = 10, gap: float = 0.2, formula: str = "v15", choose=None, diagnose=None) -> DataFrame:
+    """(case, d, asked, reason) of all cases, round by round until each is diagnosed: the loop with two groups a round.
+
+    Cases whose best share leads by ``gap`` (``confident``), that have no candidate (``exhausted``) or have been asked
+    ``most`` questions (``limit``) go to ``diagnose`` (state, scores) -> (case, d); the others ask what ``choose``
+    (candidates, state) -> (case, p) says, answered from truth (case, p). Either may call a model; by default they
+    take the best share and the finding that most diseases share. A case that no disease explains has d null."""
+    from lattiq.shared import materialize
+
+    e = materialize(edges.select("d", "p").distinct(), "edges")
+    facts = truth.select("case", "p").distinct().withColumn("_t", F.lit(True))
+    choose = choose or (lambda cands, state: pick(cands).select("case", "p"))
+    diagnose = diagnose or (lambda state, scores: scores.groupBy("case").agg(F.min_by("d", F.struct((-F.round("score", 9)).alias("s"), F.col("d"))).alias("d")))
+    state = materialize(chief.select("case", "p", F.lit(True).alias("yes")).distinct(), "round0")
+    done = None
+    for i in range(most + 1):
+        n = ranking.finding_counts(state, e)
+        scores = materialize(n.select("case", "d", M.count_scores(F.col("c"), F.col("x"), F.col("t"), F.col("total"))[formula].alias("score")), f"scores{i}")
+        two = F.slice(F.sort_array(F.collect_list("share"), asc=False), 1, 2)
+        lead = ranking.shares(scores).groupBy("case").agg(two.alias("s")).select("case", (F.get("s", 0) - F.coalesce(F.get("s", 1), F.lit(0.0))).alias("lead"))
+        ask = materialize(choose(candidates(state, e), state).select("case", "p"), f"ask{i}")
+        why = F.when(F.round("lead", 9) >= gap, "confident").when(F.col("p").isNull(), "exhausted").when(F.lit(i == most), "limit")
+        at = materialize(state.select("case").distinct().join(lead, "case", "left").join(ask, "case", "left").select("case", "p", why.alias("reason")), f"groups{i}")
+        ready = at.where("reason IS NOT NULL").select("case", "reason")
+        own = diagnose(state.join(ready, "case", "left_semi"), scores.join(ready, "case", "left_semi")).select("case", "d")
+        ended = materialize(ready.join(own, "case", "left").select("case", "d", F.lit(i).alias("asked"), "reason"), f"done{i}")
+        done = ended if done is None else done.unionByName(ended)
+        going = at.where("reason IS NULL").select("case", "p")
+        if i == most or going.isEmpty():
+            break
+        answered = going.join(facts, ["case", "p"], "left").select("case", "p", F.coalesce("_t", F.lit(False)).alias("yes"))
+        state = materialize(state.join(going.select("case"), "case", "left_semi").unionByName(answered), f"round{i + 1}")
+    return done

@@ -126,3 +126,35 @@ def audit(edges: DataFrame) -> DataFrame:
     d = e.groupBy("d").agg(F.count("*").alias("k")).agg(F.count("*").alias("n_d"), F.min("k").alias("min_k"), F.max("k").alias("max_k"), F.avg("k").alias("avg_k"))
     p = e.groupBy("p").agg(F.count("*").alias("k")).agg(F.count("*").alias("n_p"), F.count_if(F.col("k") == 1).alias("n_leaf"))
     return d.crossJoin(p).crossJoin(e.agg(F.count("*").alias("n_e")))
+
+
+def expand_until_saturated(edges: DataFrame, seeds: DataFrame, depth: int, beam: int = 100, since: int = 5, few: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Expansion of every seed (root) along (x, y) until it brings no more: (root, x, depth) found, (root, depth, found, reason).
+
+    All new nodes of a step are found, but only the ``beam`` that most edges of the frontier reach are expanded. A root
+    ends when a step brings nothing (``nothing new``), or from depth ``since`` at most ``few`` nodes, which are left out
+    (``saturated``), or at the limit (``depth``). Its depth is that of the last step that counted."""
+    from pyspark.sql import Window
+
+    e = materialize(edges.select("x", "y").distinct(), "edges")
+    roots = seeds.select("root").distinct()
+    seen = materialize(roots.select("root", F.col("root").alias("x"), F.lit(0).alias("depth")), "seen")
+    front, ends = seen.select("root", "x"), None
+    best = Window.partitionBy("root").orderBy(F.col("n").desc(), "x")
+    for k in range(1, depth + 1):
+        reached = front.join(e, "x").groupBy("root", F.col("y").alias("_y")).agg(F.count("*").alias("n")).withColumnRenamed("_y", "x")
+        new = materialize(reached.join(seen.select("root", "x"), ["root", "x"], "left_anti"), f"new{k}")
+        brought = front.select("root").distinct().join(new.groupBy("root").agg(F.count("*").alias("c")), "root", "left").na.fill(0, ["c"])
+        stop = F.when(F.col("c") == 0, "nothing new").when((F.lit(k) >= since) & (F.col("c") <= few), "saturated")
+        state = materialize(brought.select("root", stop.alias("reason")), f"state{k}")
+        ended = state.where("reason IS NOT NULL").select("root", F.lit(k - 1).alias("depth"), "reason")
+        ends = ended if ends is None else ends.unionByName(ended)
+        kept = new.join(state.where("reason IS NULL").select("root"), "root", "left_semi")
+        seen = seen.unionByName(kept.select("root", "x", F.lit(k).alias("depth")))
+        front = materialize(kept.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= beam).select("root", "x"), f"front{k}")
+        if front.isEmpty():
+            break
+    left = front.select("root").distinct().select("root", F.lit(depth).alias("depth"), F.lit("depth").alias("reason"))
+    ends = left if ends is None else ends.unionByName(left)
+    found = seen.where("depth > 0")
+    return found, ends.join(found.groupBy("root").agg(F.count("*").alias("found")), "root", "left").na.fill(0, ["found"]).select("root", "depth", "found", "reason")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattiq.functions import formulas as M
+from lattiq.shared import materialize
 
 
 def by(*keys: str) -> Window:
@@ -290,3 +291,25 @@ def leave_one_out(contributions: DataFrame, channels: Sequence[str], truth: Data
     hits = best.join(truth, "case").groupBy("left_out").agg(F.avg((F.col("top") == F.col("d")).cast("double")).alias("at_1"), F.count("*").alias("n"))
     base = hits.where("left_out = 'none'").select(F.col("at_1").alias("_all"))
     return hits.crossJoin(F.broadcast(base)).select("left_out", "at_1", (F.round("at_1", 6) - F.round("_all", 6)).alias("change"), "n")
+
+
+def extrinsic(findings: DataFrame, names: DataFrame, cases: DataFrame, truth: DataFrame, variants: Sequence[str], threshold: float = 0.12, beta: float = 0.75) -> DataFrame:
+    """One row a variant of extraction: (variant, findings, concepts, n, at_1, at_3, at_5, at_10, mrr) of one fixed diagnosis.
+
+    findings (variant, d, finding) are linked by names (name, p), any case and outer blanks aside; a linked pair
+    weighs 1, its idf discriminates. A case counts if it has a finding of the profile and its disease a profile;
+    a disease that shares nothing with the case comes after all others."""
+    key = lambda c: F.trim(F.lower(c))
+    link = names.select(key("name").alias("_k"), "p").distinct()
+    linked = materialize(findings.select("variant", "d", key("finding").alias("_k")).join(link, "_k").where("d <> p").select("variant", "d", "p"), "linked")
+    out = None
+    for v in variants:
+        rows = linked.where(F.col("variant") == v)
+        base = materialize(rows.select("d", "p", F.lit(1.0).alias("w")).distinct(), "profile")
+        diseases = materialize(base.select("d").distinct(), "diseases")
+        idf = profile_idf(base, threshold)
+        scores = cosine(cases, reweighted(base, idf, 1.0, beta), idf, beta)
+        result = evaluate(scores, truth.join(diseases, "d", "left_semi"), diseases.count())
+        part = rows.agg(F.count("*").alias("findings"), F.count_distinct("p").alias("concepts")).crossJoin(result).select(F.lit(v).alias("variant"), "*")  # one row each
+        out = part if out is None else out.unionByName(part)
+    return out

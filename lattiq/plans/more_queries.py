@@ -114,3 +114,77 @@ g AS (SELECT count(*) AS ng, count(*) FILTER (WHERE x IN (SELECT x FROM v)) AS h
 def lexical_recall(s, sf):
     words = lambda name: t(s, sf, name).select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("x")).where("length(x) > 3").distinct()
     return rounded(metrics.lexical_match(words("documents"), words("benchmark")), "precision", "recall")
+
+
+@query("""WITH t AS (SELECT o_orderpriority AS a, o_orderstatus AS b, o_totalprice AS v FROM orders), n AS (SELECT a, b, count(*) AS o FROM t GROUP BY ALL), e AS (SELECT ra.a, rb.b, ra.n * rb.n / (SELECT CAST(count(*) AS DOUBLE) FROM t) AS e FROM (SELECT a, count(*) AS n FROM t GROUP BY a) ra, (SELECT b, count(*) AS n FROM t GROUP BY b) rb),
+x AS (SELECT sum((coalesce(o, 0) - e) ** 2 / e) AS s FROM e LEFT JOIN n USING (a, b)), g AS (SELECT a, count(*) AS n, avg(v) AS m, var_pop(v) AS v FROM t GROUP BY a), w AS (SELECT sum(n) AS n, count(*) AS k, sum(n * v) AS sw, (SELECT avg(v) FROM t) AS mean FROM g),
+f AS (SELECT (sum(g.n * (m - mean) ** 2) / (any_value(k) - 1)) / (any_value(sw) / (any_value(w.n) - any_value(k))) AS s, any_value(w.n) - any_value(k) AS d2 FROM g, w), y AS (SELECT s, d2 / (d2 + 4 * s) AS x, d2 / 2.0 AS h FROM f)
+SELECT 'chi2' AS test, round(s, 5) AS statistic, round(exp(-s / 2) * (1 + s / 2 + s * s / 8 + s * s * s / 48), 6) AS p_value FROM x UNION ALL SELECT 'f', round(s, 5), round(pow(x, h) * (1 + h * (1 - x)), 6) FROM y""")
+def tail_p_values(s, sf):
+    o = t(s, sf, "orders")
+    c = metrics.chi2_contingency(o, "o_orderpriority", "o_orderstatus").select(F.lit("chi2").alias("test"), F.col("chi2").alias("statistic"), stats.chi2_p(F.col("chi2"), F.col("df")).alias("p_value"))
+    a = metrics.one_way_anova(o, "o_orderpriority", "o_totalprice").crossJoin(F.broadcast(o.agg(F.count("*").alias("n"))))  # one row each
+    f = a.select(F.lit("f").alias("test"), F.col("f").alias("statistic"), stats.f_p(F.col("f"), F.col("df"), F.col("n") - F.col("df") - 1).alias("p_value"))
+    return c.unionByName(f).select("test", F.round("statistic", 5).alias("statistic"), F.round("p_value", 6).alias("p_value"))
+
+
+def _layers(depth: int, beam: int, since: int, few: int) -> str:
+    """SQL of an expansion step by step over e (x, y) and s0 (root, x), up to the ends of the roots."""
+    out = ", f0 AS (SELECT * FROM s0)"
+    for k in range(1, depth + 1):
+        out += f""", n{k} AS (SELECT root, y AS x, count(*) AS n FROM f{k - 1} JOIN e USING (x) GROUP BY root, y HAVING (root, y) NOT IN (SELECT (root, x) FROM s{k - 1})),
+c{k} AS (SELECT root, count(n) AS c FROM (SELECT DISTINCT root FROM f{k - 1}) LEFT JOIN n{k} USING (root) GROUP BY root), z{k} AS (SELECT root, CASE WHEN c = 0 THEN 'nothing new' WHEN {k} >= {since} AND c <= {few} THEN 'saturated' END AS reason FROM c{k}),
+k{k} AS (SELECT * FROM n{k} WHERE root IN (SELECT root FROM z{k} WHERE reason IS NULL)), s{k} AS (SELECT * FROM s{k - 1} UNION ALL SELECT root, x FROM k{k}), f{k} AS (SELECT root, x FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY n DESC, x) AS r FROM k{k}) WHERE r <= {beam})"""
+    ends = " UNION ALL ".join(f"SELECT root, {k - 1} AS depth, reason FROM z{k} WHERE reason IS NOT NULL" for k in range(1, depth + 1))
+    return f"{out}, ends AS ({ends} UNION ALL SELECT DISTINCT root, {depth}, 'depth' FROM f{depth})"
+
+
+CHAIN = "WITH pt AS (SELECT p_partkey AS k, p_size AS z FROM part), e AS (SELECT DISTINCT x, y FROM (SELECT k AS x, k // 2 AS y FROM pt UNION ALL SELECT k, k // 3 FROM pt WHERE z % 2 = 0 UNION ALL SELECT k, k + z FROM pt WHERE z % 5 = 0)), s0 AS (SELECT k AS root, k AS x FROM pt WHERE k % 10 = 0)"
+
+
+@query(f"{CHAIN}{_layers(6, 3, 3, 1)} SELECT root, depth, reason, (SELECT count(*) FROM s6 WHERE s6.root = ends.root) - 1 AS found FROM ends")
+def saturated_expansion(s, sf):
+    p = t(s, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("z"))
+    step = lambda rows, y: rows.select(F.col("k").alias("x"), y.cast("long").alias("y"))
+    e = step(p, F.floor(F.col("k") / 2)).union(step(p.where("z % 2 = 0"), F.floor(F.col("k") / 3))).union(step(p.where("z % 5 = 0"), F.col("k") + F.col("z")))
+    return graph.expand_until_saturated(e, p.where("k % 10 = 0").select(F.col("k").alias("root")), 6, 3, 3, 1)[1]
+
+
+@query(f"""WITH {B.M}, ln AS (SELECT l_returnflag AS v, d, p FROM m WHERE p_size % 4 <> 0), ba AS (SELECT DISTINCT * FROM ln), nd AS (SELECT v, count(DISTINCT d) AS n FROM ba GROUP BY v), ix AS (SELECT v, p, pow(ln((n + 1.0) / (count(*) + 1.0)) + 1, 0.75) AS w FROM ba JOIN nd USING (v) GROUP BY v, p, n), pf AS (SELECT v, d, p, w FROM ba JOIN ix USING (v, p)),
+ca AS (SELECT DISTINCT "case", p FROM m), dn AS (SELECT v, d, sqrt(sum(w * w)) AS dn FROM pf GROUP BY ALL), ve AS (SELECT v, "case", p, w FROM ca JOIN ix USING (p)), vn AS (SELECT v, "case", sqrt(sum(w * w)) AS vn FROM ve GROUP BY ALL),
+sc AS (SELECT v, "case", d, round(sum(ve.w * pf.w) / (any_value(vn) * any_value(dn)), 9) AS score FROM ve JOIN pf USING (v, p) JOIN vn USING (v, "case") JOIN dn USING (v, d) GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY v, "case" ORDER BY score DESC, d) AS r FROM sc),
+tr AS (SELECT DISTINCT "case", d FROM m), rr AS (SELECT v, coalesce(r, n) AS r FROM tr JOIN dn USING (d) JOIN vn USING (v, "case") JOIN nd USING (v) LEFT JOIN rk USING (v, "case", d)), st AS (SELECT v, count(*) AS findings, count(DISTINCT p) AS concepts FROM ln GROUP BY v)
+SELECT v AS variant, any_value(findings) AS findings, any_value(concepts) AS concepts, count(*) AS n, round(avg(CAST(r <= 1 AS INT)), 6) AS at_1, round(avg(CAST(r <= 3 AS INT)), 6) AS at_3, round(avg(CAST(r <= 5 AS INT)), 6) AS at_5, round(avg(CAST(r <= 10 AS INT)), 6) AS at_10, round(avg(1.0 / r), 6) AS mrr FROM rr JOIN st USING (v) GROUP BY v""")
+def extrinsic_evaluation(s, sf):
+    m = materialize(B.mentions(s, sf).select("l_returnflag", "d", "p", "p_size", "case"), "mentions")
+    names = m.where("p_size % 4 <> 0").select(F.upper("p").alias("name"), "p").distinct()
+    found = m.select(F.col("l_returnflag").alias("variant"), "d", F.concat(F.lit(" "), "p").alias("finding"))
+    out = ranking.extrinsic(found, names, m.select("case", "p"), m.select("case", "d").distinct(), ("A", "N", "R"))
+    return rounded(out, "at_1", "at_3", "at_5", "at_10", "mrr")
+
+
+def _variant(name: str) -> str:
+    together, drop, last = dialogue.VARIANTS[name]
+    base = "hi" if not drop else "(SELECT * FROM hi WHERE (\"case\", d) NOT IN (SELECT (\"case\", d) FROM dn))"
+    order = ("CASE WHEN p < 'Brand#20' THEN 1 ELSE 0 END, " if last else "") + ("coverage * shared" if together else "coverage") + " DESC, p"
+    return f"""SELECT '{name}' AS variant, * FROM (SELECT "case", p, coverage, shared, row_number() OVER (PARTITION BY "case" ORDER BY {order}) AS rank FROM (SELECT "case", p, count(DISTINCT d) AS coverage, count(DISTINCT c) AS shared FROM {base} JOIN be USING (d) WHERE ("case", p) NOT IN (SELECT ("case", p) FROM st) GROUP BY ALL)) WHERE rank <= 3"""
+
+
+@query(f"""{Q.SUP}, hi AS (SELECT "case", d, p AS c FROM st JOIN be USING (p) WHERE yes), dn AS (SELECT "case", d FROM st JOIN be USING (p) WHERE NOT yes GROUP BY ALL HAVING count(*) >= 2) """ + " UNION ALL ".join(map(_variant, dialogue.VARIANTS)))
+def candidate_variants(s, sf):
+    state, e = materialize(Q._supplier_state(s, sf), "state"), materialize(Q._brand_edges(s, sf), "edges")
+    late = e.where("p < 'Brand#20'").select("p")
+    out = None
+    for name in dialogue.VARIANTS:
+        part = dialogue.candidates_by(name, state, e, late, 3, 2).select(F.lit(name).alias("variant"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query()
+def diagnosed_sessions(s, sf):
+    m = materialize(B.mentions(s, sf).select("l_suppkey", "d", "p_type", "p_name", "l_returnflag"), "mentions")
+    p = F.concat_ws("|", "p_type", "p_name").alias("p")
+    e = m.groupBy("d", p).agg(F.count("*").alias("n")).where("n > 1").select("d", "p")
+    facts = m.where("l_returnflag <> 'R'").select(F.col("l_suppkey").alias("case"), p).distinct()
+    return dialogue.run_sessions(facts, facts.groupBy("case").agg(F.min("p").alias("p")), e, 4, 0.05)

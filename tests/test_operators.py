@@ -353,3 +353,60 @@ def test_the_entry_imports_without_the_corpus_part():
 
     code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and 'edge_weights' in q and not any(n.startswith('op') and n[2].isdigit() for n in q)"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True, timeout=120).returncode == 0
+
+
+def test_sessions_against_a_plain_loop(spark):
+    rng = np.random.default_rng(4)
+    edges = sorted({(f"d{i}", f"p{j}") for i in range(8) for j in range(12) if rng.random() < 0.45})
+    facts = {c: {f"p{j}" for j in range(12) if rng.random() < 0.4} | {f"p{c % 12}"} for c in range(40)} | {99: {"unknown"}}
+    chief = {c: min(ps) for c, ps in facts.items()}
+    of = {d: {p for e, p in edges if e == d} for d, _ in edges}
+    want = {}
+    for case, true in facts.items():
+        yes, no, asked = {chief[case]}, set(), 0
+        while True:
+            score = {d: round(len(ps & yes) ** 2 / (len(ps & yes) + len(ps & no) + 1), 9) for d, ps in of.items() if ps & yes}
+            share = [*sorted((v / sum(score.values()) for v in score.values()), reverse=True), 0.0, 0.0]
+            counts = {}
+            for d in score:
+                for p in of[d] - yes - no:
+                    counts[p] = counts.get(p, 0) + 1
+            reason = "confident" if score and round(share[0] - share[1], 9) >= 0.15 else "exhausted" if not counts else "limit" if asked == 4 else None
+            if reason:
+                want[case] = (min(score, key=lambda d: (-score[d], d)) if score else None, asked, reason)
+                break
+            p = min(counts, key=lambda q: (-counts[q], q))
+            (yes if p in true else no).add(p)
+            asked += 1
+    frame = lambda rows, shape: spark.createDataFrame(rows, shape)
+    truth = frame([(c, p) for c, ps in facts.items() for p in ps], "case long, p string")
+    e, first = frame(edges, "d string, p string"), frame(list(chief.items()), "case long, p string")
+    got = {r.case: (r.d, r.asked, r.reason) for r in dialogue.run_sessions(truth, first, e, 4, 0.15).collect()}
+    assert got == want and {r[2] for r in want.values()} == {"confident", "exhausted", "limit"}
+    named = dialogue.run_sessions(truth, first, e, 0, 2.0, diagnose=lambda state, scores: state.select("case", F.lit("model").alias("d")).distinct())
+    assert {(r.d, r.asked) for r in named.collect()} == {("model", 0)}
+
+
+def test_tails_of_chi_squared_and_f():
+    from lattiq.functions import stats
+
+    for df, x in ((1, 0.3), (1, 40.0), (3, 2.5), (7, 7.0), (50, 80.0)):
+        at = np.linspace(0, x, 400_001)[1:] if df > 1 else np.linspace(0, np.sqrt(x), 400_001)[1:]
+        if df == 1:  # a square of a normal
+            below = 2 * np.trapezoid(np.exp(-(at**2) / 2) / np.sqrt(2 * np.pi), at) + 2 * at[0] / np.sqrt(2 * np.pi)
+        else:
+            below = np.trapezoid(np.exp((df / 2 - 1) * np.log(at) - at / 2 - math.lgamma(df / 2) - df / 2 * math.log(2)), at)
+        assert abs(stats._gamma_tail(df / 2, x / 2) - (1 - below)) < 1e-6
+    for a, b, x in ((2, 2.5, 0.4), (30, 4.5, 0.8), (5, 60, 0.05), (400, 2, 0.999)):
+        at = np.linspace(0, x, 400_001)[1:]
+        below = np.trapezoid(np.exp((a - 1) * np.log(at) + (b - 1) * np.log1p(-at) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)), at)
+        assert abs(stats._beta_share(x, a, b) - below) < 1e-6
+
+
+def test_expansion_without_edges_and_ties_of_the_beam(spark):
+    e = spark.createDataFrame([("r", "a"), ("r", "b"), ("a", "x"), ("b", "y"), ("x", "z")], "x string, y string")
+    seeds = spark.createDataFrame([("r",), ("alone",), ("r",)], "root string")
+    found, ends = graph.expand_until_saturated(e, seeds, 5, beam=1, since=9)
+    assert {(r.x, r.depth) for r in found.collect()} == {("a", 1), ("b", 1), ("x", 2), ("z", 3)}  # b is found, not expanded
+    assert {tuple(r) for r in ends.collect()} == {("r", 3, 4, "nothing new"), ("alone", 0, 0, "nothing new")}
+    assert {tuple(r) for r in graph.expand_until_saturated(e, seeds, 5, beam=1, since=2, few=1)[1].collect()} == {("r", 1, 2, "saturated"), ("alone", 0, 0, "nothing new")}
