@@ -150,9 +150,9 @@ def saturated_expansion(s, sf):
     return graph.expand_until_saturated(e, p.where("k % 10 = 0").select(F.col("k").alias("root")), 6, 3, 3, 1)[1]
 
 
-@query(f"""WITH {B.M}, ln AS (SELECT l_returnflag AS v, d, p FROM m WHERE p_size % 4 <> 0), ba AS (SELECT DISTINCT * FROM ln), nd AS (SELECT v, count(DISTINCT d) AS n FROM ba GROUP BY v), ix AS (SELECT v, p, pow(ln((n + 1.0) / (count(*) + 1.0)) + 1, 0.75) AS w FROM ba JOIN nd USING (v) GROUP BY v, p, n), pf AS (SELECT v, d, p, w FROM ba JOIN ix USING (v, p)),
-ca AS (SELECT DISTINCT "case", p FROM m), dn AS (SELECT v, d, sqrt(sum(w * w)) AS dn FROM pf GROUP BY ALL), ve AS (SELECT v, "case", p, w FROM ca JOIN ix USING (p)), vn AS (SELECT v, "case", sqrt(sum(w * w)) AS vn FROM ve GROUP BY ALL),
-sc AS (SELECT v, "case", d, round(sum(ve.w * pf.w) / (any_value(vn) * any_value(dn)), 9) AS score FROM ve JOIN pf USING (v, p) JOIN vn USING (v, "case") JOIN dn USING (v, d) GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY v, "case" ORDER BY score DESC, d) AS r FROM sc),
+@query(f"""WITH {B.M}, ln AS (SELECT l_returnflag AS v, d, p FROM m WHERE p IN (SELECT p FROM m WHERE p_size % 4 <> 0)), ba AS (SELECT DISTINCT * FROM ln), nd AS (SELECT v, count(DISTINCT d) AS n FROM ba GROUP BY v), ix AS (SELECT v, p, pow(ln((n + 1.0) / (count(*) + 1.0)) + 1, 0.75) AS w FROM ba JOIN nd USING (v) GROUP BY v, p, n), pf AS MATERIALIZED (SELECT v, d, p, w FROM ba JOIN ix USING (v, p)),
+ca AS (SELECT DISTINCT "case", p FROM m), dn AS MATERIALIZED (SELECT v, d, sqrt(sum(w * w)) AS dn FROM pf GROUP BY ALL), ve AS MATERIALIZED (SELECT v, "case", p, w FROM ca JOIN ix USING (p)), vn AS MATERIALIZED (SELECT v, "case", sqrt(sum(w * w)) AS vn FROM ve GROUP BY ALL),
+dt AS MATERIALIZED (SELECT v, "case", d, sum(ve.w * pf.w) AS dt FROM ve JOIN pf USING (v, p) GROUP BY ALL), sc AS (SELECT v, "case", d, round(dt / (vn * dn), 9) AS score FROM dt JOIN vn USING (v, "case") JOIN dn USING (v, d)), rk AS (SELECT *, row_number() OVER (PARTITION BY v, "case" ORDER BY score DESC, d) AS r FROM sc),
 tr AS (SELECT DISTINCT "case", d FROM m), rr AS (SELECT v, coalesce(r, n) AS r FROM tr JOIN dn USING (d) JOIN vn USING (v, "case") JOIN nd USING (v) LEFT JOIN rk USING (v, "case", d)), st AS (SELECT v, count(*) AS findings, count(DISTINCT p) AS concepts FROM ln GROUP BY v)
 SELECT v AS variant, any_value(findings) AS findings, any_value(concepts) AS concepts, count(*) AS n, round(avg(CAST(r <= 1 AS INT)), 6) AS at_1, round(avg(CAST(r <= 3 AS INT)), 6) AS at_3, round(avg(CAST(r <= 5 AS INT)), 6) AS at_5, round(avg(CAST(r <= 10 AS INT)), 6) AS at_10, round(avg(1.0 / r), 6) AS mrr FROM rr JOIN st USING (v) GROUP BY v""")
 def extrinsic_evaluation(s, sf):
