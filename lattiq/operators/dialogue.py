@@ -21,10 +21,9 @@ def candidates(state: DataFrame, edges: DataFrame, deny_limit: int | None = None
     if deny_limit is not None:
         out = state.where("NOT yes").join(e, "p").groupBy("case", "d").agg(F.count("*").alias("_n")).where(F.col("_n") > deny_limit)
         alive = alive.join(out, ["case", "d"], "left_anti")
-    found = alive.join(e, "d").join(state.select("case", "p").distinct(), ["case", "p"], "left_anti")
-    if antecedents is not None:
-        found = found.join(antecedents, "p", "left_anti")
-    return found.groupBy("case", "p").agg(F.count_distinct("d").alias("n"))
+    found = alive.join(e, "d").groupBy("case", "p").agg(F.count("*").alias("n"))  # each disease once: both sides are distinct
+    found = found.join(state.select("case", "p").distinct(), ["case", "p"], "left_anti")  # after the counts, so these rows do not travel
+    return found if antecedents is None else found.join(antecedents, "p", "left_anti")
 
 
 def pick(cands: DataFrame, k: int = 1, score: Column | None = None) -> DataFrame:

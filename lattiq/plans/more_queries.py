@@ -183,8 +183,8 @@ def candidate_variants(s, sf):
 
 @query()
 def diagnosed_sessions(s, sf):
-    m = materialize(B.mentions(s, sf).select("l_suppkey", "d", "p_type", "p_name", "l_returnflag"), "mentions")
-    p = F.concat_ws("|", "p_type", "p_name").alias("p")
+    m = materialize(B.mentions(s, sf).select("l_suppkey", "d", "p_name", "l_returnflag"), "mentions")
+    p = F.col("p_name").alias("p")
     e = m.groupBy("d", p).agg(F.count("*").alias("n")).where("n > 1").select("d", "p")
     facts = m.where("l_returnflag <> 'R'").select(F.col("l_suppkey").alias("case"), p).distinct()
     return dialogue.run_sessions(facts, facts.groupBy("case").agg(F.min("p").alias("p")), e, 4, 0.05)
