@@ -24,6 +24,12 @@ SHARED = {
     "reference_baselines", "question_rounds", "random_inquiry", "differential_macro", "bound_attributes", "attribute_aware_scores",
 }
 
+#: The columns of the mentions that these use; the others share all.
+COLUMNS = dict.fromkeys(
+    ("finding_counts", "count_score_family", "corrected_score_family", "clamped_score_family", "normalised_scores", "top_k_diagnoses", "score_cutoffs", "min_match_filter", "tied_diagnoses", "weighted_edge_scores", "reference_baselines", "differential_macro"),
+    ("case", "d", "p", "source", "l_returnflag"),
+) | dict.fromkeys(("bound_attributes", "attribute_aware_scores"), ("case", "d", "p_brand", "p_type"))
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -34,7 +40,7 @@ def query(sql: str | None = None):
         def run(s, sf):
             if f.__name__ not in SHARED:
                 return f(s, sf)
-            with B.shared_mentions():
+            with B.shared_mentions(COLUMNS.get(f.__name__, ())):
                 return f(s, sf)
 
         QUERIES[f.__name__] = run
@@ -169,9 +175,13 @@ cn AS (SELECT "case", d, count(*) FILTER (WHERE yes) AS c, count(*) FILTER (WHER
 ct AS (SELECT "case", d, c, x, t, total FROM cn JOIN tt USING (d) JOIN tot USING ("case") WHERE c > 0)"""
 
 
+def _counts(s, sf):
+    return ranking.finding_counts(B.mention_facts(s, sf), B.mentions(s, sf).select("d", "p").distinct(), mentions=True)
+
+
 @query(f"WITH {B.E}{B.C}{CNT} SELECT \"case\", d, c, x, t, total FROM ct")
 def finding_counts(s, sf):
-    return ranking.finding_counts(B.facts(s, sf), B.edges(s, sf))
+    return _counts(s, sf)
 
 
 _V = {
@@ -184,7 +194,7 @@ _V = {
 
 @query(f"WITH {B.E}{B.C}{CNT} SELECT \"case\", d, {', '.join(f'round(CAST({q} AS DOUBLE), 6) AS {k}' for k, q in _V.items())} FROM ct")
 def count_score_family(s, sf):
-    n = ranking.finding_counts(B.facts(s, sf), B.edges(s, sf))
+    n = _counts(s, sf)
     scores = M.count_scores(F.col("c"), F.col("x"), F.col("t"), F.col("total"))
     return n.select("case", "d", *[F.round(v, 6).alias(k) for k, v in scores.items()])
 
@@ -196,14 +206,14 @@ _PART = "CASE WHEN {k} > 0 THEN {k} * ln(({k} / t) / ({k} / 223.0)) ELSE 0 END"
 round(c * 2.2 / (c + 1.2 * (1 - 0.75 + 0.75 * t / 18.1)) * ln(1 + (2000 - t + 0.5) / (t + 0.5)) * (1 - 0.5 * x / (c + x)), 6) AS bm25, round({_PART.format(k='c')} + {_PART.format(k='x')}, 6) AS llr,
 round(c * ln(1 + (2000 - t + 0.5) / (t + 0.5)) * (1 - 0.3 * x / (c + x)), 6) AS idf, round(c * ln(0.715 / 0.05) + x * ln(0.285 / 0.95), 6) AS noisy_or FROM ct""")
 def corrected_score_family(s, sf):
-    n = ranking.finding_counts(B.facts(s, sf), B.edges(s, sf))
+    n = _counts(s, sf)
     return n.select("case", "d", *[F.round(v, 6).alias(k) for k, v in M.corrected_scores(F.col("c"), F.col("x"), F.col("t"), n=2000.0).items()])
 
 
 @query(f"""WITH {B.E}{B.C}{CNT} SELECT "case", d, round(greatest(0.0, c / (c + x + t - c)), 6) AS jaccard, round(greatest(0.0, c / t * ln(125.0 / (1 + c))), 6) AS tfidf, round(greatest(0.0, c / (sqrt(t) * sqrt(c + x + 0.01))), 6) AS cosine,
 round(greatest(0.0, c * 2.2 / (c + 1.2 * (0.25 + 0.75 * t / (2000.0 / 125.0))) - 0.1 * x), 6) AS bm25, round(greatest(0.0, c * ln(greatest(c / t, 0.01)) + x * ln(greatest(1 - c / t, 0.01))), 6) AS nb FROM ct""")
 def clamped_score_family(s, sf):
-    n = ranking.finding_counts(B.facts(s, sf), B.edges(s, sf))
+    n = _counts(s, sf)
     return n.select("case", "d", *[F.round(v, 6).alias(k) for k, v in M.clamped_scores(F.col("c"), F.col("x"), F.col("t"), 125.0, 2000.0).items()])
 
 
@@ -211,7 +221,7 @@ V15 = ", sc AS (SELECT \"case\", d, c * c / (c + x + 1.0) AS score, c FROM ct)"
 
 
 def _v15(s, sf):
-    n = ranking.finding_counts(B.facts(s, sf), B.edges(s, sf))
+    n = _counts(s, sf)
     return n.select("case", "d", M.count_scores(F.col("c"), F.col("x"), F.col("t"), F.col("total"))["v16"].alias("score"), "c")
 
 
@@ -244,7 +254,7 @@ def tied_diagnoses(s, sf):
 
 @query(f"WITH {B.E}{B.C} SELECT \"case\", d, round(sum(w), 6) AS score FROM c JOIN e USING (p) GROUP BY \"case\", d")
 def weighted_edge_scores(s, sf):
-    return rounded(ranking.weighted_sum(B.cases(s, sf), B.edges(s, sf)), "score")
+    return rounded(ranking.weighted_sum(B.mentions(s, sf), B.edges(s, sf)), "score")
 
 
 MM = "CASE WHEN max({c}) OVER w = min({c}) OVER w THEN 0.5 ELSE ({c} - min({c}) OVER w) / nullif(max({c}) OVER w - min({c}) OVER w, 0) END"
@@ -715,7 +725,7 @@ def simulated_cases(s, sf):
 
 @query(f"WITH {B.E}{B.C}, mm AS (SELECT \"case\", d, count(*) AS k FROM c JOIN (SELECT DISTINCT d, p FROM e) USING (p) GROUP BY ALL), md AS (SELECT first(d ORDER BY n DESC, d) AS f FROM (SELECT d, count(*) AS n FROM tr GROUP BY d)) SELECT \"case\", first(d ORDER BY k DESC, d) AS by_overlap, any_value(f) AS by_frequency FROM mm, md GROUP BY \"case\"")
 def reference_baselines(s, sf):
-    return dialogue.baselines(B.cases(s, sf), B.truth(s, sf), B.edges(s, sf))
+    return dialogue.baselines(B.mentions(s, sf), B.truth(s, sf), B.mentions(s, sf))
 
 
 _ASK = """, a{k} AS (SELECT DISTINCT "case", d FROM s{k} JOIN be USING (p) WHERE yes), c{k} AS (SELECT "case", p, count(*) AS n FROM a{k} JOIN be USING (d) WHERE ("case", p) NOT IN (SELECT ("case", p) FROM s{k}) GROUP BY ALL),
