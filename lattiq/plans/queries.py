@@ -932,7 +932,7 @@ def combination_idf(s, sf):
 @query(f"{ATT}, cr AS (SELECT DISTINCT \"case\", p_brand AS p, 'type' AS attribute, p_type AS value FROM m), b AS (SELECT \"case\", d, 1.0 AS x FROM (SELECT DISTINCT \"case\", p FROM cr) JOIN (SELECT DISTINCT d, p FROM dr) USING (p) UNION ALL SELECT \"case\", d, 0.5 * idf FROM cr JOIN dr USING (p, attribute, value) JOIN ci USING (p, attribute, value)) SELECT \"case\", d, round(sum(x), 6) AS score FROM b GROUP BY ALL")
 def bound_attributes(s, sf):
     dr = materialize(_attribute_rows(s, sf), "rows")
-    cr = B.mentions(s, sf).select("case", F.col("p_brand").alias("p"), F.lit("type").alias("attribute"), F.col("p_type").alias("value")).distinct()
+    cr = B.mentions(s, sf).select("case", F.col("p_brand").alias("p"), F.lit("type").alias("attribute"), F.col("p_type").alias("value"))
     return rounded(attributes.bound_score(cr, dr, attributes.combination_idf(dr)), "score")
 
 
@@ -949,7 +949,7 @@ def attribute_aware_scores(s, sf):
     n = m.groupBy("d", F.col("p_brand").alias("p"), "p_type").agg(F.count("*").alias("n"))
     e = n.groupBy("d", "p").agg(F.sum("n").alias("n_mentions"), F.map_from_entries(F.collect_list(F.struct("p_type", "n"))).alias("k"))
     e = e.withColumn("dist", F.transform_values("k", lambda _, v: v / F.col("n_mentions")))
-    cv = m.groupBy("case", F.col("p_brand").alias("p")).agg(F.collect_set("p_type").alias("values"))
+    cv = m.groupBy("case", F.col("p_brand").alias("p")).agg(F.array_sort(F.collect_set("p_type")).alias("values"))
     one = e.select("p").distinct().withColumn("idf", F.lit(1.0))
     return rounded(attributes.attribute_aware(cv, e, one), "score")
 

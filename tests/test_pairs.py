@@ -19,7 +19,7 @@ def rows_of(df):
     return sorted(map(repr, (tuple(same(x) for x in r) for r in df.collect())))
 
 
-@pytest.mark.parametrize("name", ["finding_counts"])
+@pytest.mark.parametrize("name", ["finding_counts", "attribute_aware_scores"])
 def test_pairs_stay_in_the_task_where_they_arise(spark, name):
     assert not [x for x in above(QUERIES[name](spark, SF)) if "Exchange hashpartitioning" in x and re.search(r"Exchange hashpartitioning\(.*\bd#", x)]
 
