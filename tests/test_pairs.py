@@ -65,3 +65,28 @@ def test_weights_by_blocks(spark, monkeypatch):
     edges = spark.createDataFrame([("d1", "a", 0.5), ("d1", "b", 2.0), ("d2", "b", 4.0), ("d2", "b", 4.0), ("d3", "q", 1.0), (None, "a", 8.0)], "d string, p string, w double")
     got = ranking.weighted_sum(spark.createDataFrame(FACTS, "case long, p string, yes boolean"), edges)
     assert rows_of(got) == sorted(map(repr, [(1, "d1", 2.5), (1, "d2", 8.0), (1, None, 8.0), (2, "d1", 2.0), (2, "d2", 8.0), (3, "d1", 0.5), (3, None, 8.0)]))
+
+
+def test_candidates_of_equal_states_are_looked_for_once(spark):
+    from lattiq.operators import dialogue
+
+    links = [("d1", "a"), ("d1", "b"), ("d1", "c"), ("d2", "b"), ("d2", "c"), ("d2", "e"), ("d3", "a"), ("d3", "e"), ("d4", "f")]
+    states = {1: {"a": True}, 2: {"a": True}, 3: {"a": True, "b": False}, 4: {"b": True, "a": True}, 5: {"f": True}, 6: {"a": False}}
+    state = spark.createDataFrame([(k, p, y) for k, x in states.items() for p, y in x.items()] + [(1, "a", True)], "case long, p string, yes boolean")
+    args = state, spark.createDataFrame(links, "d string, p string"), spark.createDataFrame([("b",)], "p string"), 10, 1
+    for name, (together, drop, last) in dialogue.VARIANTS.items():
+        want = []
+        for case, x in states.items():
+            hits = {(d, p) for d, p in links if x.get(p)}
+            if drop:
+                hits = {(d, p) for d, p in hits if not any((d, q) in links and not y for q, y in x.items())}
+            rows = []
+            for q in "abcef":
+                ds = {d for d, _ in hits if (d, q) in links}
+                cs = {p for d, p in hits if d in ds}
+                if ds and q not in x:
+                    rows.append((last and q == "b", -len(ds) * (len(cs) if together else 1), q, len(ds), len(cs)))
+            want += [(case, q, n, m, i) for i, (_, _, q, n, m) in enumerate(sorted(rows), 1)]
+        got = dialogue.candidates_by(name, *args)
+        assert rows_of(got) == sorted(map(repr, want))
+        assert any("/states-" in f for f in got.inputFiles())
