@@ -19,9 +19,20 @@ def rows_of(df):
     return sorted(map(repr, (tuple(same(x) for x in r) for r in df.collect())))
 
 
-@pytest.mark.parametrize("name", ["finding_counts", "attribute_aware_scores"])
+NAMES = [
+    "finding_counts", "attribute_aware_scores", "clamped_score_family", "corrected_score_family", "count_score_family", "min_match_filter", "normalised_scores", "score_cutoffs",
+    "tied_diagnoses", "top_k_diagnoses", "weighted_edge_scores", "bound_attributes", "reference_baselines", "differential_macro", "extrinsic_evaluation",
+]
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_pairs_stay_in_the_task_where_they_arise(spark, name):
-    assert not [x for x in above(QUERIES[name](spark, SF)) if "Exchange hashpartitioning" in x and re.search(r"Exchange hashpartitioning\(.*\bd#", x)]
+    lines = above(QUERIES[name](spark, SF))
+    if name == "differential_macro":  # its metrics, above the ranks, are sums of few rows
+        lines = lines[max(i for i, x in enumerate(lines) if "Window [row_number" in x) :]
+    if name == "extrinsic_evaluation":  # a union, and one number a case is summed up
+        lines = lines[next(i for i, x in enumerate(lines) if "collect_list" in x) :]
+    assert not [x for x in lines if "Exchange hashpartitioning" in x or "Exchange rangepartitioning" in x]
 
 
 FACTS = [(1, "a", True), (1, "a", True), (1, "b", False), (1, "z", True), (1, "y", True), (1, None, True), (2, "b", True), (2, "b", False), (2, "c", True), (3, "a", False), (4, "z", True)]
