@@ -59,6 +59,11 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), 6) for c in columns})
 
 
+def rounded_score(df: DataFrame) -> DataFrame:
+    """For many rows."""
+    return df.withColumn("score", M.rounded(F.col("score")))
+
+
 RANKED = """rk AS (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY round(score, 9) DESC, d) AS rank FROM {s})"""
 EVAL = """SELECT count(*) AS n, round(avg(CAST(rank <= 1 AS INT)), 6) AS at_1, round(avg(CAST(rank <= 3 AS INT)), 6) AS at_3, round(avg(CAST(rank <= 5 AS INT)), 6) AS at_5, round(avg(CAST(rank <= 10 AS INT)), 6) AS at_10, round(avg(1.0 / rank), 6) AS mrr
 FROM (SELECT tr."case", coalesce(rk.rank, 50) AS rank FROM tr LEFT JOIN rk ON rk."case" = tr."case" AND rk.d = tr.d WHERE tr."case" IN (SELECT "case" FROM {s}))"""
@@ -175,8 +180,17 @@ cn AS (SELECT "case", d, count(*) FILTER (WHERE yes) AS c, count(*) FILTER (WHER
 ct AS (SELECT "case", d, c, x, t, total FROM cn JOIN tt USING (d) JOIN tot USING ("case") WHERE c > 0)"""
 
 
-def _counts(s, sf):
-    return ranking.finding_counts(B.mention_facts(s, sf), B.mentions(s, sf).select("d", "p").distinct(), mentions=True)
+def _reach(s, sf):
+    return ranking.reach(B.mentions(s, sf).select("d", "p").distinct())
+
+
+def _counts(s, sf, to=None):
+    return ranking.finding_counts(B.mention_facts(s, sf), to or _reach(s, sf), mentions=True)
+
+
+def _family(s, sf, formulas, of):
+    to = _reach(s, sf)
+    return ranking.scored(_counts(s, sf, to), B.mention_facts(s, sf), to, lambda *v: {k: F.round(x, 6) for k, x in formulas(*v).items()}, of)
 
 
 @query(f"WITH {B.E}{B.C}{CNT} SELECT \"case\", d, c, x, t, total FROM ct")
@@ -194,9 +208,7 @@ _V = {
 
 @query(f"WITH {B.E}{B.C}{CNT} SELECT \"case\", d, {', '.join(f'round(CAST({q} AS DOUBLE), 6) AS {k}' for k, q in _V.items())} FROM ct")
 def count_score_family(s, sf):
-    n = _counts(s, sf)
-    scores = M.count_scores(F.col("c"), F.col("x"), F.col("t"), F.col("total"))
-    return n.select("case", "d", *[F.round(v, 6).alias(k) for k, v in scores.items()])
+    return _family(s, sf, M.count_scores, ("c", "x", "t", "total"))
 
 
 _PART = "CASE WHEN {k} > 0 THEN {k} * ln(({k} / t) / ({k} / 223.0)) ELSE 0 END"
