@@ -218,8 +218,7 @@ _PART = "CASE WHEN {k} > 0 THEN {k} * ln(({k} / t) / ({k} / 223.0)) ELSE 0 END"
 round(c * 2.2 / (c + 1.2 * (1 - 0.75 + 0.75 * t / 18.1)) * ln(1 + (2000 - t + 0.5) / (t + 0.5)) * (1 - 0.5 * x / (c + x)), 6) AS bm25, round({_PART.format(k='c')} + {_PART.format(k='x')}, 6) AS llr,
 round(c * ln(1 + (2000 - t + 0.5) / (t + 0.5)) * (1 - 0.3 * x / (c + x)), 6) AS idf, round(c * ln(0.715 / 0.05) + x * ln(0.285 / 0.95), 6) AS noisy_or FROM ct""")
 def corrected_score_family(s, sf):
-    n = _counts(s, sf)
-    return n.select("case", "d", *[F.round(v, 6).alias(k) for k, v in M.corrected_scores(F.col("c"), F.col("x"), F.col("t"), n=2000.0).items()])
+    return _family(s, sf, lambda c, x, t: M.corrected_scores(c, x, t, n=2000.0), ("c", "x", "t"))
 
 
 @query(f"""WITH {B.E}{B.C}{CNT} SELECT "case", d, round(greatest(0.0, c / (c + x + t - c)), 6) AS jaccard, round(greatest(0.0, c / t * ln(125.0 / (1 + c))), 6) AS tfidf, round(greatest(0.0, c / (sqrt(t) * sqrt(c + x + 0.01))), 6) AS cosine,
