@@ -224,8 +224,7 @@ def corrected_score_family(s, sf):
 @query(f"""WITH {B.E}{B.C}{CNT} SELECT "case", d, round(greatest(0.0, c / (c + x + t - c)), 6) AS jaccard, round(greatest(0.0, c / t * ln(125.0 / (1 + c))), 6) AS tfidf, round(greatest(0.0, c / (sqrt(t) * sqrt(c + x + 0.01))), 6) AS cosine,
 round(greatest(0.0, c * 2.2 / (c + 1.2 * (0.25 + 0.75 * t / (2000.0 / 125.0))) - 0.1 * x), 6) AS bm25, round(greatest(0.0, c * ln(greatest(c / t, 0.01)) + x * ln(greatest(1 - c / t, 0.01))), 6) AS nb FROM ct""")
 def clamped_score_family(s, sf):
-    n = _counts(s, sf)
-    return n.select("case", "d", *[F.round(v, 6).alias(k) for k, v in M.clamped_scores(F.col("c"), F.col("x"), F.col("t"), 125.0, 2000.0).items()])
+    return _family(s, sf, lambda c, x, t: M.clamped_scores(c, x, t, 125.0, 2000.0), ("c", "x", "t"))
 
 
 V15 = ", sc AS (SELECT \"case\", d, c * c / (c + x + 1.0) AS score, c FROM ct)"

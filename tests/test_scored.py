@@ -34,7 +34,7 @@ def test_scores_by_table_and_in_place(spark, monkeypatch, limit, of):
     assert rows_of(got) == sorted(map(repr, [(k, d, float(f"{s:.9g}"), c) for k, d, s, c in want]))
 
 
-@pytest.mark.parametrize("name", ["count_score_family", "corrected_score_family"])
+@pytest.mark.parametrize("name", ["count_score_family", "corrected_score_family", "clamped_score_family"])
 def test_families_score_no_pair_by_itself(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"round\(|LOG|SQRT", plan.split("Generate explode(_to")[0])
