@@ -264,7 +264,7 @@ def tied_diagnoses(s, sf):
 
 @query(f"WITH {B.E}{B.C} SELECT \"case\", d, round(sum(w), 6) AS score FROM c JOIN e USING (p) GROUP BY \"case\", d")
 def weighted_edge_scores(s, sf):
-    return rounded(ranking.weighted_sum(B.mentions(s, sf), B.edges(s, sf)), "score")
+    return rounded_score(ranking.weighted_sum(B.mentions(s, sf), B.edges(s, sf)))
 
 
 MM = "CASE WHEN max({c}) OVER w = min({c}) OVER w THEN 0.5 ELSE ({c} - min({c}) OVER w) / nullif(max({c}) OVER w - min({c}) OVER w, 0) END"

@@ -38,3 +38,9 @@ def test_scores_by_table_and_in_place(spark, monkeypatch, limit, of):
 def test_families_score_no_pair_by_itself(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"round\(|LOG|SQRT", plan.split("Generate explode(_to")[0])
+
+
+@pytest.mark.parametrize("name", ["weighted_edge_scores"])
+def test_no_decimal_for_each_pair(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().split("Generate explode(_to")[0]
+    assert "FLOOR" in plan.upper()
