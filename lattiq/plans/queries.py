@@ -242,7 +242,7 @@ def normalised_scores(s, sf):
 
 @query(f"WITH {B.E}{B.C}{CNT}{V15}, {RANKED.format(s='sc')} SELECT \"case\", d, round(score, 6) AS score, rank FROM rk WHERE rank <= 5")
 def top_k_diagnoses(s, sf):
-    return rounded(ranking.ranked(_v15(s, sf)).where("rank <= 5"), "score").select("case", "d", "score", "rank")
+    return rounded_score(ranking.ranked(_v15(s, sf)).where("rank <= 5")).select("case", "d", "score", "rank")
 
 
 @query(f"""WITH {B.E}{B.C}{CNT}{V15}, sh AS (SELECT "case", d, score / sum(score) OVER (PARTITION BY "case") AS share FROM sc WHERE score > 0)
