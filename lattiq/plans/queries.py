@@ -249,7 +249,7 @@ def top_k_diagnoses(s, sf):
 SELECT "case", d, round(ln(share), 6) AS log_share, share >= max(share) OVER (PARTITION BY "case") / 2 AS top_half, round(coalesce(sum(share) OVER (PARTITION BY "case" ORDER BY round(share, 9) DESC, d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 9) < 0.8 AS in_mass FROM sh""")
 def score_cutoffs(s, sf):
     x = ranking.cutoffs(ranking.shares(_v15(s, sf)).select("case", "d", "share"))
-    return x.withColumn("log_share", F.round(F.log("share"), 6)).drop("share")
+    return x.withColumn("log_share", M.rounded(F.log("share"))).drop("share")
 
 
 @query(f"WITH {B.E}{B.C}{CNT}{V15} SELECT \"case\", d, round(CASE WHEN c < 2 THEN -1e6 ELSE score END, 6) AS score FROM sc")
