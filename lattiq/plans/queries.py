@@ -259,7 +259,7 @@ def min_match_filter(s, sf):
 
 @query(f"WITH {B.E}{B.C}{CNT}{V15}, b AS (SELECT *, round(score, 9) = max(round(score, 9)) OVER (PARTITION BY \"case\") AS top FROM sc), q AS (SELECT \"case\", d, score, count(*) OVER (PARTITION BY \"case\") AS n_tied FROM b WHERE top) SELECT \"case\", d, round(score, 6) AS score, n_tied FROM q WHERE n_tied > 1")
 def tied_diagnoses(s, sf):
-    return rounded(ranking.ties(_v15(s, sf).select("case", "d", "score")), "score")
+    return rounded_score(ranking.ties(_v15(s, sf).select("case", "d", "score")))
 
 
 @query(f"WITH {B.E}{B.C} SELECT \"case\", d, round(sum(w), 6) AS score FROM c JOIN e USING (p) GROUP BY \"case\", d")
