@@ -237,7 +237,7 @@ def _v15(s, sf):
 
 @query(f"WITH {B.E}{B.C}{CNT}{V15} SELECT \"case\", d, round(ln(score / sum(score) OVER (PARTITION BY \"case\")), 6) AS log_share FROM sc WHERE score > 0")
 def normalised_scores(s, sf):
-    return ranking.shares(_v15(s, sf)).select("case", "d", F.round(F.log("share"), 6).alias("log_share"))
+    return ranking.shares(_v15(s, sf)).select("case", "d", M.rounded(F.log("share")).alias("log_share"))
 
 
 @query(f"WITH {B.E}{B.C}{CNT}{V15}, {RANKED.format(s='sc')} SELECT \"case\", d, round(score, 6) AS score, rank FROM rk WHERE rank <= 5")
