@@ -254,7 +254,7 @@ def score_cutoffs(s, sf):
 
 @query(f"WITH {B.E}{B.C}{CNT}{V15} SELECT \"case\", d, round(CASE WHEN c < 2 THEN -1e6 ELSE score END, 6) AS score FROM sc")
 def min_match_filter(s, sf):
-    return rounded(ranking.min_match(_v15(s, sf), F.col("c"), 2), "score").select("case", "d", "score")
+    return rounded_score(ranking.min_match(_v15(s, sf), F.col("c"), 2)).select("case", "d", "score")
 
 
 @query(f"WITH {B.E}{B.C}{CNT}{V15}, b AS (SELECT *, round(score, 9) = max(round(score, 9)) OVER (PARTITION BY \"case\") AS top FROM sc), q AS (SELECT \"case\", d, score, count(*) OVER (PARTITION BY \"case\") AS n_tied FROM b WHERE top) SELECT \"case\", d, round(score, 6) AS score, n_tied FROM q WHERE n_tied > 1")

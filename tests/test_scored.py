@@ -40,7 +40,7 @@ def test_families_score_no_pair_by_itself(spark, name):
     assert not re.search(r"round\(|LOG|SQRT", plan.split("Generate explode(_to")[0])
 
 
-@pytest.mark.parametrize("name", ["normalised_scores", "top_k_diagnoses", "score_cutoffs", "tied_diagnoses", "weighted_edge_scores"])
+@pytest.mark.parametrize("name", ["normalised_scores", "top_k_diagnoses", "score_cutoffs", "min_match_filter", "tied_diagnoses", "weighted_edge_scores"])
 def test_no_decimal_for_each_pair(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().split("Generate explode(_to")[0]
     assert "FLOOR" in plan.upper()
