@@ -26,9 +26,9 @@ SHARED = {
 
 #: The columns of the mentions that these use; the others share all.
 COLUMNS = dict.fromkeys(
-    ("finding_counts", "count_score_family", "corrected_score_family", "clamped_score_family", "normalised_scores", "top_k_diagnoses", "score_cutoffs", "min_match_filter", "tied_diagnoses", "weighted_edge_scores", "reference_baselines", "differential_macro"),
+    ("finding_counts", "count_score_family", "corrected_score_family", "clamped_score_family", "normalised_scores", "top_k_diagnoses", "score_cutoffs", "min_match_filter", "tied_diagnoses", "weighted_edge_scores", "differential_macro"),
     ("case", "d", "p", "source", "l_returnflag"),
-) | dict.fromkeys(("bound_attributes", "attribute_aware_scores"), ("case", "d", "p_brand", "p_type"))
+) | {"reference_baselines": ("case", "d", "p")} | dict.fromkeys(("bound_attributes", "attribute_aware_scores"), ("case", "d", "p_brand", "p_type"))
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

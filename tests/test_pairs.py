@@ -101,3 +101,22 @@ def test_candidates_of_equal_states_are_looked_for_once(spark):
         got = dialogue.candidates_by(name, *args)
         assert rows_of(got) == sorted(map(repr, want))
         assert any("/states-" in f for f in got.inputFiles())
+
+
+@pytest.mark.parametrize("limit", [1, 3, 1 << 19])
+def test_most_matches_by_blocks(spark, monkeypatch, limit):
+    monkeypatch.setattr(ranking, "EDGES", limit)
+    links = {("d9", "a"), ("d9", "b"), ("d10", "a"), ("d10", "b"), ("é", "c"), ("d2", "c"), ("d2", "b"), ("z", "c"), ("d3", "q")}
+    cases = [(1, "a"), (1, "b"), (1, "b"), (2, "c"), (3, "b"), (3, "c"), (4, "x"), (5, None), (None, "q")]
+    want = []
+    for case in {k for k, _ in cases}:
+        mine = {p for k, p in cases if k == case and p}
+        n = {d: sum((d, p) in links for p in mine) for d, _ in links}
+        if max(n.values()):
+            want.append((case, min(n, key=lambda d: (-n[d], d.encode()))))
+    got = ranking.most_matches(spark.createDataFrame(cases, "case long, p string"), spark.createDataFrame(sorted(links), "d string, p string"))
+    assert rows_of(got) == sorted(map(repr, want))
+
+
+def test_baselines_sort_no_pairs(spark):
+    assert not [x for x in above(QUERIES["reference_baselines"](spark, SF)) if re.search(r"SortAggregate|\bSort \[", x)]
