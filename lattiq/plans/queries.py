@@ -248,7 +248,7 @@ def top_k_diagnoses(s, sf):
 @query(f"""WITH {B.E}{B.C}{CNT}{V15}, sh AS (SELECT "case", d, score / sum(score) OVER (PARTITION BY "case") AS share FROM sc WHERE score > 0)
 SELECT "case", d, round(ln(share), 6) AS log_share, share >= max(share) OVER (PARTITION BY "case") / 2 AS top_half, round(coalesce(sum(share) OVER (PARTITION BY "case" ORDER BY round(share, 9) DESC, d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 9) < 0.8 AS in_mass FROM sh""")
 def score_cutoffs(s, sf):
-    x = ranking.cutoffs(ranking.shares(_v15(s, sf)).select("case", "d", "share"))
+    x = ranking.count_cutoffs(B.mention_facts(s, sf), _reach(s, sf), lambda c, x: c * c / (c + x + 1.0), mentions=True)
     return x.withColumn("log_share", M.rounded(F.log("share"))).drop("share")
 
 

@@ -103,9 +103,37 @@ def test_candidates_of_equal_states_are_looked_for_once(spark):
         assert any("/states-" in f for f in got.inputFiles())
 
 
+@pytest.mark.parametrize("cells", [0, 1, 9, 1 << 20])
+@pytest.mark.parametrize("mentions", [False, True])
+def test_cutoffs_in_matrices_and_rows(spark, monkeypatch, cells, mentions):
+    facts = spark.createDataFrame(FACTS + [(6, "a", None), (None, "b", True), (None, "a", True)], "case long, p string, yes boolean")
+    to = ranking.reach(spark.createDataFrame(LINKS, "d string, p string").distinct())
+    score = lambda c, x: c * c / (c + x + 1.0)
+    with monkeypatch.context() as m:
+        m.setattr(ranking, "DENSE", 0)
+        want = rows_of(ranking.count_cutoffs(facts, to, score, 0.5, mentions))
+    monkeypatch.setattr(ranking, "CELLS", cells)
+    assert want and rows_of(ranking.count_cutoffs(facts, to, score, 0.5, mentions)) == want
+
+
+def test_cutoffs_make_no_row_before_a_pair_is_kept(spark):
+    plan = QUERIES["score_cutoffs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not re.search(r"Window|functions=\[count_if", plan)
+
+
+def test_rounded_array(spark):
+    from lattiq.functions import formulas
+
+    x = [0.0, 1.0, 0.8, 2.5e-9, 0.1234567885, 0.1234567895, 1e-10, 5e-10, 0.49999999949, *[(k * 2 + 1) / 2e9 for k in range(500)], *[1 / k for k in range(2, 500)]]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").selectExpr("round(x, 9)").collect()]
+    assert formulas.rounded_array(__import__("numpy").array(x), 9).tolist() == got
+
+
+@pytest.mark.parametrize("most", [0, 1 << 10])
 @pytest.mark.parametrize("limit", [1, 3, 1 << 19])
-def test_most_matches_by_blocks(spark, monkeypatch, limit):
+def test_most_matches_by_blocks(spark, monkeypatch, limit, most):
     monkeypatch.setattr(ranking, "EDGES", limit)
+    monkeypatch.setattr(ranking, "DENSE", most)
     links = {("d9", "a"), ("d9", "b"), ("d10", "a"), ("d10", "b"), ("é", "c"), ("d2", "c"), ("d2", "b"), ("z", "c"), ("d3", "q")}
     cases = [(1, "a"), (1, "b"), (1, "b"), (2, "c"), (3, "b"), (3, "c"), (4, "x"), (5, None), (None, "q")]
     want = []
