@@ -19,14 +19,14 @@ from lattiq.streaming import sessions
 #: Queries that use the joined mentions more than once.
 SHARED = {
     "cosine_scores", "cosine_evaluation", "negative_evidence", "negative_evidence_idf", "negative_self_aware", "finding_counts", "count_score_family", "corrected_score_family", "clamped_score_family",
-    "normalised_scores", "top_k_diagnoses", "score_cutoffs", "min_match_filter", "tied_diagnoses", "weighted_edge_scores", "min_max_channel", "z_score_channel", "kg_naive_bayes", "channel_ensemble", "zero_shot_bayes",
+    "normalised_scores", "top_k_diagnoses", "min_match_filter", "tied_diagnoses", "weighted_edge_scores", "min_max_channel", "z_score_channel", "kg_naive_bayes", "channel_ensemble", "zero_shot_bayes",
     "supervised_nb_counts", "few_shot_profile", "rerank_shortlist", "confuser_rerank", "question_aware_stack", "two_hop_candidates", "denied_limit_candidates", "greedy_selection", "information_gain", "related_diseases",
     "reference_baselines", "question_rounds", "random_inquiry", "differential_macro", "bound_attributes", "attribute_aware_scores",
 }
 
 #: The columns of the mentions that these use; the others share all.
 COLUMNS = dict.fromkeys(
-    ("finding_counts", "count_score_family", "corrected_score_family", "clamped_score_family", "normalised_scores", "top_k_diagnoses", "score_cutoffs", "min_match_filter", "tied_diagnoses", "weighted_edge_scores", "differential_macro"),
+    ("finding_counts", "count_score_family", "corrected_score_family", "clamped_score_family", "normalised_scores", "top_k_diagnoses", "min_match_filter", "tied_diagnoses", "weighted_edge_scores", "differential_macro"),
     ("case", "d", "p", "source", "l_returnflag"),
 ) | {"reference_baselines": ("case", "d", "p")} | dict.fromkeys(("bound_attributes", "attribute_aware_scores"), ("case", "d", "p_brand", "p_type"))
 
@@ -248,7 +248,8 @@ def top_k_diagnoses(s, sf):
 @query(f"""WITH {B.E}{B.C}{CNT}{V15}, sh AS (SELECT "case", d, score / sum(score) OVER (PARTITION BY "case") AS share FROM sc WHERE score > 0)
 SELECT "case", d, round(ln(share), 6) AS log_share, share >= max(share) OVER (PARTITION BY "case") / 2 AS top_half, round(coalesce(sum(share) OVER (PARTITION BY "case" ORDER BY round(share, 9) DESC, d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 9) < 0.8 AS in_mass FROM sh""")
 def score_cutoffs(s, sf):
-    x = ranking.count_cutoffs(B.mention_facts(s, sf), _reach(s, sf), lambda c, x: c * c / (c + x + 1.0), mentions=True)
+    facts, pairs = B.listed_facts(s, sf)
+    x = ranking.count_cutoffs(facts, ranking.reach(pairs, matrix=True), lambda c, x: c * c / (c + x + 1.0), mentions=True)
     return x.withColumn("log_share", M.rounded(F.log("share"))).drop("share")
 
 

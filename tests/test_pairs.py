@@ -148,3 +148,69 @@ def test_most_matches_by_blocks(spark, monkeypatch, limit, most):
 
 def test_baselines_sort_no_pairs(spark):
     assert not [x for x in above(QUERIES["reference_baselines"](spark, SF)) if re.search(r"SortAggregate|\bSort \[", x)]
+
+
+def test_cutoffs_deal_no_row_after_the_lists_are_written(spark):
+    plan = QUERIES["score_cutoffs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange (hash|range)partitioning", plan)
+
+
+@pytest.mark.parametrize("cells", [0, 1 << 20])
+@pytest.mark.parametrize("most", [0, 1 << 10])
+def test_cutoffs_of_lists(spark, monkeypatch, most, cells):
+    names = {"a": 3, "b": 4, "c": 7, "q": 9, "y": 12, "z": -5, None: None}
+    rows = [*FACTS, (6, "a", None), (None, "b", True), (None, "a", True), (7, None, True)]
+    facts = {}
+    for case, p, yes in rows:
+        said = facts.setdefault(case, {})
+        said[names[p]] = yes if said.get(names[p]) is None else yes or said[names[p]]
+    lists = spark.createDataFrame([(case, list(x.items())) for case, x in facts.items()], "case long, facts array<struct<p: long, yes: boolean>>")
+    links = spark.createDataFrame([(d, names[p]) for d, p in set(LINKS)], "d string, p long")
+    score = lambda c, x: c * c / (c + x + 1.0)
+    old = ranking.reach(spark.createDataFrame(LINKS, "d string, p string").distinct())
+    with monkeypatch.context() as m:
+        m.setattr(ranking, "DENSE", 0)
+        want = rows_of(ranking.count_cutoffs(spark.createDataFrame(rows, "case long, p string, yes boolean"), old, score, 0.5, True))
+    monkeypatch.setattr(ranking, "CELLS", cells)
+    monkeypatch.setattr(ranking, "EDGES", 1)
+    monkeypatch.setattr(ranking, "DENSE", most)
+    to = ranking.reach(links, matrix=True)
+    assert ranking.dense(to) == bool(most)  # also of more edges than are broadcast
+    assert want and rows_of(ranking.count_cutoffs(lists, to, score, 0.5, True)) == want
+
+
+def test_cutoffs_put_equal_shares_together(spark):
+    facts = spark.createDataFrame([(k, [(1, True), (2, True), (3, k == 1)]) for k in (1, 2)], "case long, facts array<struct<p: long, yes: boolean>>")
+    to = ranking.reach(spark.createDataFrame([("a", 1), ("b", 1), ("b", 2), ("c", 2), ("d", 1), ("d", 3)], "d string, p long"), matrix=True)
+    got = ranking.count_cutoffs(facts.coalesce(1), to, lambda c, x: c * c / (c + x + 1.0)).collect()
+    assert [(r.case, r.d) for r in got] == [(1, d) for d in "bdac"] + [(2, d) for d in "bacd"]
+    assert all(a.case != b.case or a.share >= b.share for a, b in zip(got, got[1:]))
+
+
+def test_cutoffs_of_odd_tables(spark, tmp_path):
+    import duckdb
+
+    from lattiq.plans.queries import ORACLES
+
+    c = duckdb.connect()
+    made = {
+        "customer": "VALUES (1, 5, 'A'), (2, 5, 'B'), (3, NULL, 'A'), (2, 7, 'B'), (NULL, 1, 'C'), (4, 5, 'A')|c_custkey, c_nationkey, c_mktsegment",
+        "orders": "VALUES (10, 1), (11, 2), (12, 3), (10, 4), (13, 9), (NULL, 1), (14, NULL), (10, 2), (15, 4)|o_orderkey, o_custkey",
+        "part": "VALUES (1, 'x', 'B1', 'T'), (2, 'x', 'B1', 'T'), (3, 'y', 'B1', 'T'), (-4, 'z', 'B2', 'T'), (NULL, 'z', 'B2', 'T'), (3, 'w', 'B1', 'T')|p_partkey, p_name, p_brand, p_type",
+        "lineitem": "VALUES (10, 1, 'R'), (10, 2, 'N'), (10, 3, 'R'), (11, 3, 'A'), (11, -4, NULL), (11, -4, 'R'), (12, 1, 'N'), (13, 1, 'N'), (NULL, 1, 'N'), (10, NULL, 'N'), (15, 2, 'A'), (15, -4, 'A'), (15, 8, 'A')|l_orderkey, l_partkey, l_returnflag",
+    }
+    for name, x in made.items():
+        values, columns = x.split("|")
+        c.execute(f"CREATE TABLE {name} AS SELECT * FROM ({values}) v ({columns})")
+        for k in [k for k in columns.split(", ") if k.endswith("key") and k != "c_nationkey"]:
+            c.execute(f"ALTER TABLE {name} ALTER {k} TYPE BIGINT")
+    for k in ("p_size INT", "l_linenumber INT", "l_quantity DOUBLE", "l_suppkey BIGINT", "l_linestatus VARCHAR"):
+        c.execute(f"ALTER TABLE {'part' if k[0] == 'p' else 'lineitem'} ADD COLUMN {k}")
+    c.execute("UPDATE lineitem SET l_linestatus = 'O'")
+    for name in made:
+        c.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    got = QUERIES["score_cutoffs"](spark, str(tmp_path))
+    want = c.execute(ORACLES["score_cutoffs"])
+    at = [[x[0] for x in want.description].index(k) for k in got.columns]
+    assert rows_of(got) == sorted(map(repr, [tuple(same(r[i]) for i in at) for r in want.fetchall()]))
+    assert got.count() > 5
