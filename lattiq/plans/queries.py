@@ -544,9 +544,10 @@ def hierarchy_links(s, sf):
 @query(f"""WITH {B.M}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY d, "case", p_brand ORDER BY ord) AS r FROM m) WHERE r = 1), k AS (SELECT d, p_brand AS p, p_type, count(*) AS n FROM f GROUP BY ALL), tt AS (SELECT d, p, CAST(sum(n) AS BIGINT) AS n_mentions FROM k GROUP BY ALL)
 SELECT d, p, p_type AS value, n_mentions, round(n / n_mentions, 6) AS share FROM k JOIN tt USING (d, p)""")
 def value_distributions(s, sf):
-    x = B.mentions(s, sf).select("d", F.col("case").alias("doc"), "ord", F.col("p_brand").alias("p"), F.col("p_type").alias("value"))
+    # lines of an order may share a number; the first of them in the file counts, and in a struct no kind is a kind, too
+    x = B.placed_mentions(s, sf).select("d", F.col("case").alias("doc"), F.col("place").alias("ord"), F.col("p_brand").alias("p"), F.struct("p_type").alias("value"))
     out = evidence.aggregate_findings(x)
-    return rounded(out.select("d", "p", "n_mentions", F.explode("dist").alias("value", "share")), "share")
+    return rounded(out.select("d", "p", "n_mentions", F.explode("dist").alias("value", "share")).withColumn("value", F.col("value.p_type")), "share")
 
 
 @query("SELECT p_brand AS cui, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS codes FROM part GROUP BY p_brand")
