@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lattiq.llm import decontam, mixing, quality, simhash, toxicity
-from lattiq.llm.common import apart
+from lattiq.llm.common import apart, bound_batches
 from lattiq.llm.queries import table
 from lattiq.shared import materialize
 
@@ -17,21 +17,25 @@ READ = ("doc_id", "text")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return apart(docs, READ, lambda x: toxicity.score(x, model).where("NOT toxic"))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     labels = table(spark, sf_dir, "labels")
     model = quality.fit(quality.with_statistics(quality.labelled(docs.select(*READ), labels)), labels)
     return apart(docs, READ, lambda x: quality.score(x, model).where("predicted = 1"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return simhash.deduplicate(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return apart(docs, READ, lambda x: decontam.judge(x, table(spark, sf_dir, "benchmark")).where("NOT contaminated"))
 
 

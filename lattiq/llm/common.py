@@ -5,13 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattiq.shared import materialize
 
 
+#: Bytes of an Arrow batch in the pipeline. An executor holds several copies of a task's batch outside its heap: Spark's by
+#: row count alone are 20 MB at 2 KB a text, and their vectors grow by doubling.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Let the session's Arrow batches end at ``most`` bytes (and the row begun), unless it has a bound of its own.
+
+    A plan takes the bound as it runs, so the setting stays. Results do not depend on it."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def append_columns(df: DataFrame, column: str, fn: Callable[[pa.Array], list], fields: list[T.StructField], also: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with the columns that ``fn`` makes from Arrow batches of ``column`` (and ``also``).
 
